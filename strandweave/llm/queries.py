@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.llm import copies, topn
+from strandweave.llm import copies, mixing, packing, pii, tokens, topn
 from strandweave.session import table
 
 
@@ -30,8 +30,45 @@ def p5_ranked(spark: SparkSession, d: str) -> DataFrame:
     return _top(spark, d)
 
 
+def _sizes(spark: SparkSession, d: str) -> DataFrame:
+    return packing.store_sizes(tokens.count_tokens(table(spark, d, "documents")))
+
+
+def _packed(spark: SparkSession, d: str) -> DataFrame:
+    capacities = {r["spec"]: int(r["capacity_tokens"]) for r in table(spark, d, "pack_capacity").collect()}  # a fixed table of three rows
+    return packing.pack_containers(_sizes(spark, d), capacities)
+
+
+def p6_pack(spark: SparkSession, d: str) -> DataFrame:
+    return _packed(spark, d)
+
+
+def p6_fill(spark: SparkSession, d: str) -> DataFrame:
+    return packing.fill_report(_packed(spark, d))
+
+
+def p7_mix(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"))
+
+
+def p7_shares(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.share_report(p7_mix(spark, d), table(spark, d, "mix_targets"))
+
+
+#: The key of the registered query; a run of one's own gives its own.
+DEMONSTRATION_KEY = b"a key for tests and demonstrations"
+
+
+def p8_found(spark: SparkSession, d: str) -> DataFrame:
+    return pii.find(table(spark, d, "documents"), table(spark, d, "given_names"))
+
+
+def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
+    return pii.redact(table(spark, d, "documents"), table(spark, d, "given_names"), DEMONSTRATION_KEY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_ranked)}
+    return {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_ranked, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_redacted)}
 
 
 # Keys are marked where a known field name and an assignment follow; the text up to the next mark is the value.
