@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from strandweave.session import materialize
 
 BLOCK_TOKENS = 4_000_000
+MOST_PARTITIONS = 4096
 SCHEMA = "spec string, container string, doc_id bigint, source string, piece int, n_pieces int, token_start bigint, tokens bigint, container_tokens bigint, capacity bigint"
 
 
@@ -139,7 +140,9 @@ def pack_containers(sized: DataFrame, capacities: dict[str, int], shares: dict[s
                 rows += [(spec, f"{spec}-{key[0]}-{n}", *p, filled, capacity) for p in held]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in SCHEMA.split(", ")])
 
-    return placed.groupBy("block").cogroup(owed.groupBy("block")).applyInPandas(run, SCHEMA)
+    # a fixed number of partitions: blocks are small in bytes and long in work, so they must not be coalesced by size
+    parts = min(blocks, MOST_PARTITIONS)
+    return placed.repartition(parts, "block").groupBy("block").cogroup(owed.repartition(parts, "block").groupBy("block")).applyInPandas(run, SCHEMA)
 
 
 def fill_report(packed: DataFrame) -> DataFrame:
