@@ -6,15 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.plans import preparation
+from strandweave.plans import features, preparation
 
 FLAGSHIP = "p2_found"
-MODULES = (preparation,)
+BOOKS = (features.book,)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for m in MODULES for k, f in m.queries().items()}
+    return preparation.queries() | {k: f for b in BOOKS for k, f in b.queries.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {k: s for m in MODULES for k, s in m.oracle_sql().items()}
+    return preparation.oracle_sql() | {k: s for b in BOOKS for k, s in b.sql.items()}
