@@ -159,11 +159,12 @@ def unordered_anti(a: DataFrame, pairs: DataFrame) -> DataFrame:
 
 
 # --- rectangles and pixels
-def window_pixels(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, tile: int = 256) -> DataFrame:
+def window_pixels(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, tile: int | None = None) -> DataFrame:
     """Columns of ``loops`` with ``dx, dy, bin_x, bin_y, counts`` of the positive pixels in each loop's window of 2 * window + 1 bins.
 
-    A loop is copied to the few tiles its window touches, a pixel has one tile; cells are never enumerated.
+    A loop is copied to the four tiles at most that its window touches, a pixel has one tile; cells are never enumerated.
     """
+    tile = tile or 1 << (2 * window).bit_length()  # as wide as the window or little more
     side = {a: div(x.mid(f"start{s}", f"end{s}"), resolution) - window for s, a in ((1, "x0"), (2, "y0"))}
     span = 2 * window + 1
     own = loops.withColumns(side)
@@ -183,8 +184,9 @@ def masked_pixels(loops: DataFrame, contacts: DataFrame, resolution: int, window
     return out
 
 
-def near_pixels(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, tile: int = 500) -> DataFrame:
+def near_pixels(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, tile: int | None = None) -> DataFrame:
     """Pixels nearer than ``window`` bins, by rows and columns together, to some loop centre in either orientation; each once."""
+    tile = tile or 1 << (2 * window).bit_length()
     own = loops.select("chr1", "chr2", div(x.mid1(), resolution).alias("cx"), div(x.mid2(), resolution).alias("cy")).distinct()
     both = own.unionByName(own.select("chr1", "chr2", F.col("cy").alias("cx"), F.col("cx").alias("cy")))
     reach = lambda c: F.sequence(F.floor((F.col(c) - window) / tile), F.floor((F.col(c) + window) / tile))

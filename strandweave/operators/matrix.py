@@ -45,8 +45,8 @@ def expected(contacts: DataFrame, chroms: DataFrame) -> DataFrame:
 
 
 def against_expected(contacts: DataFrame, model: DataFrame) -> DataFrame:
-    """``oe, z, percent`` of each pixel; percent is its share of the way from its distance's mean to that of distance 1, within [0, 1]."""
-    near = model.filter("d = 1").select("chrom", "resolution", F.col("mean").alias("mean1"))
+    """``oe, z, percent`` of each pixel; percent is its share of the way from its distance's mean to that of the least distance with data, within [0, 1]."""
+    near = model.groupBy("chrom", "resolution").agg(F.min_by("mean", "d").alias("mean1"))
     m = model.select(F.col("chrom").alias("chr1"), "resolution", "d", "mean", "mean_log", "sd_log").join(near.withColumnRenamed("chrom", "chr1"), ["chr1", "resolution"], "left")
     d = contacts.filter("chr1 = chr2").withColumn("d", F.abs(F.col("bin_x") - F.col("bin_y"))).join(m, ["chr1", "resolution", "d"])
     return d.withColumns({
@@ -219,7 +219,7 @@ def translocations(contacts: DataFrame, chroms: DataFrame, z: float = 5.0, top:
     return pairs.join(tenth, ["chr1", "chr2"], "left").join(F.broadcast(all_), F.lit(True)).select("chr1", "chr2", "tenth", flagged.alias("flagged"))
 
 
-def max_pixel(loops: DataFrame, contacts: DataFrame, resolution: int, norms: DataFrame | None = None, border: int = 2, tile: int = 256) -> DataFrame:
+def max_pixel(loops: DataFrame, contacts: DataFrame, resolution: int, norms: DataFrame | None = None, border: int = 2, tile: int = 16) -> DataFrame:
     """Each loop's strongest pixel within its bounds and ``border`` bins, as a feature of one bin; first in row order among equals.
 
     With norms a value counts only where nx * ny > .5; a value must be over 1.

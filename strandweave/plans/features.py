@@ -318,8 +318,8 @@ def a2_multi_diff(spark, d):
 
 
 # --- sources and sinks
-@book.add("""SELECT chrom, "start", "end", name, score FROM (SELECT regexp_split_to_array(trim(regexp_replace(raw, chr(13) || '$', '')), '\\s+') AS w, w[1] AS chrom, CASE WHEN regexp_full_match(w[2], '[+-]?[0-9]+') THEN CAST(w[2] AS BIGINT) END AS "start", CASE WHEN regexp_full_match(w[3], '[+-]?[0-9]+') THEN CAST(w[3] AS BIGINT) END AS "end", w[4] AS name,
-  CASE WHEN regexp_full_match(w[5], '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?|NaN') THEN CAST(w[5] AS DOUBLE) END AS score FROM bed_lines)
+@book.add("""SELECT chrom, "start", "end", name, score FROM (SELECT regexp_split_to_array(trim(regexp_replace(raw, chr(13) || '$', '')), '\\s+') AS w, w[1] AS chrom, CASE WHEN regexp_full_match(w[2], '[+-]?[0-9]+') THEN TRY_CAST(w[2] AS BIGINT) END AS "start", CASE WHEN regexp_full_match(w[3], '[+-]?[0-9]+') THEN TRY_CAST(w[3] AS BIGINT) END AS "end", w[4] AS name,
+  CASE WHEN regexp_full_match(w[5], '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?|(?i:nan|[+-]?inf(inity)?)') THEN CAST(w[5] AS DOUBLE) END AS score FROM bed_lines)
 WHERE chrom LIKE 'chr%' AND chrom <> 'chrom' AND "start" IS NOT NULL AND "end" IS NOT NULL AND NOT contains(chrom, chr(13))""")
 def s2_bed_scan(spark, d):
     lines = table(spark, d, "bed_lines").select(F.regexp_replace("raw", r"\r\z", "").alias("value"))

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.plans import features, preparation
+from strandweave.plans import features, joins, matrices, preparation
 
-FLAGSHIP = "p2_found"
-BOOKS = (features.book,)
+FLAGSHIP = "a5_apa_pileup"
+BOOKS = (features.book, joins.book, matrices.book)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
