@@ -287,10 +287,10 @@ def proportional(contacts: DataFrame, reads: int) -> DataFrame:
     return d.withColumn("reads", x.half_up(F.lit(float(reads)) * F.col("contacts") / F.sum("contacts").over(Window.partitionBy())).cast("bigint"))
 
 
-def extreme_pixels(pixels: DataFrame, resolution: int, near: int = 10_000, far: int = 10_000_000) -> DataFrame:
+def extreme_pixels(pixels: DataFrame, resolution: int, near: int = 10_000, far: int = 10_000_000, least: float = 0.005, most: float = 0.4) -> DataFrame:
     """Pixels (with nx, ny, oe, percent) over count, norm, distance, enrichment and percent bounds."""
     d = F.abs(F.col("bin_x") - F.col("bin_y"))
-    return pixels.filter((F.col("counts") > 1) & (F.col("nx") >= 1) & (F.col("ny") >= 1) & (d > near // resolution) & (d < far // resolution) & (F.col("oe") > 1.5) & F.col("percent").between(0.005, 0.4))
+    return pixels.filter((F.col("counts") > 1) & (F.col("nx") >= 1) & (F.col("ny") >= 1) & (d > near // resolution) & (d < far // resolution) & (F.col("oe") > 1.5) & F.col("percent").between(least, most))
 
 
 def coverage_filter(loops: DataFrame, z: DataFrame, strict: bool = False) -> DataFrame:

@@ -91,9 +91,9 @@ def f5_coverage(spark, d):
     return r6(op.coverage_filter(table(spark, d, "loops"), op.norm_z(view(spark, d, "fx_norms"))).select("loop_id", "z1", "z2"), "z1", "z2")
 
 
-@book.add(f"WITH {PX} SELECT chr1, bin_x, bin_y, counts FROM px WHERE counts > 1 AND nx >= 1 AND ny >= 1 AND d > 2 AND d < 2000 AND oe > 1.5 AND percent BETWEEN 0.005 AND 0.4")
+@book.add(f"WITH {PX} SELECT chr1, bin_x, bin_y, counts FROM px WHERE counts > 1 AND nx >= 1 AND ny >= 1 AND d > 2 AND d < 2000 AND oe > 1.5 AND percent BETWEEN 0.005 AND 1")
 def f14_extreme_pixels(spark, d):
-    return op.extreme_pixels(pixels(spark, d), RES).select("chr1", "bin_x", "bin_y", "counts")
+    return op.extreme_pixels(pixels(spark, d), RES, most=1.0).select("chr1", "bin_x", "bin_y", "counts")
 
 
 @book.add(f"""WITH {CM}, nz AS (SELECT chrom, bin, (ln(value) - avg(ln(value)) OVER w) / stddev_samp(ln(value)) OVER w AS z FROM fx_norms WINDOW w AS (PARTITION BY norm, chrom, resolution))
