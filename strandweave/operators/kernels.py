@@ -334,8 +334,15 @@ def summit(raw: np.ndarray, density: np.ndarray) -> tuple[float, float, int] | N
     return out[0], out[1], int((raw > 0).sum())
 
 
-def pinpoint(windows: DataFrame, identity: list[str], resolution: int, coarse: int = 20) -> DataFrame:
-    """Summits of dense windows (``matrix`` and their first bins ``x0, y0``): coarse boxes, then density at full resolution in each.
+def _image(cells, size: int) -> np.ndarray:
+    m = np.zeros((size, size))
+    for c in cells:
+        m[c["dx"], c["dy"]] = c["v"]
+    return m
+
+
+def pinpoint(windows: DataFrame, identity: list[str], resolution: int, window: int, coarse: int = 20) -> DataFrame:
+    """Summits of windows (``cells`` and their first bins ``x0, y0``): coarse boxes, then density at full resolution in each.
 
     A window is one row, so memory is bounded by its width.
     """
@@ -348,7 +355,7 @@ def pinpoint(windows: DataFrame, identity: list[str], resolution: int, coarse: i
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
-                m = np.array([list(v) for v in r["matrix"]], "float64")
+                m = _image(r["cells"], 2 * window + 1)
                 n = -(-m.shape[0] // coarse) * coarse
                 padded = np.zeros((n, n))
                 padded[: m.shape[0], : m.shape[1]] = m
@@ -362,7 +369,7 @@ def pinpoint(windows: DataFrame, identity: list[str], resolution: int, coarse: i
                         rows.append((*[r[k] for k in identity], at("x0", a + top[0]), at("y0", c + top[1]), at("x0", a), at("x0", b), at("y0", c), at("y0", d), top[2]))
             yield pd.DataFrame(rows, columns=names)
 
-    return windows.select(*identity, "x0", "y0", "matrix").mapInPandas(run, shape)
+    return windows.select(*identity, "x0", "y0", "cells").mapInPandas(run, shape)
 
 
 # --- stripes
@@ -463,17 +470,17 @@ def localize(image: np.ndarray, compression: int) -> tuple[int, float] | None:
     return (best, p) if p < 0.01 else None
 
 
-def localize_stripes(windows: DataFrame, identity: list[str], compression: int) -> DataFrame:
-    """The best row of each dense window (``matrix``, one row each) that stands out."""
+def localize_stripes(windows: DataFrame, identity: list[str], window: int, compression: int) -> DataFrame:
+    """The best row of each window (``cells``, one row each) that stands out."""
     types = dict(windows.dtypes)
     shape = ", ".join(f"{c} {types[c]}" for c in identity) + ", best int, p double"
 
     def run(batches):
         for pdf in batches:
-            rows = [(*[r[k] for k in identity], *got) for r in pdf.to_dict("records") if (got := localize(np.array([list(v) for v in r["matrix"]], "float64"), compression))]
+            rows = [(*[r[k] for k in identity], *got) for r in pdf.to_dict("records") if (got := localize(_image(r["cells"], 2 * window + 1), compression))]
             yield pd.DataFrame(rows, columns=[*identity, "best", "p"])
 
-    return windows.select(*identity, "matrix").mapInPandas(run, shape)
+    return windows.select(*identity, "cells").mapInPandas(run, shape)
 
 
 def in_groups(df: DataFrame, keys: list[str], kernel: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:

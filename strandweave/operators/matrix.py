@@ -125,6 +125,13 @@ def window_dump(loops: DataFrame, contacts: DataFrame, resolution: int, window:
     return held.select(*identity, F.transform(span, lambda i: F.transform(span, lambda j: at(i, j))).alias("matrix"))
 
 
+def window_cells(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, identity: Sequence[str]) -> DataFrame:
+    """``cells, x0, y0``: each loop's window as its positive cells ``(dx, dy, v)``, for kernels; no more than the window holds."""
+    cells = window_pixels(loops, contacts, resolution, window).groupBy(*identity, "dx", "dy").agg(F.sum("counts").cast("double").alias("v"))
+    held = cells.groupBy(*identity).agg(F.collect_list(F.struct(F.col("dx").cast("int").alias("dx"), F.col("dy").cast("int").alias("dy"), "v")).alias("cells"))
+    return held.withColumns({"x0": div(x.mid1(), resolution) - window, "y0": div(x.mid2(), resolution) - window})
+
+
 def anchor_pile_up(loops: DataFrame, contacts: DataFrame, resolution: int, window: int) -> DataFrame:
     """``side, chrom, bin, dx, dy, total``: a pile-up around every upstream and every downstream bin."""
     hits = window_pixels(loops.select(*COORDS).distinct(), contacts, resolution, window)

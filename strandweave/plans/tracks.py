@@ -198,8 +198,8 @@ def g2_rescue(spark, d):
     return graph.rescue(net(spark, d), 2000)
 
 
-@book.add(f"""WITH RECURSIVE {NET}, ed AS (SELECT 'u_' || chr1 || '_' || CAST(up_start AS STRING) AS src, 'd_' || chr2 || '_' || CAST(down_start AS STRING) AS dst FROM ne), both AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed),
-reach AS (SELECT DISTINCT src AS node, src AS seen FROM both UNION SELECT reach.node, both.dst FROM reach JOIN both ON both.src = reach.seen) SELECT node, min(seen) AS component FROM reach GROUP BY node""")
+@book.add(f"""WITH RECURSIVE {NET}, ed AS (SELECT 'u_' || chr1 || '_' || CAST(up_start AS STRING) AS src, 'd_' || chr2 || '_' || CAST(down_start AS STRING) AS dst FROM ne), eb AS (SELECT src, dst FROM ed UNION SELECT dst, src FROM ed),
+reach AS (SELECT DISTINCT src AS node, src AS seen FROM eb UNION SELECT reach.node, eb.dst FROM reach JOIN eb ON eb.src = reach.seen) SELECT node, min(seen) AS component FROM reach GROUP BY node""")
 def g3_components(spark, d):
     key = lambda p, c, s: F.concat_ws("_", F.lit(p), c, s)
     return graph.components(net(spark, d).select(key("u", "chr1", "up_start").alias("src"), key("d", "chr2", "down_start").alias("dst")))
@@ -233,11 +233,9 @@ def j_p6_multires_collapse(spark, d):
 
 @book.add()
 def j_p7_pinpoint(spark, d):
-    w = 40
-    loops = features.distinct_features(_list(spark, d, "A"))
-    x0 = {"x0": x.div(x.mid1(), RES) - w, "y0": x.div(x.mid2(), RES) - w}
-    dump = mx.window_dump(loops, contacts(spark, d), RES, w, COORDS).withColumns(x0)
-    return kernels.pinpoint(dump, COORDS, RES)
+    w = 16
+    cells = mx.window_cells(features.distinct_features(_list(spark, d, "A")), contacts(spark, d), RES, w, COORDS)
+    return kernels.pinpoint(cells, COORDS, RES, w, coarse=4)
 
 
 @book.add()
@@ -248,8 +246,7 @@ def j_p10_stripes(spark, d):
 @book.add()
 def j_p11_stripe_localize(spark, d):
     loops = features.size_filter(features.distinct_features(_list(spark, d, "A")), 100, 5)
-    dump = mx.window_dump(loops, contacts(spark, d), RES, 15, COORDS)
-    return kernels.localize_stripes(dump, COORDS, 2)
+    return kernels.localize_stripes(mx.window_cells(loops, contacts(spark, d), RES, 15, COORDS), COORDS, 15, 2)
 
 
 @book.add()
