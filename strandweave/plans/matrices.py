@@ -140,9 +140,9 @@ def _factor(s: int, o: str) -> str:
     return f"f{o} AS (SELECT {o}, s / avg(s) OVER () AS f FROM (SELECT g.{o}, sum(n.value) AS s FROM lp JOIN (SELECT DISTINCT {o} FROM g) g ON true JOIN fx_norms n ON n.chrom = lp.chr{s} AND n.bin = lp.{'x0' if s == 1 else 'y0'} + g.{o} GROUP BY g.{o}))"
 
 
-@book.add(f"WITH {PILE}, {_factor(1, 'dx')}, {_factor(2, 'dy')} SELECT dx, dy, total, round(CASE WHEN fdx.f * fdy.f > 0 THEN total / (fdx.f * fdy.f) ELSE 0 END, 6) AS value FROM pile JOIN fdx USING (dx) JOIN fdy USING (dy)")
+@book.add(f"WITH {PILE}, {_factor(1, 'dx')}, {_factor(2, 'dy')} SELECT dx, dy, total, round(CASE WHEN fdx.f * fdy.f > 0 THEN total / (fdx.f * fdy.f) ELSE 0 END, 3) AS value FROM pile JOIN fdx USING (dx) JOIN fdy USING (dy)")
 def a5_apa_agnorm(spark, d):
-    return r6(op.pile_up_normalized(_list(spark, d, "A"), contacts(spark, d), view(spark, d, "fx_norms"), RES, W), "value")
+    return op.pile_up_normalized(_list(spark, d, "A"), contacts(spark, d), view(spark, d, "fx_norms"), RES, W).withColumn("value", F.round("value", 3))
 
 
 @book.add(f"""WITH {CM}, f AS (SELECT chrom, "start" AS s, "end" AS e, ("start" + "end") // 2 AS m FROM fx_anchors), p AS (SELECT a.chrom AS chr1, a.s AS start1, a.e AS end1, b.chrom AS chr2, b.s AS start2, b.e AS end2, b.m - a.m AS dist FROM f a JOIN f b ON a.chrom = b.chrom AND a.e < b.s AND b.m - a.m > 500000 AND b.m - a.m <= 4000000),
