@@ -354,11 +354,10 @@ def bloom_bits(given: DataFrame, family: DataFrame) -> bytes:
     return bits.tobytes()
 
 
-def _checked(found: DataFrame, given: DataFrame, family: DataFrame) -> DataFrame:
-    """Names pass only if the lexicon really holds both of their parts."""
-    named = found.filter("kind = 'name'").join(family, "family", "left_semi")
-    full = named.filter("given IS NOT NULL").join(given, "given", "left_semi")
-    return full.select(*found.columns).unionByName(named.filter("given IS NULL").select(*found.columns))
+def _passed(found: DataFrame, given: DataFrame, family: DataFrame) -> DataFrame:
+    """Names pass only if the lexicon really holds both of their parts; other kinds pass. The texts are read once."""
+    marked = found.join(family.withColumn("is_family", F.lit(True)), "family", "left").join(given.withColumn("is_given", F.lit(True)), "given", "left")
+    return marked.filter((F.col("kind") != "name") | (F.col("is_family") & (F.col("given").isNull() | F.col("is_given"))))
 
 
 def find(documents: DataFrame, known: DataFrame) -> DataFrame:
@@ -366,13 +365,31 @@ def find(documents: DataFrame, known: DataFrame) -> DataFrame:
     given, family = lexicon(documents, known)
     shape = "doc_id bigint, kind string, pii_value string, given string, family string"
     found = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_finder(bloom_bits(given, family)), shape)
-    # one pass over the texts: names meet the lexicon, other kinds an outer join's other side stays empty
-    marked = found.join(family.withColumn("is_family", F.lit(True)), "family", "left").join(given.withColumn("is_given", F.lit(True)), "given", "left")
-    good = (F.col("kind") != "name") | (F.col("is_family") & (F.col("given").isNull() | F.col("is_given")))
-    return marked.filter(good).select("doc_id", "kind", "pii_value").distinct()
+    return _passed(found, given, family).select("doc_id", "kind", "pii_value").distinct()
+
+
+SPANS = "doc_id bigint, digest bigint, first int, stop int, kind string, pii_value string, given string, family string, written string"
+
 
+def _spanner(bits: bytes) -> Callable:
+    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5)
+    names_ = [c.split()[0] for c in SPANS.split(", ")]
 
-def _redactor(bits: bytes, key: bytes) -> Callable:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = Filter(bits)
+        for batch in batches:
+            rows = []
+            for i, digest, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                if text:
+                    view = visible(text)
+                    rows += [(i, digest, *view.raw_span(s, e), kind, value, given, family, view.text[s:e]) for s, e, kind, value, given, family in places(view.text, lexicon)]
+            columns = zip(*rows) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names_)
+
+    return run
+
+
+def _redactor(key: bytes) -> Callable:
     def place(kind: str, value: str, written: str) -> str:
         flat = " ".join(_flat(written).split())
         if kind in ("phone", "id"):
@@ -381,23 +398,16 @@ def _redactor(bits: bytes, key: bytes) -> Callable:
         return f"[{kind.upper()} {feistel.token(key, kind, value)}]"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Filter(bits)
         for batch in batches:
             out, counts = [], []
-            for text, ok in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 n = 0
-                if text:
-                    view = visible(text)
-                    ok = set(ok or ())
-                    spans = []
-                    for s, e, kind, value, *_ in places(view.text, lexicon):
-                        if kind != "name" or value in ok:
-                            spans.append((*view.raw_span(s, e), kind, value, view.text[s:e]))
+                if text and spans:
                     parts, at = [], 0
-                    for s, e, kind, value, written in sorted(spans):
-                        if s >= at:
-                            parts += [text[at:s], place(kind, value, written)]
-                            at, n = e, n + 1
+                    for p in sorted(spans, key=lambda p: (p["first"], p["stop"])):
+                        if p["first"] >= at:
+                            parts += [text[at : p["first"]], place(p["kind"], p["pii_value"], p["written"])]
+                            at, n = p["stop"], n + 1
                     text = "".join([*parts, text[at:]])
                 out.append(text)
                 counts.append(n)
@@ -410,7 +420,8 @@ def redact(documents: DataFrame, known: DataFrame, key: bytes) -> DataFrame:
     """``doc_id, text, n_places``: every place replaced by its kind and a pseudonym, all else as it was."""
     given, family = lexicon(documents, known)
     bits = bloom_bits(given, family)
-    shape = "doc_id bigint, kind string, pii_value string, given string, family string"
-    texts = documents.select(F.col("doc_id").cast("bigint"), "text")
-    ok = _checked(texts.mapInArrow(_finder(bits), shape), given, family).groupBy("doc_id").agg(F.collect_set("pii_value").alias("ok"))
-    return texts.join(ok, "doc_id", "left").select("doc_id", "text", "ok").mapInArrow(_redactor(bits, key), "doc_id bigint, text string, n_places int")
+    texts = documents.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("digest"), "text")
+    spans = _passed(texts.mapInArrow(_spanner(bits), SPANS), given, family)
+    # a text and its spans meet by id and digest, so rows of one id with different texts keep apart
+    held = spans.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "stop", "kind", "pii_value", "written")).alias("spans"))
+    return texts.join(held, ["doc_id", "digest"], "left").select("doc_id", "text", "spans").mapInArrow(_redactor(key), "doc_id bigint, text string, n_places int")
