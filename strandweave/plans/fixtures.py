@@ -1,6 +1,7 @@
 """Views over the star-schema tables that have the shapes of interval lists, matrices and signals.
 
-Written once, for DuckDB; the Spark form differs in integer division and quotes only.
+Written once, for DuckDB; the Spark form differs in integer division and quotes, and in the extent of chromosomes and
+norms: the SQL ends at 60 Mb, Spark where the contacts do, if that is farther.
 """
 
 from __future__ import annotations
@@ -36,13 +37,32 @@ VIEWS = {
     "fx_fimo": """SELECT p_brand || CASE WHEN p_size % 3 = 0 THEN '_OTHER' ELSE '_HUMAN.H11MO.A' END AS motif_id, 'chr' || CAST(p_partkey % 5 + 1 AS STRING) AS chrom, p_partkey * 2500 AS "start", p_partkey * 2500 + p_size AS "end", CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part""",
 }
 TABLES = {"fx_chroms": "nation", "fx_norms": "nation", "fx_anchors": "part", "fx_fimo": "part", "fx_signal": "events", "fx_bed": "events"}
+#: The last 5 kb bin of norms: that of the farthest contact and two more, so that its window and the ends of its loop fit.
+_LAST = f"(SELECT greatest(12000L, max({_Y}) // 5000 + 2) AS last FROM lineitem)"
+BLOCK = 4096
+
+
+def _to_the_end(spark: SparkSession, name: str, text: str) -> str:
+    """The view with the extent that the data has. Bins are made in blocks, by as many tasks as a shuffle has."""
+    if name == "fx_chroms":
+        return text.replace("CAST(60000000 AS BIGINT)", "greatest(60000000L, last * 5000)").replace("FROM nation", f"FROM nation CROSS JOIN {_LAST} e")
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    blocks = f"(SELECT /*+ REPARTITION({parts}, n_nationkey, block) */ * FROM (SELECT n_nationkey, last, EXPLODE(SEQUENCE(0L, last // {BLOCK})) AS block FROM nation CROSS JOIN {_LAST} e WHERE n_nationkey < 5))"
+    bins = f"(SELECT n_nationkey, EXPLODE(SEQUENCE(block * {BLOCK}, least(block * {BLOCK} + {BLOCK - 1}, last))) AS bin FROM {blocks})"
+    return text.replace("FROM nation CROSS JOIN (SELECT UNNEST(RANGE(0, 12001)) AS bin) t", f"FROM {bins} t")
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view in Spark."""
     base = TABLES.get(name, "lineitem")
-    text = VIEWS[name].replace("//", " div ").replace('"', "`").replace("UNNEST(RANGE(0, 12001))", "EXPLODE(SEQUENCE(0L, 12000L))")
-    return spark.sql(re.sub(rf"\bFROM {base}\b", f"FROM {{{base}}}", text), **{base: table(spark, sf_dir, base)})
+    text = VIEWS[name]
+    used = {base}
+    if name in ("fx_chroms", "fx_norms"):
+        text, used = _to_the_end(spark, name, text), {base, "lineitem"}
+    text = text.replace("//", " div ").replace('"', "`")
+    for t in used:
+        text = re.sub(rf"\bFROM {t}\b", f"FROM {{{t}}}", text)
+    return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
 
 def with_views(sql: str) -> str:
