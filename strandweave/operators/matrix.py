@@ -109,6 +109,45 @@ def size_classes(df: DataFrame, chroms: DataFrame) -> DataFrame:
     return d.withColumn("size_class", F.explode(F.array_compact(F.array(F.lit("all"), own)))).drop("i1", "i2")
 
 
+def flags_pile_up(anchors: DataFrame, intra: DataFrame, inter: DataFrame, chroms: DataFrame, resolution: int, inter_resolution: int, window: int, least: int = 500_000) -> DataFrame:
+    """``kind, stratum, size_class, dx, dy, total``: pile-ups of all pairs of distinct anchors, by distance and once between chromosomes.
+
+    Intra pairs are those of ``pair_anchors(anchors, anchors, least, any)``, in the strata of ``distance_strata``; there are as many
+    strata as the longest distance needs, and every stack is whole. Pairs are never listed: a pixel meets the anchors around its row
+    and those around its column. Inter pairs have no bounds, so numbers of anchors per bin are enough and the axes are summed in turn.
+    """
+    p = anchors.select("chrom", "start", "end", x.mid("start", "end").alias("m")).distinct()
+    span = F.sequence(F.lit(0).cast("bigint"), F.lit(2 * window).cast("bigint"))
+
+    def around(points: DataFrame, s: int, res: int, *rest: str) -> DataFrame:
+        """Points at all bins that their windows hold, ``o`` bins from the first."""
+        b, o = (("bin_x", "dx"), ("bin_y", "dy"))[s - 1]
+        own = points.select(F.col("chrom").alias(f"chr{s}"), *[F.col(c).alias(f"{c}{s}") for c in rest], (div("m", res) - window).alias("first"))
+        return own.withColumn(o, F.explode(span)).withColumn(b, F.col("first") + F.col(o)).drop("first")
+
+    near = intra.filter((F.col("chr1") == F.col("chr2")) & (F.col("resolution") == resolution) & (F.col("counts") > 0) & (F.col("bin_y") - F.col("bin_x") + 2 * window + 1 > least // resolution)).select("chr1", "chr2", "bin_x", "bin_y", "counts")
+    d = F.col("m2") - F.col("m1")
+    hits = near.join(around(p, 1, resolution, "end", "m"), ["chr1", "bin_x"]).join(around(p, 2, resolution, "start", "m"), ["chr2", "bin_y"]).filter((F.col("end1") < F.col("start2")) & (d > least))
+    keys = ["kind", "stratum", "chr1", "chr2", "dx", "dy"]
+    stratum = lambda v: F.greatest(F.ceil(F.log2(v / 1e6)).cast("int"), F.lit(0))
+    within = hits.withColumns({"kind": F.lit("intra"), "stratum": stratum(d)}).groupBy(*keys).agg(F.sum("counts").alias("total"))
+
+    n = p.groupBy("chrom", (div("m", inter_resolution) * inter_resolution).alias("m")).agg(F.count("*").alias("n"))
+    far = inter.filter((F.col("chr1") != F.col("chr2")) & (F.col("resolution") == inter_resolution) & (F.col("counts") > 0))
+    one = far.join(around(n, 1, inter_resolution, "n"), ["chr1", "bin_x"]).groupBy("chr1", "chr2", "dx", "bin_y").agg(F.sum(F.col("counts") * F.col("n1")).alias("v"))
+    both = one.join(around(n, 2, inter_resolution, "n"), ["chr2", "bin_y"]).groupBy("chr1", "chr2", "dx", "dy").agg(F.sum(F.col("v") * F.col("n2")).alias("total"))
+    between = both.withColumns({"kind": F.lit("inter"), "stratum": F.lit(None).cast("int")})
+
+    sums = size_classes(within.unionByName(between), chroms).groupBy("kind", "stratum", "size_class", "dx", "dy").agg(F.sum("total").alias("total"))
+    longest = p.groupBy("chrom").agg((F.max("m") - F.min("m")).alias("d")).agg(F.max("d").alias("d"))
+    strata = longest.filter(F.col("d") > least).select(F.lit("intra").alias("kind"), F.explode(F.sequence(F.lit(0), stratum(F.col("d")))).alias("stratum"))
+    stacks = strata.unionByName(anchors.sparkSession.range(1).select(F.lit("inter").alias("kind"), F.lit(None).cast("int").alias("stratum")))
+    grid = _grid(stacks.withColumn("size_class", F.explode(F.array(F.lit("all"), F.lit("big"), F.lit("small")))), window)
+    same = lambda c: F.col(f"g.{c}").eqNullSafe(F.col(f"s.{c}"))
+    on = same("kind") & same("stratum") & same("size_class") & same("dx") & same("dy")
+    return grid.alias("g").join(sums.alias("s"), on, "left").select("g.kind", "g.stratum", "g.size_class", "g.dx", "g.dy", F.coalesce("s.total", F.lit(0)).cast("bigint").alias("total"))
+
+
 def pile_up_1d(loops: DataFrame, contacts: DataFrame, resolution: int, window: int) -> DataFrame:
     """``chrom, bin, total``: pixels near loops credited to both bins, the diagonal once."""
     near = near_pixels(loops, contacts, resolution, window)

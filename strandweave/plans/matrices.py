@@ -155,6 +155,11 @@ def a6_flags_strata(spark, d):
     return pairs.groupBy("stratum", "size_class").agg(F.count("*").alias("n"), F.sum(x.mid2() - x.mid1()).alias("total_distance"))
 
 
+@book.add()
+def a6_flags_pileup(spark, d):
+    return op.flags_pile_up(view(spark, d, "fx_anchors"), contacts(spark, d), view(spark, d, "fx_inter"), view(spark, d, "fx_chroms"), RES, 100_000, W)
+
+
 @book.add(f"""WITH {CM}, l AS (SELECT DISTINCT chr1, chr2, ((start1 + end1) // 2) // 50000 AS cx, ((start2 + end2) // 2) // 50000 AS cy FROM fx_loops WHERE list_id = 'A'), o AS (SELECT * FROM l UNION SELECT chr1, chr2, cy, cx FROM l),
 n AS (SELECT * FROM cm c SEMI JOIN o ON o.chr1 = c.chr1 AND o.chr2 = c.chr2 AND abs(bin_x - cx) + abs(bin_y - cy) < 3 WHERE resolution = 50000)
 SELECT chrom, bin, CAST(sum(counts) AS BIGINT) AS total FROM (SELECT chr1 AS chrom, bin_x AS bin, counts FROM n UNION ALL SELECT chr2, bin_y, counts FROM n WHERE NOT (chr1 = chr2 AND bin_x = bin_y)) GROUP BY ALL""")

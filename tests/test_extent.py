@@ -26,3 +26,37 @@ def test_pixels_beyond_60_mb_have_norms(spark, tmp_path):
     assert matrices.pixels(spark, d).count() == far.count()
     length = fixtures.view(spark, d, "fx_chroms").first()["length"]
     assert length > far.agg(F.max("bin_y")).first()[0] * 5000
+
+
+def test_flags_pile_up_against_listed_pairs(spark):
+    rng, w = random.Random(3), 2
+    chroms = spark.createDataFrame([("c1", 1), ("c2", 2), ("c10", 10), ("c11", 11)], "chrom string, chr_index int")
+    index = {r["chrom"]: r["chr_index"] for r in chroms.collect()}
+    points = [(c, s, s + rng.randint(10, 9000)) for c in index for s in (rng.randint(0, 9_000_000) for _ in range(40))]
+    points += points[:3]
+    # as near as the bounds of strata
+    points += [("c1", 1_000_000, 1_000_010), ("c1", 1_500_000, 1_500_010), ("c1", 2_000_000, 2_000_010), ("c1", 2_000_001, 2_000_011)]
+    intra = {(c, c, a, a + rng.randint(0, 90)): rng.randint(1, 9) for c in index for a in (rng.randint(0, 90) for _ in range(600))}
+    inter = {(a, b, rng.randint(0, 95), rng.randint(0, 95)): rng.randint(1, 9) for a in index for b in index if index[a] < index[b] for _ in range(60)}
+    shape = "chr1 string, chr2 string, bin_x bigint, bin_y bigint, counts bigint, resolution bigint"
+    frame = lambda m: spark.createDataFrame([(*k, v, 100_000) for k, v in m.items()], shape)
+    got = matrix.flags_pile_up(spark.createDataFrame(points, "chrom string, start bigint, end bigint"), frame(intra), frame(inter), chroms, 100_000, 100_000, w)
+    want, once = Counter(), set(points)
+    for a in once:
+        for b in once:
+            m, n = (a[1] + a[2]) // 2, (b[1] + b[2]) // 2
+            if a[0] == b[0] and a[2] < b[1] and n - m > 500_000:
+                stack = ("intra", next(k for k in range(9) if n - m <= 2**k * 1_000_000))
+            elif index[a[0]] < index[b[0]]:
+                stack = ("inter", None)
+            else:
+                continue
+            i, j = index[a[0]], index[b[0]]
+            for name in ["all"] + ["big"] * (i < 9 and j < 9) + ["small"] * (i > 9 and j > 9):
+                for dx in range(2 * w + 1):
+                    for dy in range(2 * w + 1):
+                        want[(*stack, name, dx, dy)] += (inter if stack[0] == "inter" else intra).get((a[0], b[0], m // 100_000 - w + dx, n // 100_000 - w + dy), 0)
+    have = {tuple(r)[:5]: r["total"] for r in got.collect()}
+    assert len(have) == (5 + 1) * 3 * (2 * w + 1) ** 2
+    assert {k: v for k, v in have.items() if v} == {k: v for k, v in want.items() if v}
+    assert any(v for k, v in want.items() if k[1] == 3) and any(v for k, v in want.items() if k[0] == "inter" and k[2] == "small")
