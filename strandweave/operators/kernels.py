@@ -196,23 +196,46 @@ def high_res_counts(loops: DataFrame, resolution: int) -> DataFrame:
     return loops.select(F.explode(ends).alias("e")).select("e.*").filter("p IS NOT NULL").groupBy("chrom", div("p", resolution).alias("bin")).agg(F.count("*").alias("n"))
 
 
-def integrate(loops: DataFrame, resolution: int = 10, reach: int = 10) -> DataFrame:
-    """Distinct loops of one bin a side: local points snapped to the best smoothed count around them, if that is a strict local maximum over 1."""
+def integrate(loops: DataFrame, resolution: int = 10, reach: int = 10, bounds: bool = True) -> DataFrame:
+    """Distinct loops of one bin a side: local points snapped to the best smoothed count around them, if that is a strict local maximum over 1.
+
+    A side whose local point is missing or gives none takes the best of its bounds, widened by ``reach``, under the same
+    condition; without ``bounds`` such loops are left out.
+    """
+    from pyspark.sql import Window
+
+    from strandweave.session import materialize
+
     counts = high_res_counts(loops, resolution).select("chrom", "bin", F.col("n").cast("double").alias("value"))
-    # bins two around each count are enough for smoothing, and one more for the maximum
-    wide = counts.select("chrom", F.explode(F.sequence(F.col("bin") - 3, F.col("bin") + 3)).alias("bin")).distinct()
     kernel = F.array(*[F.struct(F.lit(i - 2).alias("o"), F.lit(k).alias("k")) for i, k in enumerate(signals.FIVE_TAPS)])
     parts = counts.select("chrom", "value", "bin", F.explode(kernel).alias("s")).select("chrom", (F.col("bin") + F.col("s.o")).alias("bin"), (F.col("value") * F.col("s.k")).alias("v"))
     smooth = parts.groupBy("chrom", "bin").agg(F.round(F.sum("v"), 9).alias("v"))
-    dense = wide.join(smooth, ["chrom", "bin"], "left").select("chrom", "bin", F.coalesce("v", F.lit(0.0)).alias("v"))
-    peaks = signals.local_maxima(dense.withColumnRenamed("v", "value"), 1.0).select("chrom", "bin", F.col("value").alias("pv"))
-    out = loops.filter("local_x IS NOT NULL AND local_y IS NOT NULL").select("chr1", "chr2", "local_x", "local_y").distinct()
+    # only a bin over 1 can be taken, or keep another from being the best or a maximum, so lower ones don't matter
+    w = Window.partitionBy("chrom").orderBy("bin")
+    beside = lambda f, o: F.when(f("bin").over(w) == F.col("bin") + o, f("v").over(w)).otherwise(0.0)
+    peak = (F.col("bin") > 0) & (F.col("v") > beside(F.lag, -1)) & (F.col("v") > beside(F.lead, 1))
+    high = materialize(smooth.filter("v > 1").withColumn("peak", peak), "integrate-high").withColumn("t", div("bin", 64))
+
+    out = loops.select("chr1", "chr2", *([c for c in COORDS if c not in ("chr1", "chr2")] if bounds else []), "local_x", "local_y").distinct()
+    one, sites = F.lit(1).cast("bigint"), []
     for s, p in ((1, "local_x"), (2, "local_y")):
-        sites = out.select(F.col(f"chr{s}").alias("chrom"), div(p, resolution).alias("pos")).distinct()
-        around = sites.withColumn("bin", F.explode(F.sequence(F.greatest(F.col("pos") - reach, F.lit(1).cast("bigint")), F.col("pos") + reach))).join(smooth, ["chrom", "bin"], "left").withColumn("v", F.coalesce("v", F.lit(0.0)))
-        best = around.groupBy("chrom", "pos").agg(F.max_by("bin", F.struct(F.col("v"), (F.col("bin") == F.col("pos")).cast("int"), -F.col("bin"))).alias("bin"))
-        good = best.join(peaks, ["chrom", "bin"]).select(F.col("chrom").alias(f"chr{s}"), F.col("pos").alias(f"pos{s}"), F.col("bin").alias(f"bin{s}"))
-        out = out.withColumn(f"pos{s}", div(p, resolution)).join(good, [f"chr{s}", f"pos{s}"])
+        # a local point in bin 0 is not searched beside, but is itself the first guess
+        at = div(p, resolution)
+        own = {f"a{s}": F.greatest(at - reach, F.least(at, one)), f"b{s}": at + reach + 1, f"pos{s}": at}
+        low, stop = F.greatest(div(f"start{s}", resolution) - reach, one), div(f"end{s}", resolution) + reach + 1
+        wide = {f"c{s}": low, f"d{s}": stop, f"mid{s}": div(low + stop, 2)} if bounds else {}
+        for way in (own, wide) if bounds else (own,):
+            sites.append(F.struct(F.col(f"chr{s}").alias("chrom"), *[v.alias(n) for v, n in zip(way.values(), ("a", "b", "pos"))]))
+        out = out.withColumns(own | wide)
+    spread = out.select(F.explode(F.array(*sites)).alias("e")).select("e.*").filter("pos >= 0").distinct().withColumn("t", F.explode(x.tiles(F.col("a"), F.col("b"), 64)))
+    hits = spread.join(high, ["chrom", "t"]).filter("bin >= a AND bin < b")
+    best = hits.groupBy("chrom", "a", "b", "pos").agg(F.max_by(F.struct("bin", "peak"), F.struct(F.col("v"), (F.col("bin") == F.col("pos")).cast("int"), -F.col("bin"))).alias("h"))
+    found = materialize(best.filter("h.peak").select("chrom", "a", "b", "pos", F.col("h.bin").alias("bin")), "integrate-found")
+    for s in (1, 2):
+        for n, names in enumerate((("a", "b", "pos"), ("c", "d", "mid")) if bounds else (("a", "b", "pos"),)):
+            keys = [f"chr{s}", *[f"{k}{s}" for k in names]]
+            out = out.join(found.toDF(*keys, f"bin{s}{n}"), keys, "left")
+        out = out.withColumn(f"bin{s}", F.coalesce(*[f"bin{s}{n}" for n in range(1 + bounds)])).filter(F.col(f"bin{s}").isNotNull())
     side = lambda s: [f"chr{s}", (F.col(f"bin{s}") * resolution).alias(f"start{s}"), (F.col(f"bin{s}") * resolution + resolution).alias(f"end{s}")]
     return out.select(*side(1), *side(2)).distinct()
 

@@ -171,7 +171,12 @@ ar AS (SELECT chrom, pos, unnest(range(greatest(pos - 10, 1), pos + 11)) AS bin
 ok AS (SELECT chrom, pos, bin FROM bs SEMI JOIN pk USING (chrom, bin) WHERE n = 1)
 SELECT DISTINCT chr1, a.bin * 100 AS start1, a.bin * 100 + 100 AS end1, chr2, b.bin * 100 AS start2, b.bin * 100 + 100 AS end2 FROM q JOIN ok a ON a.chrom = chr1 AND a.pos = local_x // 100 JOIN ok b ON b.chrom = chr2 AND b.pos = local_y // 100""")
 def j_p4_integrate(spark, d):
-    return kernels.integrate(view(spark, d, "fx_loops"), 100, 10)
+    return kernels.integrate(view(spark, d, "fx_loops"), 100, 10, bounds=False)
+
+
+@book.add()
+def j_p4_integrate_bounds(spark, d):
+    return kernels.integrate(table(spark, d, "loops"), 100, 10)
 
 
 NET = """np AS (SELECT DISTINCT chr1, chr2, ((start1 + end1) // 2) // 2000 AS b1, ((start2 + end2) // 2) // 2000 AS b2 FROM loops),

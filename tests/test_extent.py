@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave.functions.scalars import COORDS
-from strandweave.operators import kernels, matrix, sampling
+from strandweave.operators import kernels, matrix
 from strandweave.plans import fixtures, matrices
 
 DATA = "/root/testdata/sf0.001"
@@ -60,3 +60,53 @@ def test_flags_pile_up_against_listed_pairs(spark):
     assert len(have) == (5 + 1) * 3 * (2 * w + 1) ** 2
     assert {k: v for k, v in have.items() if v} == {k: v for k, v in want.items() if v}
     assert any(v for k, v in want.items() if k[1] == 3) and any(v for k, v in want.items() if k[0] == "inter" and k[2] == "small")
+
+
+def plain_integrate(rows, res, reach):
+    """getIdealPosition of the reference over dense arrays; a repeated loop counts as often."""
+    size = 60
+    data = defaultdict(lambda: [0.0] * size)
+    for c1, _, _, c2, _, _, x, y in rows:
+        for c, p in ((c1, x), (c2, y)):
+            if p is not None:
+                for o, k in zip((-2, -1, 0, 1, 2), (0.055, 0.245, 0.4, 0.245, 0.055)):
+                    data[c][p // res + o] += k
+
+    def best(d, a, b, pos):
+        for i in range(a, b):
+            if round(d[i], 9) > round(d[pos], 9):
+                pos = i
+        return pos
+
+    def is_max(d, i):
+        v = [round(d[j], 9) for j in (i - 1, i, i + 1)]
+        return i > 0 and v[1] > 1 and v[1] > v[0] and v[1] > v[2]
+
+    def ideal(c, p, start, end):
+        d = data[c]
+        if p is not None:
+            i = best(d, max(1, p // res - reach), min(size - 1, p // res + reach + 1), p // res)
+            if is_max(d, i):
+                return i
+        a, b = max(1, start // res - reach), min(size - 1, end // res + reach + 1)
+        i = best(d, a, b, (a + b) // 2)
+        return i if is_max(d, i) else -1
+
+    at = [(r[0], ideal(r[0], r[6], r[1], r[2]), r[3], ideal(r[3], r[7], r[4], r[5])) for r in rows]
+    return {(a, i * res, b, j * res) for a, i, b, j in at if i > 0 and j > 0}
+
+
+def test_integrate_takes_the_bounds_where_no_local_point_fits(spark):
+    rng = random.Random(5)
+    rows = []
+    for k in range(120):
+        a, b = rng.choice([120, 260, 400]) + rng.randint(-40, 40), rng.choice([130, 330, 470]) + rng.randint(-40, 40)
+        x, y = (None if rng.random() < 0.2 else rng.choice([130, 270, 415, 420]) + rng.choice([-20, 0, 0, 10]) for _ in range(2))
+        rows.append((f"c{k % 2}", a, a + 50, "c2", b, b + 30, x, y))
+    # a local point that is far from any maximum: only the bounds give one
+    rows.append(("c0", 260, 290, "c2", 260, 290, 570, 560))
+    rows += [("c3", 290, 310, "c2", 255, 285, 300, None)] * 2 + [("c3", 290, 310, "c2", 255 + i, 285, 300, None) for i in range(5)]
+    df = spark.createDataFrame(rows, "chr1 string, start1 bigint, end1 bigint, chr2 string, start2 bigint, end2 bigint, local_x bigint, local_y bigint")
+    found = lambda **k: {(r["chr1"], r["start1"], r["chr2"], r["start2"]) for r in kernels.integrate(df, 10, 3, **k).collect()}
+    assert found() == plain_integrate(rows, 10, 3)
+    assert found(bounds=False) < found()
