@@ -263,7 +263,7 @@ def m15_t_tests(spark, d):
 
 @book.add()
 def r1_seer(spark, d):
-    return sampling.sample_reads(contacts(spark, d), 50_000, 100_000)
+    return sampling.sample_reads(contacts(spark, d), 50_000, 100_000, RES)
 
 
 @book.add("""WITH t AS (SELECT chr1, bin_x, counts FROM fx_contacts WHERE resolution = 50000) SELECT chr1, bin_x, count(*) AS n, round(exp(avg(ln(counts)) FILTER (WHERE counts > 1)), 6) AS geo_mean, round(quantile_cont(counts, 0.9) FILTER (WHERE counts > 1), 6) AS p90, round(median(counts), 6) AS median FROM t GROUP BY ALL""")

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave.functions.scalars import COORDS
-from strandweave.operators import kernels, matrix
+from strandweave.operators import kernels, matrix, sampling
 from strandweave.plans import fixtures, matrices
 
 DATA = "/root/testdata/sf0.001"
@@ -110,3 +110,16 @@ def test_integrate_takes_the_bounds_where_no_local_point_fits(spark):
     found = lambda **k: {(r["chr1"], r["start1"], r["chr2"], r["start2"]) for r in kernels.integrate(df, 10, 3, **k).collect()}
     assert found() == plain_integrate(rows, 10, 3)
     assert found(bounds=False) < found()
+
+
+def test_reads_follow_the_row_sums_of_the_high_resolution(spark):
+    # c1: two fine bins of a coarse one, 9 : 1, and none in the rest; c2: half of its contacts lie beyond the range of draws
+    fine = [("c1", 3, 13, 90), ("c1", 7, 17, 10), ("c2", 1, 11, 50), ("c2", 1, 95, 50)]
+    rows = [(c, c, 100, x, y, n) for c, x, y, n in fine] + [("c1", "c1", 1000, 0, 1, 100), ("c2", "c2", 1000, 0, 1, 50), ("c2", "c2", 1000, 0, 9, 50)]
+    df = spark.createDataFrame(rows, "chr1 string, chr2 string, resolution bigint, bin_x bigint, bin_y bigint, counts bigint")
+    got = sampling.sample_reads(df, 1000, 4000, 100, far=5000).collect()
+    by = Counter((r["chr1"], r["pos1"], r["pos2"]) for r in got)
+    assert Counter(r["chr1"] for r in got) == {"c1": 2000, "c2": 2000}
+    assert set(by) == {("c1", a, b) for a in (300, 700) for b in (1300, 1700)} | {("c2", 100, 1100)}
+    first = sum(n for (c, a, _), n in by.items() if c == "c1" and a == 300)
+    assert 1700 < first < 1900
