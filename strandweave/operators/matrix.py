@@ -32,16 +32,16 @@ def norm_z(norms: DataFrame) -> DataFrame:
     return good.withColumn("l", F.ln("value")).withColumn("z", (F.col("l") - F.avg("l").over(w)) / F.stddev_samp("l").over(w)).drop("l")
 
 
-def expected(contacts: DataFrame, chroms: DataFrame) -> DataFrame:
-    """``chrom, resolution, d, n, mean, mean_log, sd_log``: over all cells at a distance, absent ones counting 0."""
-    d = contacts.filter("chr1 = chr2").groupBy(F.col("chr1").alias("chrom"), "resolution", F.abs(F.col("bin_x") - F.col("bin_y")).alias("d")).agg(
+def expected(contacts: DataFrame, chroms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``*keys, chrom, resolution, d, n, mean, mean_log, sd_log``: over all cells at a distance, absent ones counting 0."""
+    d = contacts.filter("chr1 = chr2").groupBy(*keys, F.col("chr1").alias("chrom"), "resolution", F.abs(F.col("bin_x") - F.col("bin_y")).alias("d")).agg(
         F.sum("counts").alias("s"), F.sum(F.log1p("counts")).alias("sl"), F.sum(F.pow(F.log1p("counts"), 2)).alias("ql")
     )
     n = F.greatest(div(F.col("length") + F.col("resolution") - 1, F.col("resolution")) - F.col("d"), F.lit(1).cast("bigint"))
     d = d.join(F.broadcast(chroms.select("chrom", "length")), "chrom").withColumn("n", n)
     mean = F.col("sl") / F.col("n")
     sd = F.sqrt(F.greatest(F.col("ql") - F.col("n") * mean * mean, F.lit(0.0)) / F.greatest(F.col("n") - 1, F.lit(1)))
-    return d.select("chrom", "resolution", "d", "n", (F.col("s") / F.col("n")).alias("mean"), mean.alias("mean_log"), sd.alias("sd_log"))
+    return d.select(*keys, "chrom", "resolution", "d", "n", (F.col("s") / F.col("n")).alias("mean"), mean.alias("mean_log"), sd.alias("sd_log"))
 
 
 def against_expected(contacts: DataFrame, model: DataFrame) -> DataFrame:
@@ -246,6 +246,55 @@ def sieve_scores(loops: DataFrame, contacts: DataFrame, resolution: int, window:
     return d.select(*identity, F.col("o").alias("observed"), F.when(sd > 0, (F.col("o") - mean) / sd).alias("local_z"), F.when(mean > 0, F.col("o") / mean).alias("local_oe"))
 
 
+def _with_model(loops: DataFrame, contacts: DataFrame, chroms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Loops, which have a ``resolution``, with the ``mean, mean_log, sd_log, mean1`` of their distance; null between chromosomes and where it has no contacts."""
+    model = expected(contacts, chroms, keys)
+    near = model.groupBy(*keys, "chrom", "resolution").agg(F.min_by("mean", "d").alias("mean1"))
+    m = model.join(near, [*keys, "chrom", "resolution"]).select(*keys, F.col("chrom").alias("chr1"), F.col("chrom").alias("chr2"), "resolution", "d", "mean", "mean_log", "sd_log", "mean1")
+    d = F.abs(div(x.mid1(), F.col("resolution")) - div(x.mid2(), F.col("resolution")))
+    return loops.withColumn("d", d).join(m, [*keys, "chr1", "chr2", "resolution", "d"], "left")
+
+
+def _percent(observed: Column) -> Column:
+    return F.when(F.col("mean").isNotNull(), x.clamp(F.when(F.col("mean1") != F.col("mean"), (observed - F.col("mean")) / (F.col("mean1") - F.col("mean")))))
+
+
+def sieve(loops: DataFrame, contacts: DataFrame, chroms: DataFrame, resolutions: Sequence[int], window: int = 10, skip_global: bool = False) -> DataFrame:
+    """Per distinct loop and resolution ``observed, local_z, local_oe`` and, unless skipped, ``global_z, global_oe, percent``; null where there is no expectation."""
+    if window < 5:
+        raise ValueError("local statistics need a window of 5 bins")
+    once, d = loops.select(*COORDS).distinct(), None
+    for r in resolutions:
+        one = sieve_scores(once, contacts, r, window, COORDS).withColumn("resolution", F.lit(r).cast("bigint"))
+        d = one if d is None else d.unionByName(one)
+    if skip_global:
+        return d
+    o = F.col("observed")
+    z = F.when(F.col("sd_log") > 0, (F.log1p(o) - F.col("mean_log")) / F.col("sd_log"))
+    d = _with_model(d, contacts.filter(F.col("resolution").isin(*resolutions)), chroms)
+    return d.select(*COORDS, "resolution", "observed", "local_z", "local_oe", z.alias("global_z"), F.when(F.col("mean") > 0, o / F.col("mean")).alias("global_oe"), _percent(o).alias("percent"))
+
+
+def recap(loops: DataFrame, contacts: DataFrame, chroms: DataFrame, resolution: int, window: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Per distinct loop of a key and ``experiment``: ``presence`` against the experiment's expectation, ``total``, the decay's ``amplitude, slope``
+    and the rows' ``row_amplitude, row_spread`` over its observed window; a loop without contacts there has a total of 0 and nulls."""
+    once = loops.select(*keys, *COORDS).distinct()
+    each = [*keys, "experiment", *COORDS]
+    size, c, v = 2 * window + 1, F.col("counts"), lambda k: F.coalesce(F.sum(F.when(k, F.col("counts"))), F.lit(0))
+    away = F.abs(F.col("dx") - window) + F.abs(F.col("dy") - window)
+    # a distance k has 4k cells, all within the window
+    hits = window_pixels(once, contacts, resolution, window).groupBy(*each).agg(
+        F.sum(c).alias("total"), v(away == 0).cast("double").alias("observed"),
+        F.array(*[v(away == k) / float(max(1, 4 * k)) for k in range(window)]).alias("means"), F.array(*[v(F.col("dx") == k) for k in range(size)]).alias("rows"))
+    fit = decay_fit(hits.select(*each, F.posexplode("means").alias("d", "mean")), each)
+    rows = row_profile(hits.select(*each, F.posexplode("rows").alias("dx", "total")), each)
+    shape = amplitude_and_spread(rows, window, each).withColumnsRenamed({"amplitude": "row_amplitude", "spread": "row_spread"})
+    all_ = once.join(F.broadcast(contacts.select("experiment").distinct()), F.lit(True)).withColumn("resolution", F.lit(resolution).cast("bigint"))
+    d = all_.join(hits.drop("means", "rows"), each, "left").fillna(0, ["total", "observed"]).join(fit, each, "left").join(shape, each, "left")
+    d = _with_model(d, contacts.filter(F.col("resolution") == resolution), chroms, ["experiment"])
+    return d.select(*each, _percent(F.col("observed")).alias("presence"), "total", "amplitude", "slope", "row_amplitude", "row_spread")
+
+
 def log_z(contacts: DataFrame, above: float | None = None) -> DataFrame:
     """``z`` of the logarithm of positive counts within a pair of chromosomes."""
     w = Window.partitionBy("chr1", "chr2", "resolution")

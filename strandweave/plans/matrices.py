@@ -269,6 +269,16 @@ def m5_sieve_scores(spark, d):
     return r6(op.sieve_scores(view(spark, d, "fx_loops").select(*COORDS).distinct(), contacts(spark, d), 50_000, 4, COORDS), "local_z", "local_oe")
 
 
+@book.add()
+def m5_sieve_whole(spark, d):
+    return op.sieve(view(spark, d, "fx_loops"), contacts(spark, d), view(spark, d, "fx_chroms"), [5000, 50_000], W)
+
+
+@book.add()
+def a13_recap_observed(spark, d):
+    return op.recap(view(spark, d, "fx_loops"), contacts(spark, d, merged=False), view(spark, d, "fx_chroms"), RES, W, ["list_id"])
+
+
 @book.add("SELECT chr1, chr2, bin_x, bin_y, z FROM (SELECT *, round((ln(counts) - avg(ln(counts)) OVER w) / stddev_samp(ln(counts)) OVER w, 6) AS z FROM fx_inter WHERE counts > 0 WINDOW w AS (PARTITION BY chr1, chr2)) WHERE z > 2")
 def m4_log_zscore(spark, d):
     return r6(op.log_z(view(spark, d, "fx_inter"), 2.0).select("chr1", "chr2", "bin_x", "bin_y", "z"), "z")

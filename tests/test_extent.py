@@ -123,3 +123,68 @@ def test_reads_follow_the_row_sums_of_the_high_resolution(spark):
     assert set(by) == {("c1", a, b) for a in (300, 700) for b in (1300, 1700)} | {("c2", 100, 1100)}
     first = sum(n for (c, a, _), n in by.items() if c == "c1" and a == 300)
     assert 1700 < first < 1900
+
+
+def plain_model(pixels, cells):
+    """Mean, mean and deviation of logarithms by distance, and the mean at the least one."""
+    import numpy as np
+
+    by = defaultdict(list)
+    for (a, b), n in pixels.items():
+        by[abs(a - b)].append(n)
+    out = {}
+    for d, v in by.items():
+        v = np.array(v + [0] * (cells - d - len(v)), float)
+        out[d] = (v.mean(), np.log1p(v).mean(), np.log1p(v).std(ddof=1))
+    return out, out[min(out)][0]
+
+
+def test_sieve_and_recap_against_plain_windows(spark):
+    import numpy as np
+
+    rng, cells, w = random.Random(8), 60, 6
+    at = {(e, a, a + rng.randint(0, 20)): rng.randint(1, 30) for e in "FO" for a in (rng.randint(0, 59) for _ in range(500))}
+    rows = [("c", "c", r, b0, b1, e, n) for r in (100, 1000) for (e, b0, b1), n in at.items() if b1 < cells]
+    df = spark.createDataFrame(rows, "chr1 string, chr2 string, resolution bigint, bin_x bigint, bin_y bigint, experiment string, counts bigint")
+    chroms = spark.createDataFrame([("c", 6000, 1)], "chrom string, length bigint, chr_index int")
+    # at 100 the chromosome has 60 bins, at 1000 only 6 by its length: the second is there for the number of rows
+    bins = [(rng.randint(0, 40), rng.randint(0, 20)) for _ in range(25)]
+    loops = [("A" if k % 2 else "R", "c", 100 * a, 100 * a + 90, "c", 100 * (a + o), 100 * (a + o) + 90) for k, (a, o) in enumerate(bins)]
+    lf = spark.createDataFrame(loops, "list_id string, chr1 string, start1 bigint, end1 bigint, chr2 string, start2 bigint, end2 bigint")
+    merged = df.groupBy("chr1", "chr2", "resolution", "bin_x", "bin_y").agg(F.sum("counts").alias("counts"))
+    got = {(r["start1"] // 100, r["start2"] // 100): r for r in matrix.sieve(lf, merged, chroms, [100, 1000], w).collect() if r["resolution"] == 100}
+    assert set(got) == {(a, a + o) for a, o in bins}
+    assert matrix.sieve(lf, merged, chroms, [100, 1000], w).count() == 2 * len(got)
+    sums = Counter()
+    for (_, a, b), n in at.items():
+        sums[a, b] += n * (b < cells)
+    sums = {k: n for k, n in sums.items() if n}
+    model, first = plain_model(sums, cells)
+    close = lambda p, q: (p is None and q is None) or abs(p - q) < 1e-9 * max(1, abs(q))
+    for (a, b), r in got.items():
+        o, m = sums.get((a, b), 0), model.get(b - a)
+        assert r["observed"] == o
+        cut = [sums.get((i, j), 0) for i in range(max(0, a - w), a + w + 1) for j in range(max(0, b - w), b + w + 1) if i != a and j != b]
+        assert close(r["local_z"], (o - np.mean(cut)) / np.std(cut, ddof=1)) and close(r["local_oe"], o / np.mean(cut))
+        assert close(r["global_oe"], o / m[0]) and close(r["global_z"], (np.log1p(o) - m[1]) / m[2])
+        assert close(r["percent"], min(1, max(0, (o - m[0]) / (first - m[0]))) if m[0] != first else 0.0)
+    with pytest.raises(ValueError):
+        matrix.sieve(lf, merged, chroms, [100], 4)
+
+    got = matrix.recap(lf, df, chroms, 100, w, ["list_id"]).collect()
+    assert len(got) == 2 * len(set(loops))
+    for r in got:
+        own = {(a, b): n for (e, a, b), n in at.items() if e == r["experiment"] and b < cells}
+        model, first = plain_model(own, cells)
+        a, b = r["start1"] // 100, r["start2"] // 100
+        m, o = model.get(b - a), own.get((a, b), 0)
+        g = np.array([[own.get((a - w + i, b - w + j), 0) for j in range(2 * w + 1)] for i in range(2 * w + 1)], float)
+        assert r["total"] == g.sum()
+        assert close(r["presence"], None if m is None else min(1, max(0, (o - m[0]) / (first - m[0]))) if m[0] != first else 0.0)
+        far = np.abs(np.arange(2 * w + 1) - w)
+        decay = [(k, g[far[:, None] + far[None, :] == k].mean()) for k in range(w)]
+        xs, ys = zip(*[(k, np.log(v)) for k, v in decay if v > 0])
+        slope, cut = np.polyfit(xs, ys, 1)
+        pdf = g.sum(1) / g.sum()
+        for name, v in (("slope", slope), ("amplitude", np.exp(cut)), ("row_amplitude", pdf.std(ddof=1)), ("row_spread", np.sqrt(((np.arange(2 * w + 1) - w) ** 2 * pdf).sum()))):
+            assert abs(r[name] - v) < 1e-7 * max(1, abs(v)), name
