@@ -100,6 +100,11 @@ def j6b_contained_anchors(spark, d):
     return op.contained_anchors(features.distinct_features(_list(spark, d, "A")), view(spark, d, "fx_anchors"))
 
 
+@book.add(f"""WITH l AS (SELECT DISTINCT {C} FROM fx_loops) SELECT {C}, q."start" AS anchor_start, q."end" AS anchor_end FROM l JOIN fx_anchors q ON q.chrom = l.chr1 AND (q."start" + q."end") // 2 >= start1 AND q."end" < end1""")
+def j6b_contained_anchors_all(spark, d):
+    return op.contained_anchors(features.distinct_features(view(spark, d, "fx_loops")), view(spark, d, "fx_anchors"))
+
+
 def _motif(permissive: bool) -> str:
     def side(s: int) -> str:
         return f"""m{s} AS (SELECT * FROM (SELECT l.*, q.s AS s{s}, q.e AS e{s}, q.m AS m{s}, row_number() OVER (PARTITION BY {C} ORDER BY abs((start{s} + end{s}) // 2 - m), s, e) AS n, count(*) OVER (PARTITION BY {C}) AS c
@@ -159,6 +164,11 @@ def j11_anchor_pairs_inter(spark, d):
     return op.pair_anchors_between(high("forward"), high("reverse"), view(spark, d, "fx_chroms"))
 
 
+@book.add()
+def j11_anchor_pairs_inter_all(spark, d):
+    return op.pair_anchors_between(_oriented(spark, d, "forward"), _oriented(spark, d, "reverse"), view(spark, d, "fx_chroms"))
+
+
 @book.add("""WITH a AS (SELECT i.chrom AS chr1, j.chrom AS chr2 FROM fx_chroms i JOIN fx_chroms j ON i.chr_index < j.chr_index WHERE i.is_autosome AND j.is_autosome),
 t AS (SELECT chr1, chr2, min(counts) AS tenth FROM (SELECT *, row_number() OVER (PARTITION BY chr1, chr2 ORDER BY counts DESC, bin_x, bin_y) AS n FROM fx_inter SEMI JOIN a USING (chr1, chr2)) WHERE n <= 10 GROUP BY ALL),
 g AS (SELECT avg(counts) AS m, stddev_samp(counts) AS s FROM fx_inter SEMI JOIN a USING (chr1, chr2))
@@ -196,6 +206,22 @@ def j14_near_pixels(spark, d):
     return op.near_pixels(_list(spark, d, "A"), view(spark, d, "fx_contacts"), 50_000, 3).select("experiment", "chr1", "chr2", "bin_x", "bin_y", "counts")
 
 
+@book.add()
+def j12_window_pixels_all(spark, d):
+    hits = op.window_pixels(features.distinct_features(view(spark, d, "fx_loops")), view(spark, d, "fx_contacts"), 50_000, 3)
+    return hits.groupBy(*COORDS, "dx", "dy").agg(F.sum("counts").alias("counts"))
+
+
+@book.add()
+def f18_pixel_mask_all(spark, d):
+    return op.masked_pixels(view(spark, d, "fx_loops"), view(spark, d, "fx_contacts"), 5000, 2).select("experiment", "chr1", "chr2", "bin_x", "bin_y", "counts")
+
+
+@book.add()
+def j14_near_pixels_all(spark, d):
+    return op.near_pixels(view(spark, d, "fx_loops"), view(spark, d, "fx_contacts"), 50_000, 3).select("experiment", "chr1", "chr2", "bin_x", "bin_y", "counts")
+
+
 @book.add("""SELECT chr1, chr2, bin_x, bin_y, counts FROM fx_inter a WHERE NOT EXISTS (SELECT 1 FROM fx_inter b WHERE b.chr1 = a.chr1 AND b.chr2 = a.chr2 AND b.bin_x BETWEEN a.bin_x - 1 AND a.bin_x + 1 AND b.bin_y BETWEEN a.bin_y - 1 AND a.bin_y + 1 AND b.counts > a.counts)""")
 def j15_nms_3x3(spark, d):
     return op.not_below_neighbour(view(spark, d, "fx_inter")).select("chr1", "chr2", "bin_x", "bin_y", "counts")

@@ -167,6 +167,11 @@ def a7_apa_1d(spark, d):
     return op.pile_up_1d(_list(spark, d, "A"), contacts(spark, d), 50_000, 3)
 
 
+@book.add()
+def a7_apa_1d_all(spark, d):
+    return op.pile_up_1d(view(spark, d, "fx_loops"), contacts(spark, d), 50_000, 3)
+
+
 def _strength(spark: SparkSession, d: str) -> DataFrame:
     return op.anchor_strength(pixels(spark, d))
 
@@ -199,6 +204,11 @@ def a9_enhance(spark, d):
     return d_.filter("total > 0")
 
 
+@book.add()
+def a9_enhance_lists(spark, d):
+    return op.pile_up(view(spark, d, "fx_loops"), contacts(spark, d, merged=False), 50_000, 3, ["list_id"]).filter("total > 0")
+
+
 AP = f"{CM}, {hits('true')}, ap AS (SELECT 'upstream' AS side, chr1 AS chrom, x0 + {W} AS bin, dx, dy, counts FROM h UNION ALL SELECT 'downstream', chr2, y0 + {W}, dx, dy, counts FROM h), as_ AS (SELECT side, chrom, bin, dx, dy, sum(counts) AS v FROM ap GROUP BY ALL)"
 
 
@@ -215,6 +225,11 @@ def a11_window_dump(spark, d):
     return dump.select(*COORDS, F.aggregate(F.transform(flat, lambda v, i: v * (i + 1)), F.lit(0.0), add).alias("checksum"), F.aggregate(flat, F.lit(0.0), add).alias("total"))
 
 
+@book.add()
+def a11_window_dump_all(spark, d):
+    return op.window_dump(features.distinct_features(view(spark, d, "fx_loops")), contacts(spark, d), 50_000, 2, COORDS)
+
+
 STATS = """SELECT round(c / rest, 6) AS peak_to_mean, round(ur, 6) AS ur_mean, round(c / ul, 6) AS peak_to_ul, round(c / ur, 6) AS peak_to_ur, round(c / ll, 6) AS peak_to_ll, round(c / lr, 6) AS peak_to_lr, round((c - ll) / sd, 6) AS z_ll FROM (
   SELECT max(total) FILTER (WHERE dx = 10 AND dy = 10) AS c, avg(total) FILTER (WHERE NOT (dx = 10 AND dy = 10)) AS rest, avg(total) FILTER (WHERE dx < 5 AND dy > 15) AS ur, avg(total) FILTER (WHERE dx < 5 AND dy < 5) AS ul,
     avg(total) FILTER (WHERE dx > 15 AND dy < 5) AS ll, avg(total) FILTER (WHERE dx > 15 AND dy > 15) AS lr, stddev_samp(total) FILTER (WHERE dx > 15 AND dy < 5) AS sd FROM pile)"""
@@ -326,6 +341,16 @@ def t3_coarse_to_fine(spark, d):
     return op.coarse_to_fine(features.distinct_features(_list(spark, d, "A")), contacts(spark, d), [50_000, 5000])
 
 
+@book.add()
+def t1_simple_max_all(spark, d):
+    return op.max_pixel(features.distinct_features(view(spark, d, "fx_loops")), contacts(spark, d), RES, view(spark, d, "fx_norms"))
+
+
+@book.add()
+def t3_coarse_to_fine_all(spark, d):
+    return op.coarse_to_fine(features.distinct_features(view(spark, d, "fx_loops")), contacts(spark, d), [50_000, 5000])
+
+
 @book.add("""WITH s AS (SELECT a.i, b.i AS j, (3 - abs(a.i) - abs(b.i)) / 3e0 AS k FROM range(-3, 4) a(i) CROSS JOIN range(-3, 4) b(i) WHERE abs(a.i) + abs(b.i) < 3)
 SELECT chr1, chr2, bin_x + i AS bin_x, bin_y + j AS bin_y, round(sum(counts * k), 6) AS value FROM fx_inter CROSS JOIN s WHERE counts > 0 GROUP BY ALL""")
 def j_p8_convolve2d(spark, d):

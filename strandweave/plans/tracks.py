@@ -12,7 +12,7 @@ from strandweave.operators import matrix as mx
 from strandweave.operators import signals as op
 from strandweave.plans.book import Book
 from strandweave.plans.fixtures import view
-from strandweave.plans.joins import RASTER, _list
+from strandweave.plans.joins import RASTER
 from strandweave.plans.matrices import RES, contacts, hot, pixels, r6
 from strandweave.session import table
 
@@ -239,7 +239,7 @@ def j_p6_multires_collapse(spark, d):
 @book.add()
 def j_p7_pinpoint(spark, d):
     w = 16
-    cells = mx.window_cells(features.distinct_features(_list(spark, d, "A")), contacts(spark, d), RES, w, COORDS)
+    cells = mx.window_cells(features.distinct_features(view(spark, d, "fx_loops")), contacts(spark, d), RES, w, COORDS)
     return kernels.pinpoint(cells, COORDS, RES, w, coarse=4)
 
 
@@ -250,7 +250,7 @@ def j_p10_stripes(spark, d):
 
 @book.add()
 def j_p11_stripe_localize(spark, d):
-    loops = features.size_filter(features.distinct_features(_list(spark, d, "A")), 100, 5)
+    loops = features.size_filter(features.distinct_features(view(spark, d, "fx_loops")), 100, 5)
     return kernels.localize_stripes(mx.window_cells(loops, contacts(spark, d), RES, 15, COORDS), COORDS, 15, 2)
 
 

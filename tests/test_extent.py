@@ -188,3 +188,26 @@ def test_sieve_and_recap_against_plain_windows(spark):
         pdf = g.sum(1) / g.sum()
         for name, v in (("slope", slope), ("amplitude", np.exp(cut)), ("row_amplitude", pdf.std(ddof=1)), ("row_spread", np.sqrt(((np.arange(2 * w + 1) - w) ** 2 * pdf).sum()))):
             assert abs(r[name] - v) < 1e-7 * max(1, abs(v)), name
+
+
+@pytest.mark.skipif(not os.path.isdir(DATA), reason="needs the test tables")
+def test_queries_of_one_list_reach_all_loops(spark):
+    """The rows of list A, which the SQL covers, are within those of all lists."""
+    from strandweave.plans import registry, tracks
+
+    q = registry.queries()
+    for name in ("j6b_contained_anchors", "j12_window_pixels", "f18_pixel_mask", "j14_near_pixels", "a7_apa_1d", "t1_simple_max", "t3_coarse_to_fine"):
+        key = [c for c in q[name](spark, DATA).columns if c != "total"]
+        one, all_ = ({tuple(r) for r in q[n](spark, DATA).select(*key).collect()} for n in (name, f"{name}_all"))
+        assert one <= all_, name
+        # at this size every coarse pixel is near some loop of A
+        assert len(one) < len(all_) or name in ("j14_near_pixels", "a7_apa_1d"), name
+    n = fixtures.view(spark, DATA, "fx_loops").select(*COORDS).distinct().count()
+    assert q["a11_window_dump_all"](spark, DATA).count() == n
+    assert q["a9_enhance_lists"](spark, DATA).select("list_id").distinct().count() == 3
+    anchors = fixtures.view(spark, DATA, "fx_anchors").groupBy("chrom").agg(F.count_if(F.col("name").startswith("F")).alias("f"), F.count_if(F.col("name").startswith("R")).alias("r")).collect()
+    index = {r["chrom"]: r for r in anchors}
+    assert q["j11_anchor_pairs_inter_all"](spark, DATA).count() == sum(index[a]["f"] * index[b]["r"] for a in index for b in index if a < b)
+    found = {(r["start1"], r["start2"]) for r in tracks.j_p7_pinpoint(spark, DATA).select("start1", "start2").collect()}
+    outside = fixtures.view(spark, DATA, "fx_loops").filter("list_id <> 'A'").select("start1", "start2").collect()
+    assert found & {tuple(r) for r in outside}
