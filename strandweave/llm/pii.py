@@ -2,9 +2,10 @@
 
 Places are found in what a reader sees of a message (see ``mail``), so quoted-printable, HTML and quoted replies count
 and cases broken over lines are one. Names come from a lexicon that is learned from the address headers of all
-documents, starting from given names known beforehand; a fixed-size Bloom filter of it goes to the tasks, and what
-passes is checked exactly by a join, so nothing that is broadcast grows with the data. Numbers get format-preserving
-Feistel pseudonyms, other values keyed tokens, so equal values stay linked across documents.
+documents (see ``names``). Texts are read once with a Bloom filter of it; the distinct names that came out are checked
+exactly, and only documents with a name that the filter passed wrongly are read again, with all their candidates
+joined with the lexicon. Numbers get format-preserving Feistel pseudonyms, other values keyed tokens, so equal values
+stay linked across documents in whatever layout they stand.
 
 Defined results: null or empty texts have no places and stay as they are; texts without headers are bodies; very long
 texts are read whole; a value found several times in a document counts once; repeated rows change nothing in what is
@@ -15,273 +16,18 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
-from zlib import crc32
 
-import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from strandweave.llm import feistel
+from strandweave.llm import feistel, grammar
+from strandweave.llm import names as people
 from strandweave.llm.mail import visible
+from strandweave.session import materialize
 
-BREAK = r"\r?\n(?:[ \t]*[>|])*[ \t]*"
-#: Optional and required blanks; at most one line break, with quote marks.
-B0 = rf"[ \t\xa0]*(?:{BREAK})?"
-B1 = rf"(?:[ \t\xa0]+(?:{BREAK})?|{BREAK})"
-
-# --- e-mail addresses
-HOST = re.compile(r"@[A-Za-z0-9][\w-]*(?:\.[\w-]+)*\.[A-Za-z]{2,}(?![\w-])")
-BACK_LOCAL = re.compile(r"[\w.+%-]*[A-Za-z0-9_]")
-HINT = re.compile(r"[\[({][ \t]*(?:at|AT|At)[ \t]*[\])}]|\sAT\s")
-DOT = rf"(?:\.|{B0}[\[({{](?i:dot)[\])}}]{B0})"
-DISGUISED = re.compile(
-    rf"(?<![\w.+-])([\w+-]+(?:{DOT}[\w+-]+)*)(?:{B0}[\[({{][ \t]*(?i:at)[ \t]*[\])}}]{B0}|{B1}AT{B1})([A-Za-z0-9][\w-]*(?:{DOT}[\w-]+)+)"
-)
-DOTS = re.compile(rf"{B0}[\[({{](?i:dot)[\])}}]{B0}")
-
-# --- phone numbers: fixed values, the ways of grouping digits
-S = rf"(?:[ .\xa0/-]|{B1})"
-PHONE = re.compile(
-    rf"(?<![\w+])(?<!\d[.,/-])(?:(?:\+|00)\d{{1,3}}{S}?(?:\(0\){S}?\d{{2}}/\d{{6}}|\d{{2}}{S}\d{{3}}{S}\d{{4}}|\d{{3}}{S}\d{{2}}{S}\d{{3}}|\d{{3}}{S}\d{{3}}{S}\d{{4}}|\d(?:[ .\xa0-]\d{{2}}){{4}}|\d{S}\d{{2}}{S}\d{{2}}{S}\d{{2}}|\(\d{{3}}\){S}?\d{{3}}{S}\d{{4}}|\d{{7,12}})"
-    rf"|(?:1{S})?\(\d{{3}}\){S}?\d{{3}}{S}\d{{4}}|\d{{3}}-\d{{3}}-\d{{4}}|\d{{3}}\.\d{{3}}\.\d{{4}}|\d{{3}}{B1}\d{{7}})(?![\w])(?![-./]\d)"
-)
-DIGITS = re.compile(rf"[+(\d](?:[\d()./\xa0 -]|{BREAK}(?=[(\d]))*")
-PART_BEFORE = re.compile(r"(?:part|serial|model|item|order|article|build|version)\s+(?:numbers?|nos?\.?)[\s>|]+(?:is|are|was)?[\s>|:]*\Z", re.I)
-PART_AFTER = re.compile(r"[\s>|]*(?:rev|ver|version|build)\b", re.I)
-
-# --- identity numbers, announced by the words before them
-NUMBER_WORD = rf"(?:{B0}-?(?:no\b\.?|numbers?\b|nr\b\.?|nummer\b|num\b\.?|núm\b\.?|n[°ºo]\.?))?"
-CUE = (
-    rf"passport{NUMBER_WORD}|identity{B1}card{NUMBER_WORD}|national{B1}id(?:entity)?{NUMBER_WORD}|id{B1}card{NUMBER_WORD}|tax{B1}(?:number|id|no\.?)|social{B1}security{NUMBER_WORD}|ssn"
-    rf"|reisepass{NUMBER_WORD}|personalausweis{NUMBER_WORD}|steuer-?id{NUMBER_WORD}|steuernummer|sozialversicherungsnummer"
-    rf"|passeport{NUMBER_WORD}|carte{B1}(?:nationale{B1})?d['’]identité{NUMBER_WORD}|numéro{B1}fiscal|(?:n[°º]|numéro){B1}de{B1}sécurité{B1}sociale"
-    rf"|pasaporte{NUMBER_WORD}|(?:documento|carné){B1}(?:nacional{B1})?de{B1}identidad{NUMBER_WORD}|dni|nif|nie|número{B1}fiscal|número{B1}de{B1}(?:la{B1})?seguridad{B1}social"
-)
-VALUE = (
-    rf"\d{{6}}-{B0}\d{{4}}|\d{{2}}{S}\d{{3}}{S}\d{{3}}{S}\d{{3}}|\d{{3}}-{B0}\d{{2}}-{B0}\d{{4}}|\d{{3}}{S}\d{{2}}{S}\d{{4}}|[A-Z]{S}\d{{4}}{S}\d{{4}}"
-    rf"|[A-Z]{{1,3}}\d{{6,9}}|\d{{8}}(?:[-/]|{B1})?[A-Z]|\d{{7,12}}"
-)
-IDENTITY = re.compile(rf"(?<![^\W_])(?i:{CUE}){B0}[:,.]?{B0}(?i:(?:it{B1})?(?:is|ist|lautet|est|es)\b)?{B0}:?{B0}({VALUE})(?![A-Za-z0-9])")
-CUE_STEMS = ("passport", "identi", "national", "tax", "security", "ssn", "reisepass", "ausweis", "steuer", "sozialv", "passeport", "fiscal", "sociale", "pasaporte", "dni", "nif", "nie", "id card", "id\ncard", "seguridad")
-
-# --- street addresses: fixed values, the words for streets
-WORD = r"[^\W\d_](?:[^\W\d_]|['’-](?=[^\W\d_]))*"
-CAP = rf"(?=[^\W\d_a-zß-öø-ÿ]){WORD}"
-HOUSE = r"\d{1,4}[A-Za-z]?"
-JOIN = rf"(?:{B0},{B0}|{B1}[-–]{B1}|{B1})"
-TOWN = rf"{CAP}(?:[ -]{CAP})?"
-EN_TYPE = r"(?i:street|st|road|rd|lane|ln|avenue|ave|close|row|terrace|drive|dr|court|ct|square|crescent|way|boulevard|blvd)"
-FR_TYPE = r"(?i:rue|avenue|av\.?|boulevard|bd\.?|impasse|quai|place|chemin|allée|cours|route|square)"
-ES_TYPE = r"(?i:calle|c/|avenida|avda\.?|plaza|paseo|camino|ronda|travesía)"
-DE_TYPE = r"(?i:stra(?:ß|ss)e|str\.|gasse|platz|weg|allee|ring|ufer|damm)"
-AFTER = rf"(?:{JOIN}\d{{4,5}}[ \t\xa0]{CAP}(?:-{CAP})?|{JOIN}\d{{4,5}}{B1}{CAP})?"
-NUMBERED = re.compile(
-    rf"\d(?<![\w/.,-]\d)\d{{0,3}}[A-Za-z]?(?:"
-    rf"{B1}(?:{CAP}{B1}){{1,3}}?{EN_TYPE}\b(?:\.?{JOIN}{TOWN}(?:,{B0}|{B1})\d{{4,5}}(?!\d))?"
-    rf"|{B0},?{B0}{FR_TYPE}{B1}(?:(?i:de|du|des|la|le|les|d['’])[ \t\xa0])*{CAP}{AFTER}"
-    rf")(?![\w])"
-)
-NAMED = re.compile(
-    rf"(?<![\w/.,-])(?:{ES_TYPE}{B0}(?:(?i:de|del|la|el|los|las)[ \t\xa0])*{CAP}(?:{B0},{B0}|{B1}n[º°o.]{B0}|{B1}){HOUSE}(?!\d){AFTER}"
-    rf"|{CAP}{DE_TYPE}{B1}{HOUSE}(?![\d.]\d){AFTER}"
-    rf"|{CAP}{B1}(?i:stra(?:ß|ss)e|platz|weg|allee|ring){B1}{HOUSE}(?![\d.]\d){AFTER}"
-    rf")(?![\w])"
-)
-STREET_STEMS = ("calle", "c/", "avenida", "avda", "plaza", "paseo", "camino", "ronda", "travesía", "straße", "strasse", "str.", "gasse", "platz", "weg", "allee", "ring", "ufer", "damm")
-
-# --- names
-TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]))*")
-GAP = re.compile(B1)
-BACK_TOKEN = re.compile(r"[^\W\d_](?:[^\W\d_]|['’](?=[^\W\d_]))*")
-#: The word after a family name and a comma.
-COMMA = re.compile(rf"{B0},{B0}({TOKEN.pattern})(\.?)")
-PARTICLES = r"(?:[Dd]e|DE|[Vv]on|[Vv]an|[Dd]el|[Dd]i|[Dd]a|[Dd]u|[Ll]a|[Ll]e)"
-NAME_J = r"[\p{L}](?:[\p{L}]|['’\-](?=\p{L}))+"
-LISTED = rf"(?m)(?:^[A-Za-z-]+:\s*|[,;]\s*|^\s+)\"?({NAME_J}\s(?:{PARTICLES}\s)?{NAME_J}|(?:{PARTICLES}\s)?{NAME_J},\s{NAME_J})\"?\s*<[^<>@\s]+@"
-
-#: Bits and hash functions of the Bloom filter: 2 MB whatever the lexicon holds.
-BITS, HASHES = 1 << 24, 3
-
-
-def _flat(value: str) -> str:
-    """Without line breaks and quote marks."""
-    return re.sub(BREAK, " ", value)
-
-
-def plain(value: str) -> str:
-    """Lower case, every run of other characters than letters and digits one blank, none at the ends."""
-    return " ".join(re.findall(r"[^\W_]+", _flat(value).lower()))
-
-
-def bits_of(key: str) -> list[int]:
-    data = key.encode()
-    a, b = crc32(data), crc32(b"~" + data) | 1
-    return [(a + i * b) % BITS for i in range(HASHES)]
-
-
-class Filter:
-    """What the lexicon may hold. Answers are kept, up to a bound; ``flags`` says of a word whether it may be a family name (1) or the end of one (2)."""
-
-    def __init__(self, bits: bytes) -> None:
-        self.bits = np.unpackbits(np.frombuffer(bits, np.uint8), bitorder="little")
-        self.known: dict[str, bool] = {}
-        self.flags: dict[str, int] = {}
-
-    def __contains__(self, key: str) -> bool:
-        hit = self.known.get(key)
-        if hit is None:
-            if len(self.known) > 100_000:
-                self.known.clear()
-            hit = self.known[key] = all(self.bits[i] for i in bits_of(key))
-        return hit
-
-    def flag(self, word: str) -> int:
-        if len(self.flags) > 200_000:
-            self.flags.clear()
-        key = word.replace("’", "'")
-        flag = self.flags[word] = 0 if len(word) < 2 else all(self.bits[i] for i in bits_of("f:" + key)) + 2 * all(self.bits[i] for i in bits_of("p:" + key))
-        return flag
-
-
-def emails(text: str) -> Iterator[tuple[int, int, str, str]]:
-    for m in HOST.finditer(text):
-        local = BACK_LOCAL.match(text[max(0, m.start() - 80) : m.start()][::-1])
-        if local:
-            yield m.start() - local.end(), m.end(), "email", text[m.start() - local.end() : m.end()].lower()
-    if HINT.search(text):
-        for m in DISGUISED.finditer(text):
-            yield m.start(), m.end(), "email", f"{DOTS.sub('.', m[1])}@{DOTS.sub('.', m[2])}".lower()
-
-
-def phones(text: str) -> Iterator[tuple[int, int, str, str]]:
-    done = 0
-    for c in DIGITS.finditer(text):
-        if sum(map(str.isdigit, c[0])) < 7:
-            continue
-        for m in PHONE.finditer(text, max(done, c.start()), min(len(text), c.end() + 40)):
-            if m.start() >= c.end():
-                break
-            done = m.end()
-            if m[0][3:4] == "." and (PART_BEFORE.search(text, max(0, m.start() - 60), m.start()) or PART_AFTER.match(text, m.end())):
-                continue
-            yield m.start(), m.end(), "phone", re.sub(r"\D", "", m[0])
-
-
-def _near(low: str, stems: tuple[str, ...], before: int, after: int) -> list[tuple[int, int]]:
-    """Stretches of a lower-case text around any of the stems, in order, without overlap."""
-    at = []
-    for stem in stems:
-        i = low.find(stem)
-        while i >= 0:
-            at.append(i)
-            i = low.find(stem, i + 1)
-    out: list[tuple[int, int]] = []
-    for i in sorted(at):
-        if out and i - before <= out[-1][1]:
-            out[-1] = (out[-1][0], min(len(low), i + after))
-        else:
-            out.append((max(0, i - before), min(len(low), i + after)))
-    return out
-
-
-def identities(text: str, low: str) -> Iterator[tuple[int, int, str, str]]:
-    for a, b in _near(low, CUE_STEMS, 40, 160):
-        for m in IDENTITY.finditer(text, a, b):
-            yield m.start(1), m.end(1), "id", re.sub(r"[^A-Z0-9]", "", m[1])
-
-
-def addresses(text: str, low: str) -> Iterator[tuple[int, int, str, str]]:
-    """Those that begin with their house number, then those that begin with their street."""
-    for m in NUMBERED.finditer(text):
-        yield m.start(), m.end(), "address", plain(m[0])
-    for a, b in _near(low, STREET_STEMS, 60, 160):
-        for m in NAMED.finditer(text, a, b):
-            yield m.start(), m.end(), "address", plain(m[0])
-
-
-def _before(text: str, at: int, least: int) -> tuple[str, bool, int] | None:
-    """The word before a position with blanks between, whether it has a dot, and where it starts."""
-    chunk = text[max(least, at - 60) : at]
-    kept = chunk.rstrip(" \t\xa0>|\r\n")
-    gap, dot = chunk[len(kept) :], kept.endswith(".")
-    if not (GAP.fullmatch(gap) or (dot and not gap)):
-        return None
-    word = BACK_TOKEN.match((kept[:-1] if dot else kept)[::-1])
-    return (word[0][::-1], dot, at - len(gap) - dot - len(word[0])) if word else None
-
-
-def names(text: str, low: str, lexicon: Filter) -> Iterator[tuple[int, int, str, str, str | None, str]]:
-    """Candidates with their given name (null for an initial) and family name."""
-    hits = []
-    family_flags = lexicon.flags
-    for w in set(TOKEN.findall(low)):
-        flag = family_flags.get(w)
-        if flag is None:
-            flag = lexicon.flag(w)
-        if flag:
-            i = low.find(w)
-            while i >= 0:
-                hits.append((i, i + len(w), flag))
-                i = low.find(w, i + 1)
-    used = 0
-    for first, last, flag in sorted(hits):
-        if first < used or not _whole(low, first, last):
-            continue
-        before = _before(text, first, used)
-        family = low[first:last].replace("’", "'")
-        alone = flag & 1
-        if flag & 2 and before and not before[1]:
-            double = f"{before[0].lower()} {family}"
-            if "f:" + double in lexicon:
-                first, family, alone = before[2], double, 1
-                before = _before(text, first, used)
-        if not alone:
-            continue
-        after = COMMA.match(text, last, last + 80)
-        given = before[0].lower().replace("’", "'") if before and not before[1] else ""
-        turned = after[1].lower().replace("’", "'") if after else ""
-        if len(given) > 1 and "g:" + given in lexicon and _apart(text, before[2]):
-            start, end = before[2], last
-        elif len(turned) > 1 and "g:" + turned in lexicon:
-            start, end, given = first, after.end(1), turned
-        elif before and len(before[0]) == 1 and before[0].isupper() and _apart(text, before[2]):
-            start, end, given = before[2], last, None
-        elif after and len(after[1]) == 1 and after[1].isupper() and after[2]:
-            start, end, given = first, after.end(1), None
-        else:
-            continue
-        used = end
-        yield start, end, "name", plain(text[start:end]), given, family
-
-
-def _whole(low: str, start: int, end: int) -> bool:
-    """A token of its own, and not a part of an address or a path."""
-    left, right = low[start - 1 : start], low[end : end + 2]
-    return not (left.isalnum() or left in ("'", "’", "_", "-", "@", "/") and left) and not (right[:1].isalnum() or right[:1] in ("_", "@") and right[:1] or right[:1] in ("'", "’") and right[1:].isalpha())
-
-
-def _apart(text: str, at: int) -> bool:
-    return at == 0 or not (text[at - 1].isalnum() or text[at - 1] in ".'’_-@")
-
-
-def lowered(text: str) -> str:
-    """Lower case of the same length."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in text)
-
-
-def places(text: str, lexicon: Filter) -> list[tuple[int, int, str, str, str | None, str | None]]:
-    """``start, end, kind, value, given, family`` in a visible text; later kinds don't reach into earlier ones."""
-    found = [(*x, None, None) for x in emails(text)]
-    rest = _masked(text, found)
-    low = lowered(rest)
-    for kind in (identities, phones, addresses):
-        new = [(*x, None, None) for x in (kind(rest) if kind is phones else kind(rest, low))]
-        if new:
-            found += new
-            rest = _masked(rest, new)
-    return found + list(names(rest, lowered(rest), lexicon))
+#: A side with no more rows than this is broadcast: ids of 16 bytes, so 2 MB.
+FEW = 100_000
 
 
 def _masked(text: str, spans: list) -> str:
@@ -296,9 +42,29 @@ def _masked(text: str, spans: list) -> str:
     return "".join([*out, text[at:]])
 
 
+def _without_names(text: str) -> tuple[list[grammar.Place], str]:
+    """Places other than names, and the text without them; later kinds don't reach into earlier ones."""
+    found = list(grammar.emails(text))
+    rest = _masked(text, found)
+    low = grammar.lowered(rest)
+    for kind in (grammar.identities, grammar.phones, grammar.addresses):
+        new = list(kind(rest) if kind is grammar.phones else kind(rest, low))
+        if new:
+            found += new
+            rest = _masked(rest, new)
+    return found, rest
+
+
+def places(text: str, lexicon: people.Filter) -> list[tuple[int, int, str, str, str | None, str | None]]:
+    """``start, end, kind, value, given, family`` in a visible text."""
+    found, rest = _without_names(text)
+    named = people.resolve(people.candidates(rest, grammar.lowered(rest), lexicon))
+    return [(*x, None, None) for x in found] + [(s, e, "name", value, given, family) for *_, s, e, value, given, family in named]
+
+
 def _finder(bits: bytes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Filter(bits)
+        lexicon = people.Filter(bits)
         for batch in batches:
             rows = []
             for i, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -310,118 +76,172 @@ def _finder(bits: bytes) -> Callable:
     return run
 
 
-def listed_names(documents: DataFrame) -> DataFrame:
-    """``given, family`` of the people in address headers, in lower case."""
-    head = F.get(F.split("text", r"\r?\n[ \t]*\r?\n", 2), F.lit(0))
-    shown = documents.select(F.explode(F.regexp_extract_all(head, F.lit(LISTED), F.lit(1))).alias("n")).select(F.lower(F.regexp_replace(F.regexp_replace("n", "’", "'"), r"\s+", " ")).alias("n"))
-    turned = F.split("n", ", ")
-    straight = F.split("n", " ", 2)
-    pick = F.when(F.size(turned) == 2, F.struct(F.get(turned, F.lit(1)).alias("given"), F.get(turned, F.lit(0)).alias("family"))).otherwise(
-        F.struct(F.get(straight, F.lit(0)).alias("given"), F.get(straight, F.lit(1)).alias("family"))
-    )
-    return shown.distinct().select(pick.alias("x")).select("x.*").filter("given IS NOT NULL AND family IS NOT NULL").distinct()
+# --- documents with a name that only the filter knows
+CANDIDATES = "doc_id bigint, digest bigint, first int, form int, reading int, at int, start int, stop int, value string, given string, family string"
+SPANS = "doc_id bigint, digest bigint, start int, stop int, kind string, pii_value string"
 
 
-def lexicon(documents: DataFrame, known: DataFrame, rounds: int = 2) -> tuple[DataFrame, DataFrame]:
-    """``given`` and ``family`` tables: known given names make family names, these make given names, and so on."""
-    from strandweave.session import materialize
+def _candidate_finder(bits: bytes) -> Callable:
+    types = (*[pa.int64()] * 2, *[pa.int32()] * 6, *[pa.string()] * 3)
+    names_ = [c.split()[0] for c in CANDIDATES.split(", ")]
 
-    pairs = materialize(listed_names(documents), "listed-names")
-    given = known.filter("given IS NOT NULL").select(F.lower(F.trim("given")).alias("given")).distinct()
-    family = None
-    for _ in range(rounds):
-        family = pairs.join(given, "given", "left_semi").select("family").distinct()
-        given = given.unionByName(pairs.join(family, "family", "left_semi").select("given")).distinct()
-    return materialize(given, "given"), materialize(family, "family")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lexicon = people.Filter(bits)
+        for batch in batches:
+            rows = []
+            for i, digest, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                if text:
+                    rest = _without_names(visible(text).text)[1]
+                    rows += [(i, digest, *c) for hit in people.candidates(rest, grammar.lowered(rest), lexicon) for c in hit]
+            columns = zip(*rows) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names_)
 
+    return run
 
-def _bit_columns(key: Column) -> Column:
-    a, b = F.crc32(F.encode(key, "UTF-8")), F.crc32(F.concat(F.encode(F.lit("~"), "UTF-8"), F.encode(key, "UTF-8"))).bitwiseOR(F.lit(1))
-    return F.array(*[(a + F.lit(i) * b) % BITS for i in range(HASHES)])
 
+def _resolver(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows come sorted by document, word, form and reading; what is held is one document's candidates."""
+    at, hits = None, []
 
-def bloom_bits(given: DataFrame, family: DataFrame) -> bytes:
-    """The filter's bits. What reaches the driver is a word of 32 bits at a time, 2 MB at most."""
-    keys = (
-        given.select(F.concat(F.lit("g:"), "given").alias("k"))
-        .unionByName(family.select(F.concat(F.lit("f:"), "family").alias("k")))
-        .unionByName(family.filter("family LIKE '% %'").select(F.concat(F.lit("p:"), F.substring_index("family", " ", -1)).alias("k")))
-    )
-    at = keys.select(F.explode(_bit_columns(F.col("k"))).alias("at"))
-    words = at.groupBy((F.col("at") / 32).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, CAST(at % 32 AS INT))")).alias("bits")).toArrow()
-    bits = np.zeros(BITS // 32, "<u4")
-    bits[words["word"].to_numpy()] = words["bits"].to_numpy().astype("<u4")
-    return bits.tobytes()
+    def close() -> list[tuple]:
+        return [(*at, c[4], c[5], "name", c[6]) for c in people.resolve(hits)]
 
+    for batch in batches:
+        rows = []
+        for doc, digest, *c in zip(*[x.to_pylist() for x in batch.columns]):
+            if (doc, digest) != at:
+                if at is not None:
+                    rows += close()
+                at, hits = (doc, digest), []
+            if hits and hits[-1][0][0] == c[0]:
+                hits[-1].append(tuple(c))
+            else:
+                hits.append([tuple(c)])
+        yield _span_batch(rows)
+    if at is not None:
+        yield _span_batch(close())
 
-def _passed(found: DataFrame, given: DataFrame, family: DataFrame) -> DataFrame:
-    """Names pass only if the lexicon really holds both of their parts; other kinds pass. The texts are read once."""
-    marked = found.join(family.withColumn("is_family", F.lit(True)), "family", "left").join(given.withColumn("is_given", F.lit(True)), "given", "left")
-    return marked.filter((F.col("kind") != "name") | (F.col("is_family") & (F.col("given").isNull() | F.col("is_given"))))
 
+def _span_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (*[pa.int64()] * 2, *[pa.int32()] * 2, *[pa.string()] * 2)
+    columns = zip(*rows) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in SPANS.split(", ")])
 
-def find(documents: DataFrame, known: DataFrame) -> DataFrame:
-    """``doc_id, kind, pii_value`` of every place, each once a document."""
-    given, family = lexicon(documents, known)
-    shape = "doc_id bigint, kind string, pii_value string, given string, family string"
-    found = documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_finder(bloom_bits(given, family)), shape)
-    return _passed(found, given, family).select("doc_id", "kind", "pii_value").distinct()
 
+def exact_names(texts: DataFrame, bits: bytes, given: DataFrame, family: DataFrame) -> DataFrame:
+    """Spans of names in ``texts`` (``doc_id, digest, text``): all candidates meet the lexicon before they are resolved."""
+    found = texts.dropDuplicates(["doc_id", "digest"]).mapInArrow(_candidate_finder(bits), CANDIDATES).join(family, "family", "left_semi")
+    initials, named = found.filter("given IS NULL"), found.filter("given IS NOT NULL").join(given, "given", "left_semi")
+    order = [c.split()[0] for c in CANDIDATES.split(", ")]
+    held = initials.select(*order).unionByName(named.select(*order))
+    return held.repartition("doc_id", "digest").sortWithinPartitions(*order[:5]).mapInArrow(_resolver, SPANS)
 
-SPANS = "doc_id bigint, digest bigint, first int, stop int, kind string, pii_value string, given string, family string, written string"
 
+def _by_ids(df: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """``df`` with or without the documents in ``ids``, a null id being one too; ``ids`` is broadcast if its checked size allows it."""
+    right = ids.select(*[F.col(c).alias(f"_{c}") for c in ids.columns])
+    right = F.broadcast(right) if ids.count() <= FEW else right
+    same = [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in ids.columns]
+    return df.join(right, same, how)
 
-def _spanner(bits: bytes) -> Callable:
-    types = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * 5)
-    names_ = [c.split()[0] for c in SPANS.split(", ")]
 
+def find(documents: DataFrame, known: DataFrame) -> DataFrame:
+    """``doc_id, kind, pii_value`` of every place, each once a document."""
+    given, family = people.lexicon(documents, known)
+    bits = people.bloom_bits(given, family)
+    shape = "doc_id bigint, kind string, pii_value string, given string, family string"
+    found = materialize(documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(_finder(bits), shape), "places")
+    wrong = materialize(people.wrong_keys(found.filter("kind = 'name'").select("given", "family").distinct(), given, family), "wrong-names")
+    if wrong.isEmpty():
+        return found.select("doc_id", "kind", "pii_value").distinct()
+    same = (F.col("a.family") == F.col("b.family")) & F.col("a.given").eqNullSafe(F.col("b.given"))
+    doubtful = materialize(found.filter("kind = 'name'").alias("a").join(wrong.alias("b"), same, "left_semi").select("doc_id").distinct(), "doubtful")
+    sure = _by_ids(found, doubtful, "left_anti").unionByName(_by_ids(found.filter("kind <> 'name'"), doubtful, "left_semi"))
+    again = _by_ids(documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("digest"), "text"), doubtful, "left_semi")
+    return sure.select("doc_id", "kind", "pii_value").unionByName(exact_names(again, bits, given, family).select("doc_id", "kind", "pii_value")).distinct()
+
+
+# --- redaction
+def _placeholder(key: bytes, kind: str, value: str, written: str) -> str:
+    flat = " ".join(grammar.flat(written).split())
+    if kind == "id":
+        return f"[ID {feistel.pseudonym(key, kind, flat)}]"
+    if kind == "phone":
+        # the country code stays; national numbers are permuted whole, with it or without
+        front = 1 if flat[0] == "+" else 2 if flat.startswith("00") else 0
+        keep = (front == 2) * 2 + grammar.country_code(re.sub(r"\D", "", flat)[(front == 2) * 2 :]) if front else int(value[0] == "1" and len(value) == 11)
+        return f"[PHONE {feistel.pseudonym(key, kind, flat, keep)}]"
+    return f"[{kind.upper()} {feistel.token(key, kind, value)}]"
+
+
+def _spliced(text: str, spans: list[tuple[int, int, str, str, str]], key: bytes) -> tuple[str, int]:
+    """The text with its ``first, stop, kind, value, written`` replaced, and their number."""
+    parts, at, n = [], 0, 0
+    for first, stop, kind, value, written in sorted(spans, key=lambda p: p[:2]):
+        if first >= at:
+            parts += [text[at:first], _placeholder(key, kind, value, written)]
+            at, n = stop, n + 1
+    return "".join([*parts, text[at:]]), n
+
+
+REDACTED = "doc_id bigint, digest bigint, text string, n_places int, given array<string>, family array<string>"
+
+
+def _redacted_batch(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()))
+    columns = zip(*rows) if rows else [[]] * len(types)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], [c.split()[0] for c in REDACTED.split(", ")])
+
+
+def _redactor(bits: bytes, key: bytes) -> Callable:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lexicon = Filter(bits)
+        lexicon = people.Filter(bits)
         for batch in batches:
             rows = []
             for i, digest, text in zip(*[batch.column(k).to_pylist() for k in range(3)]):
+                n, used = 0, []
                 if text:
                     view = visible(text)
-                    rows += [(i, digest, *view.raw_span(s, e), kind, value, given, family, view.text[s:e]) for s, e, kind, value, given, family in places(view.text, lexicon)]
-            columns = zip(*rows) if rows else [[]] * len(types)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names_)
+                    found = places(view.text, lexicon)
+                    used = list(dict.fromkeys(p[4:] for p in found if p[2] == "name"))
+                    text, n = _spliced(text, [(*view.raw_span(s, e), kind, value, view.text[s:e]) for s, e, kind, value, _, _ in found], key)
+                rows.append((i, digest, text, n, [g for g, _ in used], [f for _, f in used]))
+            yield _redacted_batch(rows)
 
     return run
 
 
-def _redactor(key: bytes) -> Callable:
-    def place(kind: str, value: str, written: str) -> str:
-        flat = " ".join(_flat(written).split())
-        if kind in ("phone", "id"):
-            keep = len(re.sub(r"\D", "", re.match(r"(?:\+|00)\d{1,3}|", flat)[0])) if kind == "phone" else 0
-            return f"[{kind.upper()} {feistel.pseudonym(key, kind, flat, keep)}]"
-        return f"[{kind.upper()} {feistel.token(key, kind, value)}]"
+def _exact_redactor(key: bytes) -> Callable:
+    """As above, with the spans of names given by the row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out, counts = [], []
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                n = 0
-                if text and spans:
-                    parts, at = [], 0
-                    for p in sorted(spans, key=lambda p: (p["first"], p["stop"])):
-                        if p["first"] >= at:
-                            parts += [text[at : p["first"]], place(p["kind"], p["pii_value"], p["written"])]
-                            at, n = p["stop"], n + 1
-                    text = "".join([*parts, text[at:]])
-                out.append(text)
-                counts.append(n)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), pa.array(counts, pa.int32())], ["doc_id", "text", "n_places"])
+            rows = []
+            for i, digest, text, named in zip(*[batch.column(k).to_pylist() for k in range(4)]):
+                view = visible(text)
+                found = _without_names(view.text)[0] + [(p["start"], p["stop"], "name", p["pii_value"]) for p in named or []]
+                rows.append((i, digest, *_spliced(text, [(*view.raw_span(s, e), kind, value, view.text[s:e]) for s, e, kind, value in found], key), [], []))
+            yield _redacted_batch(rows)
 
     return run
 
 
 def redact(documents: DataFrame, known: DataFrame, key: bytes) -> DataFrame:
-    """``doc_id, text, n_places``: every place replaced by its kind and a pseudonym, all else as it was."""
-    given, family = lexicon(documents, known)
-    bits = bloom_bits(given, family)
-    texts = documents.select(F.col("doc_id").cast("bigint"), F.xxhash64("text").alias("digest"), "text")
-    spans = _passed(texts.mapInArrow(_spanner(bits), SPANS), given, family)
-    # a text and its spans meet by id and digest, so rows of one id with different texts keep apart
-    held = spans.groupBy("doc_id", "digest").agg(F.collect_set(F.struct("first", "stop", "kind", "pii_value", "written")).alias("spans"))
-    return texts.join(held, ["doc_id", "digest"], "left").select("doc_id", "text", "spans").mapInArrow(_redactor(key), "doc_id bigint, text string, n_places int")
+    """``doc_id, text, n_places``: every place replaced by its kind and a pseudonym, all else as it was. No text is shuffled but those with a doubtful name."""
+    given, family = people.lexicon(documents, known)
+    bits = people.bloom_bits(given, family)
+    texts = documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("digest"), "text")
+    done = materialize(texts.mapInArrow(_redactor(bits, key), REDACTED), "redacted")
+    used = done.select(F.explode(F.arrays_zip("given", "family")).alias("k")).select("k.*").distinct()
+    wrong = materialize(people.wrong_keys(used, given, family), "wrong-names")
+    if wrong.isEmpty():
+        return done.select("doc_id", "text", "n_places")
+    ids = ["doc_id", "digest"]
+    same = (F.col("a.family") == F.col("b.family")) & F.col("a.given").eqNullSafe(F.col("b.given"))
+    keyed = done.select(*ids, F.explode(F.arrays_zip("given", "family")).alias("k")).select(*ids, "k.*")
+    doubtful = materialize(keyed.alias("a").join(wrong.alias("b"), same, "left_semi").select(*ids).distinct(), "doubtful")
+    again = _by_ids(texts, doubtful, "left_semi")
+    spans = exact_names(again, bits, given, family).groupBy(*ids).agg(F.collect_list(F.struct("start", "stop", "pii_value")).alias("named"))
+    other = spans.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_digest"), "named")
+    anew = again.join(other, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("digest") == F.col("_digest")), "left").select(*ids, "text", "named").mapInArrow(_exact_redactor(key), REDACTED)
+    return _by_ids(done, doubtful, "left_anti").unionByName(anew).select("doc_id", "text", "n_places")
