@@ -190,3 +190,17 @@ def test_view_positions():
         s, e = v.raw_span(i, i + 1)
         assert e - s != 1 or MESSAGE[s] == v.text[i]
     assert "cGVyc29u" not in v.text and "no.id" not in v.text
+
+
+def test_top_n_prunes_before_its_only_shuffle(spark):
+    rows = [(i % 3, i, float(i % 7), 0.0) for i in range(300)]
+    df = spark.createDataFrame(rows * 40, "g bigint, id bigint, score double, z double").repartition(4)
+    top = topn.top_n(df, ["g"], "score", "z", "id", 5)
+    assert {tuple(r) for r in top.collect()} == {tuple(r) for r in topn.top_n(df, ["g"], "score", "z", "id", 5, repeats_agree=False).collect()}
+    plan = [line for line in top._jdf.queryExecution().sparkPlan().toString().splitlines()]
+    assert sum("WindowGroupLimit" in line for line in plan) == 2
+    text = spark.range(900).selectExpr("id % 3 AS g", "id", "CAST(id AS DOUBLE) AS score", "0.0D AS z").transform(lambda d: topn.top_n(d, ["g"], "score", "z", "id", 5))
+    steps = [s for line in text._jdf.queryExecution().executedPlan().toString().splitlines() for s in ("Exchange", "WindowGroupLimit") if s in line]
+    assert steps == ["WindowGroupLimit", "Exchange", "WindowGroupLimit"]
+    differ = spark.createDataFrame([("a", 1, 9.0, 0.0), ("a", 1, 8.0, 0.0), ("a", 2, 7.0, 0.0)], "g string, id bigint, score double, z double")
+    assert [(r["id"], r["score"]) for r in topn.top_n(differ, ["g"], "score", "z", "id", 2, repeats_agree=False).orderBy("rank").collect()] == [(1, 9.0), (2, 7.0)]
