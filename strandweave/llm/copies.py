@@ -1,67 +1,123 @@
 """Duplicates hidden by formatting: dictionary-encoded canonical values, sorted integer tuples, grouped tuples.
 
-A record is cut into raw (field, value) cells. Each distinct raw cell is canonicalised once; every canonical cell gets
-an integer; a record becomes the sorted tuple of its integers, and equal tuples are copies.
+A record is cut into raw (field, value) cells, once. Each distinct raw cell is canonicalised once; every canonical cell
+gets an integer, counted densely from 0; a record becomes the sorted tuple of its integers, and equal tuples are
+copies. Cells that stand for a thousandth of all cells or more are at most a thousand: they meet their integers by a
+broadcast of that bounded size, so no value, however many records share it, gathers in one task. The others are spread
+by a shuffle.
+
+Canonical values: text compares by its letters and digits in lower case. Numbers are read whole: marks that group
+digits, a plus sign, leading zeros and zeros at the end of a fraction don't count, a typographic minus is a minus, a
+zero has no sign, and powers of ten are written out. What isn't a number in a number's field compares as trimmed text
+in lower case, so different texts there are never equal.
 
 Defined results: null or empty texts, and texts without any field, hold no record and take no part; a record id that
-occurs in several rows is one record with the union of their fields; of very long texts every field counts; a record
-that has a field twice with equal values has it once; ties don't arise, as the smallest id stands for its copies; an
-empty table gives an empty result; extra columns are not read.
+occurs in several rows is one record with the union of their fields; of very long texts and names every field counts;
+a record that has a field twice with equal values has it once; ties don't arise, as the smallest id stands for its
+copies; an empty table gives an empty result; extra columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.session import materialize
 
 #: A separator counts only where a field name and an assignment follow, so values may hold separators.
-BETWEEN = r"""\s*[;,|\t\n\r]\s*(?=["“']?[A-Za-z_][\w .\-]{0,40}["”']?\s*[=:])"""
+BETWEEN = r"""[;,|\t\n\r]\s*+(?=["“']?[A-Za-z_][\w .\-]*+["”']?\s*+[=:])"""
+MARK, OTHER = "\x01", "\x02"
 #: Canonical names of the fields by how their values compare; other fields compare as text.
 POSITION = r"^(?:highres)?(?:start|end)[12]$"
 NUMBER = ("score",)
+#: Signs that mean a minus, and marks that group digits.
+MINUS = "−–﹣－"
+GROUPING = r"_'’´`  \x{00a0}\x{2009}\x{202f}"
+#: A cell is common if at least one cell in so many is like it.
+COMMON = 1000
 
 
 def cells(records: DataFrame, record_id: str = "record_id", text: str = "rec") -> DataFrame:
     """``record_id, raw_field, raw_value``: the cells as written."""
-    pieces = records.select(F.col(record_id).alias("record_id"), F.explode(F.split(text, BETWEEN)).alias("piece")).filter(F.col("record_id").isNotNull())
-    parts = F.split("piece", "[=:]", 2)
-    return pieces.filter(F.size(parts) == 2).select("record_id", F.get(parts, F.lit(0)).alias("raw_field"), F.trim(F.get(parts, F.lit(1))).alias("raw_value"))
+    marked = F.regexp_replace(F.translate(F.col(text), MARK, OTHER), BETWEEN, MARK)
+    pieces = records.filter(F.col(record_id).isNotNull()).select(F.col(record_id).alias("record_id"), F.explode(F.split(marked, MARK)).alias("piece"))
+    at = F.instr(F.translate("piece", ":", "="), "=")
+    cut = pieces.select("record_id", "piece", at.alias("at")).filter("at > 0")
+    return cut.select("record_id", F.expr("substr(piece, 1, at - 1)").alias("raw_field"), F.trim(F.expr("substr(piece, at + 1)")).alias("raw_value"))
 
 
 def canonical_field(raw: Column) -> Column:
     return F.lower(F.regexp_replace(raw, r"[^\p{L}\p{N}]", ""))
 
 
-def canonical_value(field: Column, raw: Column) -> Column:
-    """Text: letters and digits in lower case. Positions: digits. Numbers: sign, digits and the decimal point."""
-    number = F.regexp_extract(raw, r"[+-]?(?:[0-9]+(?:\.[0-9]+)?|\.[0-9]+)(?:[eE][+-]?[0-9]+)?", 0)
-    plain = F.regexp_replace(F.regexp_replace(number, r"^\+", ""), r"(\.[0-9]*?)0+$", "$1")
-    digits = F.regexp_replace(F.regexp_replace(raw, r"\D", ""), r"^0+(?=\d)", "")
-    return F.when(field.rlike(POSITION), digits).when(field.isin(*NUMBER), F.regexp_replace(plain, r"\.$", "")).otherwise(F.lower(F.regexp_replace(raw, r"[^\p{L}\p{N}]", "")))
+def _bare(raw: Column) -> Column:
+    """Without what encloses or ends a value, and with plain minus signs."""
+    return F.translate(F.regexp_replace(raw, r"""^[\s"“”'‘’«»{(\[]+|[\s"“”'‘’«»})\];,.|]+$""", ""), MINUS, "-" * len(MINUS))
 
 
-def dictionary(raw: DataFrame) -> DataFrame:
-    """``raw_field, raw_value, code``: each distinct raw cell with the integer of its canonical cell.
+def _plain_number(text: Column) -> Column:
+    """``[+-]digits[.digits]`` without plus sign and idle zeros."""
+    short = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"(\.[0-9]*?)0+$", "$1")
+    led = F.regexp_replace(F.regexp_replace(short, r"\.$", ""), r"^(-?)0+(?=[0-9])", "$1")
+    return F.when(led.rlike(r"^-?\."), F.regexp_replace(led, r"^(-?)\.", "$10.")).when(led == "-0", "0").otherwise(led)
+
 
-    Codes are stored before use: numbering isn't repeatable when a lost task runs again.
+def canonical(cells: DataFrame) -> DataFrame:
+    """``cells`` (``raw_field, raw_value``) with ``field`` and ``value``.
+
+    A position may be grouped by dots and commas too; a decimal number by commas before three digits each. The steps
+    are columns of their own, so none is computed twice.
+    """
+    named = cells.withColumn("field", canonical_field(F.col("raw_field"))).filter("field <> ''")
+    whole, decimal = F.col("field").rlike(POSITION), F.col("field").isin(*NUMBER)
+    kinds = named.withColumn("_kind", F.when(whole, 1).when(decimal, 2).otherwise(0))
+    bare = kinds.withColumn("_bare", F.when(F.col("_kind") > 0, _bare(F.col("raw_value"))))
+    joined = F.regexp_replace("_bare", rf"(?<=[0-9])(?:[{GROUPING}]+|,(?=[0-9]{{3}}(?![0-9])))(?=[0-9])", "")
+    steps = bare.withColumn("_joined", F.when(F.col("_bare").rlike(r"^(?:[1-9][0-9]*|0)\z"), F.col("_bare")).when(F.col("_bare").isNotNull(), joined))
+    steps = steps.withColumn("_joined", F.when((F.col("_kind") == 1) & F.col("_joined").rlike(r"^[+-]?[0-9]+(?:[.,][0-9]{3})+\z"), F.translate("_joined", ".,", "")).otherwise(F.col("_joined")))
+    number = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
+    power = F.when(F.col("_joined").rlike(number + r"[eE][+-]?[0-9]+\z"), F.col("_joined").try_cast("decimal(38,18)").cast("string"))
+    steps = steps.withColumn("_joined", F.coalesce(power, "_joined"))
+    text = F.lower(F.regexp_replace("raw_value", r"[^\p{L}\p{N}]", ""))
+    value = (
+        F.when(F.col("_kind") == 0, text)
+        .when(F.col("_joined").rlike(r"^(?:[1-9][0-9]*|0)\z"), F.col("_joined"))
+        .when(F.col("_joined").rlike(number + r"\z"), _plain_number(F.col("_joined")))
+        .otherwise(F.lower("_bare"))
+    )
+    return steps.withColumn("value", value).drop("_kind", "_bare", "_joined")
+
+
+def _numbered(distinct: DataFrame) -> DataFrame:
+    """``distinct`` with ``code``, from 0 on without holes: a number within the partition behind the sum of those before it.
+
+    Rows are stored before they are counted, as numbering isn't repeatable when a lost task runs again.
     """
-    distinct = raw.select("raw_field", "raw_value").distinct()
-    named = distinct.withColumn("field", canonical_field(F.col("raw_field"))).filter("field <> ''")
-    written = materialize(named.withColumn("value", canonical_value(F.col("field"), F.col("raw_value"))), "canonical")
-    codes = materialize(written.select("field", "value").distinct().withColumn("code", F.monotonically_increasing_id()), "codes")
-    return written.join(codes, ["field", "value"]).select("raw_field", "raw_value", "code", "field", "value")
+    held = materialize(distinct.withColumn("_n", F.monotonically_increasing_id()), "codes")
+    part, within = F.shiftright("_n", 33).alias("_part"), F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
+    # one row for each partition of the shuffle that wrote them
+    sizes = held.groupBy(part).agg(F.count("*").alias("_size"))
+    before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return held.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").select(*[c for c in distinct.columns], (F.col("_before") + within).alias("code"))
 
 
-def encode(records: DataFrame, record_id: str = "record_id", text: str = "rec") -> DataFrame:
-    """``record_id, codes``: each record as the sorted tuple of its cells' integers.
+def dictionary(raw: DataFrame) -> DataFrame:
+    """``raw_field, raw_value, n, code``: each distinct raw cell with its count and the integer of its canonical cell."""
+    distinct = raw.groupBy("raw_field", "raw_value").agg(F.count("*").alias("n"))
+    written = materialize(canonical(distinct), "canonical")
+    return written.join(_numbered(written.select("field", "value").distinct()), ["field", "value"]).select("raw_field", "raw_value", "n", "code")
 
-    A cell that many records share is one dictionary row, met by a streamed join whose skewed partitions Spark splits.
-    """
-    raw = cells(records, record_id, text)
-    coded = raw.join(dictionary(raw), ["raw_field", "raw_value"]).select("record_id", "code")
-    return coded.groupBy("record_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+
+def encode(records: DataFrame, record_id: str = "record_id", text: str = "rec") -> DataFrame:
+    """``record_id, codes``: each record as the sorted tuple of its cells' integers."""
+    raw = materialize(cells(records, record_id, text), "cells")
+    known = materialize(dictionary(raw), "dictionary")
+    share = raw.count() / COMMON
+    common, rest = known.filter(F.col("n") >= share), known.filter(F.col("n") < share).drop("n")
+    marked = raw.join(F.broadcast(common.drop("n")), ["raw_field", "raw_value"], "left")
+    met = marked.filter("code IS NOT NULL").select("record_id", "code")
+    spread = marked.filter("code IS NULL").drop("code").join(rest, ["raw_field", "raw_value"]).select("record_id", "code")
+    return met.unionByName(spread).groupBy("record_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
 
 
 def copy_groups(encoded: DataFrame) -> DataFrame:

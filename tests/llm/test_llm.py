@@ -204,3 +204,29 @@ def test_top_n_prunes_before_its_only_shuffle(spark):
     assert steps == ["WindowGroupLimit", "Exchange", "WindowGroupLimit"]
     differ = spark.createDataFrame([("a", 1, 9.0, 0.0), ("a", 1, 8.0, 0.0), ("a", 2, 7.0, 0.0)], "g string, id bigint, score double, z double")
     assert [(r["id"], r["score"]) for r in topn.top_n(differ, ["g"], "score", "z", "id", 2, repeats_agree=False).orderBy("rank").collect()] == [(1, 9.0), (2, 7.0)]
+
+
+def test_canonical_values(spark):
+    field = {"s": "score", "p": "start1"}
+    cases = [
+        ("s", ["1,234.5", "1234.5", "+1234.50", '"1 234.5"', "1.2345e3", "1234.5."], 1), ("s", ["1,234.5", "1,999.5", "1999", "1,5", "15"], 5), ("s", ["NA", "n.d.", "", "-"], 4), ("s", ["−1.5", "-1.5", "–1.50"], 1), ("s", ["-1.5", "1.5"], 2),
+        ("s", ["0.5", ".5", "00.5", "5e-1"], 1), ("s", ["0", "-0.0", "0.000", "+0"], 1), ("s", ["1e40000", "1e40001"], 2), ("p", ["-5", "5"], 2), ("p", ["4882000", "4_882_000", "4'882'000", "4.882.000", "4,882,000", "04882000", "“4 882 000”"], 1), ("p", ["12.5", "125"], 2),
+        ("p", ["", "x", "y"], 3),
+    ]
+    df = spark.createDataFrame([(i, field[f], v) for i, (f, vs, _) in enumerate(cases) for v in vs], "i int, raw_field string, raw_value string")
+    from pyspark.sql import functions as F
+
+    got = copies.canonical(df).withColumnRenamed("value", "v").groupBy("i").agg(F.count_distinct("v").alias("n"), F.collect_set("v").alias("v"), F.count("v").alias("all")).collect()
+    assert {r["i"]: r["n"] for r in got} == {i: n for i, (_, _, n) in enumerate(cases)}, got
+    assert {r["i"]: r["all"] for r in got} == {i: len(vs) for i, (_, vs, _) in enumerate(cases)}
+
+
+def test_long_field_names_and_common_values(spark):
+    for n in (38, 41, 42, 4000):
+        rows = [(1, f"chr1=chr5;{'f' * n}=7", "", ""), (2, f"{'F' * n} : 7, CHR1 : chr5", "", ""), (3, f"chr1=chr5;{'f' * n}=8", "", "")]
+        assert list(map(tuple, copies.found_copies(spark.createDataFrame(rows, REC)).collect())) == [(1, 2)]
+    many = spark.range(3000).selectExpr("id AS record_id", "concat('chr1=chr5;start1=', id % 1500) AS rec")
+    found = copies.found_copies(many).collect()
+    assert sorted(map(tuple, found)) == [(i, i + 1500) for i in range(1500)]
+    codes = sorted(r["code"] for r in copies.dictionary(copies.cells(many)).select("code").distinct().collect())
+    assert codes == list(range(1501))
