@@ -33,16 +33,18 @@ NUMBER = ("score",)
 #: Signs that mean a minus, and marks that group digits.
 MINUS = "−–﹣－"
 GROUPING = r"_'’´`  \x{00a0}\x{2009}\x{202f}"
+BLANK, OPENING, CLOSING = " \t\n\r\x0b\x0c\xa0\u2009\u202f", "\"“”'‘’«»{([", "\"“”'‘’«»})];,.|"
 #: A cell is common if at least one cell in so many is like it.
 COMMON = 1000
 
 
 def cells(records: DataFrame, record_id: str = "record_id", text: str = "rec") -> DataFrame:
     """``record_id, raw_field, raw_value``: the cells as written."""
-    marked = F.regexp_replace(F.translate(F.col(text), MARK, OTHER), BETWEEN, MARK)
+    clean = F.when(F.contains(F.col(text), F.lit(MARK)), F.translate(F.col(text), MARK, OTHER)).otherwise(F.col(text))
+    marked = F.regexp_replace(clean, BETWEEN, MARK)
     pieces = records.filter(F.col(record_id).isNotNull()).select(F.col(record_id).alias("record_id"), F.explode(F.split(marked, MARK)).alias("piece"))
-    at = F.instr(F.translate("piece", ":", "="), "=")
-    cut = pieces.select("record_id", "piece", at.alias("at")).filter("at > 0")
+    found = pieces.select("record_id", "piece", F.instr("piece", "=").alias("a"), F.instr("piece", ":").alias("b"))
+    cut = found.select("record_id", "piece", F.expr("CASE WHEN a = 0 THEN b WHEN b = 0 THEN a ELSE least(a, b) END").alias("at")).filter("at > 0")
     return cut.select("record_id", F.expr("substr(piece, 1, at - 1)").alias("raw_field"), F.trim(F.expr("substr(piece, at + 1)")).alias("raw_value"))
 
 
@@ -52,40 +54,28 @@ def canonical_field(raw: Column) -> Column:
 
 def _bare(raw: Column) -> Column:
     """Without what encloses or ends a value, and with plain minus signs."""
-    return F.translate(F.regexp_replace(raw, r"""^[\s"“”'‘’«»{(\[]+|[\s"“”'‘’«»})\];,.|]+$""", ""), MINUS, "-" * len(MINUS))
-
-
-def _plain_number(text: Column) -> Column:
-    """``[+-]digits[.digits]`` without plus sign and idle zeros."""
-    short = F.regexp_replace(F.regexp_replace(text, r"^\+", ""), r"(\.[0-9]*?)0+$", "$1")
-    led = F.regexp_replace(F.regexp_replace(short, r"\.$", ""), r"^(-?)0+(?=[0-9])", "$1")
-    return F.when(led.rlike(r"^-?\."), F.regexp_replace(led, r"^(-?)\.", "$10.")).when(led == "-0", "0").otherwise(led)
+    inner = F.rtrim(F.ltrim(raw, F.lit(BLANK + OPENING)), F.lit(BLANK + CLOSING))
+    return F.when(inner.rlike(f"[{MINUS}]"), F.translate(inner, MINUS, "-" * len(MINUS))).otherwise(inner)
 
 
 def canonical(cells: DataFrame) -> DataFrame:
     """``cells`` (``raw_field, raw_value``) with ``field`` and ``value``.
 
     A position may be grouped by dots and commas too; a decimal number by commas before three digits each. The steps
-    are columns of their own, so none is computed twice.
+    are columns of their own, so none is computed twice, and few, so that the compiled code stays small enough for the JVM to optimise.
     """
-    named = cells.withColumn("field", canonical_field(F.col("raw_field"))).filter("field <> ''")
-    whole, decimal = F.col("field").rlike(POSITION), F.col("field").isin(*NUMBER)
-    kinds = named.withColumn("_kind", F.when(whole, 1).when(decimal, 2).otherwise(0))
-    bare = kinds.withColumn("_bare", F.when(F.col("_kind") > 0, _bare(F.col("raw_value"))))
-    joined = F.regexp_replace("_bare", rf"(?<=[0-9])(?:[{GROUPING}]+|,(?=[0-9]{{3}}(?![0-9])))(?=[0-9])", "")
-    steps = bare.withColumn("_joined", F.when(F.col("_bare").rlike(r"^(?:[1-9][0-9]*|0)\z"), F.col("_bare")).when(F.col("_bare").isNotNull(), joined))
-    steps = steps.withColumn("_joined", F.when((F.col("_kind") == 1) & F.col("_joined").rlike(r"^[+-]?[0-9]+(?:[.,][0-9]{3})+\z"), F.translate("_joined", ".,", "")).otherwise(F.col("_joined")))
-    number = r"^[+-]?(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)"
-    power = F.when(F.col("_joined").rlike(number + r"[eE][+-]?[0-9]+\z"), F.col("_joined").try_cast("decimal(38,18)").cast("string"))
-    steps = steps.withColumn("_joined", F.coalesce(power, "_joined"))
+    plain, kind = r"^(?:[1-9][0-9]*|0)\z", F.col("_kind")
+    steps = cells.withColumn("field", canonical_field(F.col("raw_field"))).filter("field <> ''")
+    steps = steps.withColumn("_kind", F.when(F.col("field").isin(*NUMBER), 2).when(F.col("field").rlike(POSITION), F.when(F.col("raw_value").rlike(plain), 3).otherwise(1)).otherwise(0))
+    steps = steps.withColumn("_bare", F.when(kind.isin(1, 2), _bare(F.col("raw_value"))))
+    joined = [F.regexp_replace("_bare", rf"(?<=[0-9])(?:[{GROUPING}]+|{marks})(?=[0-9])", "") for marks in (r"[.,](?=[0-9]{3}(?:[.,][0-9]{3})*\z)", r",(?=[0-9]{3}(?![0-9]))")]
+    steps = steps.withColumn("_number", F.when(kind == 1, joined[0]).when(kind == 2, joined[1]))
+    written_out = F.when(F.col("_number").rlike(r"^[+-]?[0-9]*\.?[0-9]*[eE][+-]?[0-9]+\z"), F.col("_number").try_cast("decimal(38,18)").cast("string"))
+    steps = steps.withColumn("_number", F.regexp_replace(F.coalesce(written_out, "_number"), r"^([+-]?)\.(?=[0-9])", "$10."))
+    short = F.regexp_replace("_number", r"^\+?(-?)0*([0-9]+)(?:(\.[0-9]*[1-9])0*|\.0*)?\z", "$1$2$3")
     text = F.lower(F.regexp_replace("raw_value", r"[^\p{L}\p{N}]", ""))
-    value = (
-        F.when(F.col("_kind") == 0, text)
-        .when(F.col("_joined").rlike(r"^(?:[1-9][0-9]*|0)\z"), F.col("_joined"))
-        .when(F.col("_joined").rlike(number + r"\z"), _plain_number(F.col("_joined")))
-        .otherwise(F.lower("_bare"))
-    )
-    return steps.withColumn("value", value).drop("_kind", "_bare", "_joined")
+    value = F.when(kind == 0, text).when(kind == 3, F.col("raw_value")).when(F.col("_number").rlike(r"^[+-]?[0-9]+(?:\.[0-9]*)?\z"), F.regexp_replace(short, r"^-0\z", "0")).otherwise(F.lower("_bare"))
+    return steps.withColumn("value", value).drop("_kind", "_bare", "_number")
 
 
 def _numbered(distinct: DataFrame) -> DataFrame:
