@@ -1,7 +1,7 @@
 """Duplicates hidden by formatting: dictionary-encoded canonical values, sorted integer tuples, grouped tuples.
 
-A record is cut into raw (field, value) cells, once. Each distinct raw cell is canonicalised once; every canonical cell
-gets an integer, counted densely from 0; a record becomes the sorted tuple of its integers, and equal tuples are
+A record is cut into raw (field, value) cells, once. Each distinct raw cell is canonicalised and numbered once, from 0 on; every
+canonical cell has the least number of those written so for its integer; a record becomes the sorted tuple of its integers, and equal tuples are
 copies. Cells that stand for a thousandth of all cells or more are at most a thousand: they meet their integers by a
 broadcast of that bounded size, so no value, however many records share it, gathers in one task. The others are spread
 by a shuffle.
@@ -33,19 +33,21 @@ NUMBER = ("score",)
 #: Signs that mean a minus, and marks that group digits.
 MINUS = "−–﹣－"
 GROUPING = r"_'’´`  \x{00a0}\x{2009}\x{202f}"
+CELL = ["_h", "raw_field", "raw_value"]
 BLANK, OPENING, CLOSING = " \t\n\r\x0b\x0c\xa0\u2009\u202f", "\"“”'‘’«»{([", "\"“”'‘’«»})];,.|"
 #: A cell is common if at least one cell in so many is like it.
 COMMON = 1000
 
 
 def cells(records: DataFrame, record_id: str = "record_id", text: str = "rec") -> DataFrame:
-    """``record_id, raw_field, raw_value``: the cells as written."""
+    """``record_id, raw_field, raw_value``: the cells as written, with a hash by which sorts and joins compare first."""
     clean = F.when(F.contains(F.col(text), F.lit(MARK)), F.translate(F.col(text), MARK, OTHER)).otherwise(F.col(text))
     marked = F.regexp_replace(clean, BETWEEN, MARK)
     pieces = records.filter(F.col(record_id).isNotNull()).select(F.col(record_id).alias("record_id"), F.explode(F.split(marked, MARK)).alias("piece"))
     found = pieces.select("record_id", "piece", F.instr("piece", "=").alias("a"), F.instr("piece", ":").alias("b"))
     cut = found.select("record_id", "piece", F.expr("CASE WHEN a = 0 THEN b WHEN b = 0 THEN a ELSE least(a, b) END").alias("at")).filter("at > 0")
-    return cut.select("record_id", F.expr("substr(piece, 1, at - 1)").alias("raw_field"), F.trim(F.expr("substr(piece, at + 1)")).alias("raw_value"))
+    named = cut.select("record_id", F.expr("substr(piece, 1, at - 1)").alias("raw_field"), F.trim(F.expr("substr(piece, at + 1)")).alias("raw_value"))
+    return named.withColumn("_h", F.xxhash64("raw_field", "raw_value"))
 
 
 def canonical_field(raw: Column) -> Column:
@@ -78,24 +80,24 @@ def canonical(cells: DataFrame) -> DataFrame:
     return steps.withColumn("value", value).drop("_kind", "_bare", "_number")
 
 
-def _numbered(distinct: DataFrame) -> DataFrame:
-    """``distinct`` with ``code``, from 0 on without holes: a number within the partition behind the sum of those before it.
+def _numbered(rows: DataFrame) -> DataFrame:
+    """``rows``, written, with ``code``: counted from 0 on without holes, in each partition behind the sum of those before it.
 
-    Rows are stored before they are counted, as numbering isn't repeatable when a lost task runs again.
+    Numbers are stored with their rows, as numbering isn't repeatable when a lost task runs again.
     """
-    held = materialize(distinct.withColumn("_n", F.monotonically_increasing_id()), "codes")
+    held = materialize(rows.withColumn("_n", F.monotonically_increasing_id()), "canonical")
     part, within = F.shiftright("_n", 33).alias("_part"), F.col("_n").bitwiseAND(F.lit((1 << 33) - 1))
     # one row for each partition of the shuffle that wrote them
     sizes = held.groupBy(part).agg(F.count("*").alias("_size"))
     before = F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return held.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").select(*[c for c in distinct.columns], (F.col("_before") + within).alias("code"))
+    return held.withColumn("_part", part).join(F.broadcast(sizes.select("_part", before.alias("_before"))), "_part").select(*rows.columns, (F.col("_before") + within).alias("code"))
 
 
 def dictionary(raw: DataFrame) -> DataFrame:
-    """``raw_field, raw_value, n, code``: each distinct raw cell with its count and the integer of its canonical cell."""
-    distinct = raw.groupBy("raw_field", "raw_value").agg(F.count("*").alias("n"))
-    written = materialize(canonical(distinct), "canonical")
-    return written.join(_numbered(written.select("field", "value").distinct()), ["field", "value"]).select("raw_field", "raw_value", "n", "code")
+    """``_h, raw_field, raw_value, n, code``: each distinct raw cell with its count and the integer of its canonical cell, the least of those that are written so."""
+    distinct = raw.groupBy(*CELL).agg(F.count("*").alias("n"))
+    numbered = _numbered(canonical(distinct).withColumn("_v", F.xxhash64("field", "value")))
+    return numbered.withColumn("code", F.min("code").over(Window.partitionBy("_v", "field", "value"))).select(*CELL, "n", "code")
 
 
 def encode(records: DataFrame, record_id: str = "record_id", text: str = "rec") -> DataFrame:
@@ -104,22 +106,23 @@ def encode(records: DataFrame, record_id: str = "record_id", text: str = "rec")
     known = materialize(dictionary(raw), "dictionary")
     share = raw.count() / COMMON
     common, rest = known.filter(F.col("n") >= share), known.filter(F.col("n") < share).drop("n")
-    marked = raw.join(F.broadcast(common.drop("n")), ["raw_field", "raw_value"], "left")
+    marked = raw.join(F.broadcast(common.drop("n")), CELL, "left")
     met = marked.filter("code IS NOT NULL").select("record_id", "code")
-    spread = marked.filter("code IS NULL").drop("code").join(rest, ["raw_field", "raw_value"]).select("record_id", "code")
-    return met.unionByName(spread).groupBy("record_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    spread = marked.filter("code IS NULL").drop("code").join(rest, CELL).select("record_id", "code")
+    # cells of a record come from everywhere, so nothing is gained by collecting them before the shuffle
+    return met.unionByName(spread).repartition("record_id").groupBy("record_id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
 
 
 def copy_groups(encoded: DataFrame) -> DataFrame:
-    """``codes, first_id, n_copies``; counted before and after the shuffle, so a group may hold any share of the rows."""
-    return encoded.groupBy("codes").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n_copies"))
+    """``_t, codes, first_id, n_copies``, ``_t`` being a hash of the tuple; counted before and after the shuffle, so a group may hold any share of the rows."""
+    return encoded.groupBy(F.xxhash64("codes").alias("_t"), "codes").agg(F.min("record_id").alias("first_id"), F.count("*").alias("n_copies"))
 
 
 def found_copies(records: DataFrame, record_id: str = "record_id", text: str = "rec") -> DataFrame:
     """``first_id, copy_id``: the smallest id of each group with each of the others."""
     encoded = materialize(encode(records, record_id, text), "tuples")
     groups = copy_groups(encoded).filter("n_copies > 1")
-    return encoded.join(groups, "codes").filter(F.col("record_id") != F.col("first_id")).select("first_id", F.col("record_id").alias("copy_id"))
+    return encoded.withColumn("_t", F.xxhash64("codes")).join(groups, ["_t", "codes"]).filter(F.col("record_id") != F.col("first_id")).select("first_id", F.col("record_id").alias("copy_id"))
 
 
 def distinct_records(records: DataFrame, record_id: str = "record_id", text: str = "rec") -> DataFrame:
