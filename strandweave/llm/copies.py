@@ -40,14 +40,18 @@ COMMON = 1000
 
 
 def cells(records: DataFrame, record_id: str = "record_id", text: str = "rec") -> DataFrame:
-    """``record_id, raw_field, raw_value``: the cells as written, with a hash by which sorts and joins compare first."""
+    """``record_id, raw_field, raw_value``: the cells as written."""
     clean = F.when(F.contains(F.col(text), F.lit(MARK)), F.translate(F.col(text), MARK, OTHER)).otherwise(F.col(text))
     marked = F.regexp_replace(clean, BETWEEN, MARK)
     pieces = records.filter(F.col(record_id).isNotNull()).select(F.col(record_id).alias("record_id"), F.explode(F.split(marked, MARK)).alias("piece"))
     found = pieces.select("record_id", "piece", F.instr("piece", "=").alias("a"), F.instr("piece", ":").alias("b"))
     cut = found.select("record_id", "piece", F.expr("CASE WHEN a = 0 THEN b WHEN b = 0 THEN a ELSE least(a, b) END").alias("at")).filter("at > 0")
-    named = cut.select("record_id", F.expr("substr(piece, 1, at - 1)").alias("raw_field"), F.trim(F.expr("substr(piece, at + 1)")).alias("raw_value"))
-    return named.withColumn("_h", F.xxhash64("raw_field", "raw_value"))
+    return cut.select("record_id", F.expr("substr(piece, 1, at - 1)").alias("raw_field"), F.trim(F.expr("substr(piece, at + 1)")).alias("raw_value"))
+
+
+def _hashed(raw: DataFrame) -> DataFrame:
+    """With a hash by which sorts and joins compare first."""
+    return raw.withColumn("_h", F.xxhash64("raw_field", "raw_value"))
 
 
 def canonical_field(raw: Column) -> Column:
@@ -95,7 +99,7 @@ def _numbered(rows: DataFrame) -> DataFrame:
 
 def dictionary(raw: DataFrame) -> DataFrame:
     """``_h, raw_field, raw_value, n, code``: each distinct raw cell with its count and the integer of its canonical cell, the least of those that are written so."""
-    distinct = raw.groupBy(*CELL).agg(F.count("*").alias("n"))
+    distinct = _hashed(raw).groupBy(*CELL).agg(F.count("*").alias("n"))
     numbered = _numbered(canonical(distinct).withColumn("_v", F.xxhash64("field", "value")))
     return numbered.withColumn("code", F.min("code").over(Window.partitionBy("_v", "field", "value"))).select(*CELL, "n", "code")
 
@@ -106,7 +110,7 @@ def encode(records: DataFrame, record_id: str = "record_id", text: str = "rec")
     known = materialize(dictionary(raw), "dictionary")
     share = raw.count() / COMMON
     common, rest = known.filter(F.col("n") >= share), known.filter(F.col("n") < share).drop("n")
-    marked = raw.join(F.broadcast(common.drop("n")), CELL, "left")
+    marked = _hashed(raw).join(F.broadcast(common.drop("n")), CELL, "left")
     met = marked.filter("code IS NOT NULL").select("record_id", "code")
     spread = marked.filter("code IS NULL").drop("code").join(rest, CELL).select("record_id", "code")
     # cells of a record come from everywhere, so nothing is gained by collecting them before the shuffle
