@@ -27,31 +27,34 @@ from strandweave.session import materialize
 #: Number of leading coordinate columns, and the texts that mean a missing value.
 COORDINATES = 6
 MISSING = ("", "NA", "NaN", ".")
-INTEGER = r"^[+-]?[0-9]+\z"
-DECIMAL = r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?\z"
+#: Whole cells of a line that are an integer or another decimal number, and the marks that stand for them.
+INTEGER = r"(?<![^\t])[+-]?[0-9]+(?![^\t])"
+DECIMAL = r"(?<![^\t])[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?(?![^\t])"
+MARKS, NO_MARK = ("\x01", "\x02"), "\x03"
 #: Lines of a file that are met by one row of its header.
 CHUNK = 50_000
 
 
-def raw_type(value: Column) -> Column:
-    return F.when(value.rlike(INTEGER), "integer").when(value.rlike(DECIMAL), "decimal").otherwise("text")
-
-
 def _cells(line: Column) -> Column:
     return F.split(F.regexp_replace(line, r"\r\z", ""), "\t", -1)
 
 
+def _marked(line: Column) -> Column:
+    """The line with a mark in place of each number; both kinds are told apart for all cells at once, in compiled code."""
+    clean = F.when(line.rlike("[\x01\x02]"), F.translate(line, "".join(MARKS), NO_MARK * 2)).otherwise(line)
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(clean, r"\r\z", ""), INTEGER, MARKS[0]), DECIMAL, MARKS[1])
+
+
 def headers(lines: DataFrame) -> DataFrame:
-    """``file_id, chunks, fields``: the attribute fields of each file as ``array<struct<path, at>>``, ``at`` counting from 0, and its chunks of lines."""
+    """``file_id, chunks, fields``: the attribute fields of each file in their order, null where a name is repeated, and its chunks of lines."""
     names = F.slice(F.col("cells"), COORDINATES + 1, F.greatest(F.size("cells"), F.lit(1)))
-    listed = F.transform(names, lambda x, i: F.struct(x.alias("path"), (i + COORDINATES).cast("int").alias("at")))
     return (
         lines.filter(F.col("line").isNotNull() & F.col("file_id").isNotNull())
         .groupBy("file_id")
         .agg(F.min(F.when(F.col("line_no") == 1, F.col("line"))).alias("line"), F.max("line_no").alias("last"))
         .filter(F.col("line").isNotNull())
         .select("file_id", F.floor(F.col("last") / CHUNK).cast("int").alias("chunks"), _cells(F.col("line")).alias("cells"))
-        .select("file_id", "chunks", F.filter(listed, lambda f: F.array_position(names, f["path"]) - 1 + COORDINATES == f["at"]).alias("fields"))
+        .select("file_id", "chunks", F.transform(names, lambda x, i: F.when(F.array_position(names, x) - 1 == i, x)).alias("fields"))
     )
 
 
@@ -62,11 +65,14 @@ def _chunked(heads: DataFrame) -> DataFrame:
 def load_path_values(lines: DataFrame, heads: DataFrame, *others: str) -> DataFrame:
     """``file_id, line_no, loop, values, *others``: per line a map path -> struct(text, raw); missing values are absent. ``others`` are columns of ``heads``."""
     body = lines.filter((F.col("line_no") > 1) & F.col("line").isNotNull()).select("file_id", "line_no", "line", F.floor(F.col("line_no") / CHUNK).cast("int").alias("chunk"))
-    met = body.join(_chunked(heads), ["file_id", "chunk"]).withColumn("cells", _cells(F.col("line")))
-    texts = F.transform("fields", lambda f: F.struct(f["path"].alias("path"), F.get("cells", f["at"]).alias("text")))
-    present = met.select("file_id", "line_no", *others, F.array_join(F.slice("cells", 1, COORDINATES), "\t", "").alias("loop"), F.filter(texts, lambda x: x["text"].isNotNull() & ~x["text"].isin(*MISSING)).alias("present"))
-    entry = F.transform("present", lambda x: F.struct(x["path"], F.struct(x["text"].alias("text"), raw_type(x["text"]).alias("raw"))))
-    return present.select("file_id", "line_no", "loop", *others, F.map_from_entries(entry).alias("values"))
+    cut = body.join(_chunked(heads), ["file_id", "chunk"]).withColumn("cells", _cells(F.col("line"))).withColumn("marks", F.split(_marked(F.col("line")), "\t", -1))
+    # fields, cells and marks go side by side, each array made once a line
+    behind = lambda c: F.slice(c, COORDINATES + 1, F.greatest(F.size(c), F.lit(1)))
+    side = F.arrays_zip(F.col("fields").alias("path"), behind("cells").alias("text"), behind("marks").alias("mark"))
+    present = F.filter(side, lambda x: x["path"].isNotNull() & x["text"].isNotNull() & ~x["text"].isin(*MISSING))
+    raw = lambda mark: F.when(mark == MARKS[0], "integer").when(mark == MARKS[1], "decimal").otherwise("text")
+    entry = F.transform(present, lambda x: F.struct(x["path"], F.struct(x["text"].alias("text"), raw(x["mark"]).alias("raw"))))
+    return cut.select("file_id", "line_no", F.array_join(F.slice("cells", 1, COORDINATES), "\t", "").alias("loop"), *others, F.map_from_entries(entry).alias("values"))
 
 
 def statistics_of(cells: DataFrame, heads: DataFrame) -> DataFrame:
@@ -76,7 +82,7 @@ def statistics_of(cells: DataFrame, heads: DataFrame) -> DataFrame:
         .groupBy("file_id", "path")
         .agg(F.count("*").alias("n"), *[F.count(F.when(F.col("value.raw") == t, 1)).alias(f"n_{t}") for t in ("integer", "decimal", "text")])
     )
-    fields = heads.select("file_id", F.explode("fields.path").alias("path"))
+    fields = heads.select("file_id", F.explode(F.array_compact("fields")).alias("path"))
     kind = F.when(F.col("n_text") > 0, "text").when(F.col("n_decimal") > 0, "decimal").when(F.col("n") > 0, "integer")
     zeros = [F.coalesce(F.col(c), F.lit(0)).alias(c) for c in ("n", "n_integer", "n_decimal", "n_text")]
     return fields.join(counted, ["file_id", "path"], "left").select("file_id", "path", *zeros, kind.alias("type"))
@@ -95,7 +101,7 @@ def _in_stems(files: DataFrame, heads: DataFrame) -> DataFrame:
     """
     stem = Window.partitionBy("stem").orderBy("seq", "file_id")
     once = files.select("file_id", "stem", "seq").filter(F.col("stem").isNotNull() & F.col("seq").isNotNull() & F.col("file_id").isNotNull()).dropDuplicates(["file_id"])
-    paths = F.coalesce(F.col("fields.path"), F.array().cast("array<string>"))
+    paths = F.coalesce(F.array_compact("fields"), F.array().cast("array<string>"))
     placed = once.join(heads, "file_id", "left").select(
         "file_id", "stem", "seq", "fields", "chunks", paths.alias("paths")
     ).select("*", F.row_number().over(stem).alias("ord"), F.lead("file_id").over(stem).alias("file_after"), F.lag("paths").over(stem).alias("before"), F.lead("paths").over(stem).alias("after"))
