@@ -106,3 +106,27 @@ def test_failed_casts_and_odd_headers(spark):
     files, ls = sieve(spark, [(1, "s", 1, ["a", "a"], [["1", "7"], ["2"], ["x", "1", "9"], ["4"]]), (2, None, 1, ["a"], [["1"]])])
     rows = drift.typed_table(files, ls).collect()
     assert sorted(x for r in rows for x in r["failed_casts"]) == ["a=x"] and {r["integers"].get("a") for r in rows} == {1, 2, 4, None}
+
+
+def whole(rows, key=("f", "chr1")):
+    want = brute(rows)
+    return sorted([(*key, "period", a, b) for a, b in want] + [(*key, "gap", a[1], b[0]) for a, b in zip(want, want[1:])], key=repr)
+
+
+def test_long_intervals(spark):
+    rng = random.Random(6)
+    big = 9_000_000_000_000_000_000
+    for extra in ([(100, big)], [(-5, 1 << 40)], [(1000, 10**7), (10**7 + 3, 10**9), (10**9, big), (64, 65)], [(0, 64 * 1030), (64 * 1030, 64 * 3000)]):
+        rows = [(s, s + rng.randint(1, 70)) for s in (rng.randint(0, 200_000) for _ in range(300))] + extra
+        df = spark.createDataFrame([("f", "chr1", *r, "x", "y") for r in rows], BED).repartition(3)
+        assert bag(periods.merge_intervals(df, ["file_id", "chrom"], tile=64)) == whole(rows)
+
+
+def test_merging_beside_the_input():
+    import pyarrow as pa
+
+    rng = random.Random(7)
+    rows = [(rng.choice("ab"), rng.choice([None, 0, 1]), s, s + rng.randint(1, 9)) for s in (rng.randint(0, 300) for _ in range(400))]
+    got = periods.merged(pa.table(dict(zip(("k", "tile", "s", "e"), zip(*rows)))), ["k"]).to_pylist()
+    want = [(k, t, *r) for k in "ab" for t in (None, 0, 1) for r in brute([x[2:] for x in rows if x[:2] == (k, t)])]
+    assert sorted((tuple(r.values()) for r in got), key=repr) == sorted(want, key=repr)

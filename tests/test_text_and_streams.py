@@ -57,3 +57,20 @@ def test_stream_periods(spark, tmp_path):
     got = rows(spark.read.json(str(tmp_path / "out0")).select("f", "kind", "start1", "end1"))
     assert got == [("a", "gap", 10, 20), ("a", "period", 0, 10), ("a", "period", 20, 30), ("b", "period", 5, 6)]
     assert rows(spark.read.json(str(tmp_path / "out1")).select("f", "kind", "start1", "end1")) == [("a", "gap", 30, 40), ("a", "period", 0, 30), ("a", "period", 40, 50)]
+
+
+def test_streamed_periods_reach_over_tiles(spark, tmp_path):
+    import random
+
+    from strandweave.operators.periods import merge_intervals
+    from strandweave.streaming.periods import streamed_periods
+
+    rng = random.Random(8)
+    data = [("a", 900, 1100), ("a", 3500, 3600), ("b", 5, 9), ("b", 0, 4_000_000), (None, 1, 2), ("a", None, 3)] + [("c", s, s + rng.randint(1, 900)) for s in (rng.randint(0, 90_000) for _ in range(120))]
+    shape = "f string, start1 bigint, end1 bigint"
+    for i in range(3):
+        spark.createDataFrame(data[i::3], shape).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
+    got = rows(streamed_periods(stream, ["f"], tile=1000))
+    assert got == rows(merge_intervals(spark.createDataFrame(data, shape), ["f"], tile=1000))
+    assert [r[1:] for r in got if r[0] == "a"] == [("gap", 1100, 3500), ("period", 3500, 3600), ("period", 900, 1100)]
