@@ -170,11 +170,16 @@ def chrom_key(name: Column) -> Column:
     return F.regexp_replace(F.lower(F.regexp_replace(name, r"\s+", "")), "^chr", "")
 
 
-def bed_periods(bed: DataFrame, chroms: DataFrame, tile: int = TILE) -> DataFrame:
-    """Periods and gaps per file and chromosome; names that are in no way a catalogue name are ignored.
+def bed_rows(bed: DataFrame, chroms: DataFrame) -> DataFrame:
+    """``file_id, chrom, start1, end1`` with the catalogue's names; names that are in no way one are ignored.
 
     ``chroms`` is the genome catalogue, whose size is fixed, so it is broadcast.
     """
     names = chroms.select(F.col("chrom").alias("known"), chrom_key(F.col("chrom")).alias("k")).dropDuplicates(["k"])
     rows = bed.select("file_id", chrom_key(F.col("chrom")).alias("k"), "start1", "end1").join(F.broadcast(names), "k")
-    return merge_intervals(rows.select("file_id", F.col("known").alias("chrom"), "start1", "end1"), ["file_id", "chrom"], tile=tile)
+    return rows.select("file_id", F.col("known").alias("chrom"), "start1", "end1")
+
+
+def bed_periods(bed: DataFrame, chroms: DataFrame, tile: int = TILE) -> DataFrame:
+    """Periods and gaps per file and chromosome."""
+    return merge_intervals(bed_rows(bed, chroms), ["file_id", "chrom"], tile=tile)

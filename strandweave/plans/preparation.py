@@ -9,10 +9,13 @@ from pyspark.sql import functions as F
 
 from strandweave.operators import drift, periods, rejects
 from strandweave.session import table
+from strandweave.streaming.periods import streamed_periods
 
 #: Unified field names that get a column of their own in p1_table.
 MEASURES = {f"{r}_sieve_{m}": f"{m}_{r}" for r in (500, 1000, 2000, 5000, 10000, 25000) for m in ("local_zscore", "obs_over_global_expected")}
 
+STREAM_TILE = 1 << 26
+
 
 def _sieve(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     return table(spark, d, "sieve_files"), table(spark, d, "sieve_lines")
@@ -39,6 +42,13 @@ def p2_found(spark: SparkSession, d: str) -> DataFrame:
     return periods.bed_periods(table(spark, d, "bed_files"), table(spark, d, "chroms"))
 
 
+def p2_streamed(spark: SparkSession, d: str) -> DataFrame:
+    """The same by a stream over the table's files, whose maps are kept in Spark's state store. Tiles are wide, as state is kept by tile and file."""
+    name = f"{d}/bed_files.parque[t]"  # a pattern, as a stream takes no path of a single file
+    stream = spark.readStream.schema(table(spark, d, "bed_files").schema).option("maxFilesPerTrigger", 64).parquet(name)
+    return streamed_periods(periods.bed_rows(stream, table(spark, d, "chroms")), ["file_id", "chrom"], tile=STREAM_TILE)
+
+
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     return rejects.rejected(table(spark, d, "bed_lines"), table(spark, d, "chroms")).select("line_id", "reason")
 
@@ -48,7 +58,7 @@ def p4_loaded(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p1_found, p1_statistics, p1_table, p1_failed_casts, p2_found, p4_found, p4_loaded)}
+    return {f.__name__: f for f in (p1_found, p1_statistics, p1_table, p1_failed_casts, p2_found, p2_streamed, p4_found, p4_loaded)}
 
 
 _CELLS = r"""
@@ -125,6 +135,7 @@ def oracle_sql() -> dict[str, str]:
         "p1_found": _CHANGES,
         "p1_statistics": _CELLS + "SELECT file_id, path, n, n_integer, n_decimal, n_text, type FROM field",
         "p2_found": _PERIODS,
+        "p2_streamed": _PERIODS,
         "p4_found": _LINES + "SELECT line_id, reason FROM judged WHERE reason IS NOT NULL",
         "p4_loaded": _LINES
         + "SELECT line_id, file_id, line_no, f[1] AS chr1Name, CAST(f[2] AS BIGINT) AS start1, CAST(f[3] AS BIGINT) AS end1, CASE WHEN len(f) = 5 THEN f[4] END AS name, CASE WHEN len(f) = 5 THEN CAST(f[5] AS DOUBLE) END AS score FROM judged WHERE reason IS NULL",
