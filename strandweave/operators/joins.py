@@ -25,22 +25,30 @@ def exact_anti(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.join(b.select(*COORDS), COORDS, "left_anti")
 
 
-def overlap_pairs(a: DataFrame, b: DataFrame, window: int = 0, tile: int = TILE) -> DataFrame:
-    """All columns of ``a`` and, with prefix ``b_``, the coordinates of the rows of ``b`` that overlap on both axes, ``a`` widened by ``window``."""
+def _tiled(a: DataFrame, b: DataFrame, window: int, tile: int) -> tuple[DataFrame, DataFrame, Column, Column, list[str]]:
+    """Both sides with a row for each tile they touch, the conditions of a shared tile and of an overlap, and the helper columns of ``a``."""
     wide = a.withColumns({f"{p}{s}_": F.col(f"{p}{s}") + (window if p == "end" else -window) for p in ("start", "end") for s in (1, 2)})
     left = wide.withColumns({"tx": F.explode(tiles(F.greatest(F.col("start1_"), F.lit(0)), F.col("end1_"), tile))}).withColumn("ty", F.explode(tiles(F.greatest(F.col("start2_"), F.lit(0)), F.col("end2_"), tile)))
     right = b.select(*[F.col(c).alias(f"b_{c}") for c in COORDS]).withColumn("btx", F.explode(tiles(F.col("b_start1"), F.col("b_end1"), tile))).withColumn("bty", F.explode(tiles(F.col("b_start2"), F.col("b_end2"), tile)))
     on = (F.col("chr1") == F.col("b_chr1")) & (F.col("chr2") == F.col("b_chr2")) & (F.col("tx") == F.col("btx")) & (F.col("ty") == F.col("bty"))
     near = F.lit(True)
-    for s, t in ((1, "tx"), (2, "ty")):
+    for s in (1, 2):
         near = near & (F.col(f"start{s}_") < F.col(f"b_end{s}")) & (F.col(f"b_start{s}") < F.col(f"end{s}_"))
+    return left, right, on, near, ["tx", "ty", *[f"{p}{s}_" for p in ("start", "end") for s in (1, 2)]]
+
+
+def overlap_pairs(a: DataFrame, b: DataFrame, window: int = 0, tile: int = TILE) -> DataFrame:
+    """All columns of ``a`` and, with prefix ``b_``, the coordinates of the rows of ``b`` that overlap on both axes, ``a`` widened by ``window``."""
+    left, right, on, near, helpers = _tiled(a, b, window, tile)
+    for s, t in ((1, "tx"), (2, "ty")):
         near = near & (F.col(t) == div(F.greatest(F.col(f"start{s}_"), F.col(f"b_start{s}"), F.lit(0)), tile))
-    return left.join(right, on & near).drop("tx", "ty", "btx", "bty", *[f"{p}{s}_" for p in ("start", "end") for s in (1, 2)])
+    return left.join(right, on & near).drop("btx", "bty", *helpers)
 
 
 def overlap_semi(a: DataFrame, b: DataFrame, window: int = 0, tile: int = TILE) -> DataFrame:
-    """Distinct features of ``a`` that overlap some of ``b``."""
-    return overlap_pairs(a.select(*COORDS).distinct(), b.select(*COORDS).distinct(), window, tile).select(*COORDS).distinct()
+    """Distinct features of ``a`` that overlap some of ``b``. The join ends at a feature's first match in a tile; no pair is made."""
+    left, right, on, near, helpers = _tiled(a.select(*COORDS).distinct(), b.select(*COORDS).distinct(), window, tile)
+    return left.join(right, on & near, "left_semi").drop(*helpers).distinct()
 
 
 def overlap_anti(a: DataFrame, b: DataFrame, window: int = 0, tile: int = TILE) -> DataFrame:
@@ -185,15 +193,18 @@ def masked_pixels(loops: DataFrame, contacts: DataFrame, resolution: int, window
 
 
 def near_pixels(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, tile: int | None = None) -> DataFrame:
-    """Pixels nearer than ``window`` bins, by rows and columns together, to some loop centre in either orientation; each once."""
+    """Pixels nearer than ``window`` bins, by rows and columns together, to some loop centre in either orientation; each row of ``contacts`` once."""
     tile = tile or 1 << (2 * window).bit_length()
     own = loops.select("chr1", "chr2", div(x.mid1(), resolution).alias("cx"), div(x.mid2(), resolution).alias("cy")).distinct()
     both = own.unionByName(own.select("chr1", "chr2", F.col("cy").alias("cx"), F.col("cx").alias("cy")))
     reach = lambda c: F.sequence(F.floor((F.col(c) - window) / tile), F.floor((F.col(c) + window) / tile))
     spread = both.withColumn("tx", F.explode(reach("cx"))).withColumn("ty", F.explode(reach("cy")))
+    spread = spread.select(*[F.col(c).alias(f"_{c}") for c in ("chr1", "chr2", "tx", "ty")], "cx", "cy")
     pixels = contacts.filter((F.col("resolution") == resolution) & (F.col("counts") > 0)).withColumns({"tx": div("bin_x", tile), "ty": div("bin_y", tile)})
+    # a pixel has one tile, so the join ends at the first centre near it
+    same = [F.col(c) == F.col(f"_{c}") for c in ("chr1", "chr2", "tx", "ty")]
     hit = F.abs(F.col("bin_x") - F.col("cx")) + F.abs(F.col("bin_y") - F.col("cy")) < window
-    return pixels.join(spread, ["chr1", "chr2", "tx", "ty"]).filter(hit).drop("tx", "ty", "cx", "cy").distinct()
+    return pixels.join(spread, [*same, hit], "left_semi").drop("tx", "ty")
 
 
 def not_below_neighbour(pixels: DataFrame, value: str = "counts") -> DataFrame:

@@ -129,11 +129,13 @@ def collapse_resolutions(pixels: DataFrame, tile: int = FUSE_TILE) -> DataFrame:
     return d.groupBy("chr1", "chr2", at("bin_x").alias("tx"), at("bin_y").alias("ty")).applyInPandas(run, "chr1 string, start1 bigint, end1 bigint, chr2 string, start2 bigint, end2 bigint, resolution bigint")
 
 
-def suppress_near(pixels: DataFrame, radius: int, value: str = "high", rounds: int = 64) -> DataFrame:
+def suppress_near(pixels: DataFrame, radius: int, value: str = "high") -> DataFrame:
     """Descending by value: a kept pixel removes all within an integer distance of ``radius``, over whole chromosomes.
 
     Done by rounds on a grid instead of in one task: a pixel stays once nothing left that is stronger is near it, and
-    what stays removes its neighbours. The rounds end when nothing is open; each is written to the shared folder.
+    what stays removes its neighbours. Each round settles the strongest open pixel of every neighbourhood, so rounds
+    end by themselves, when nothing is open; a ridge that falls steadily needs one for each pixel that stays on it.
+    Each is written to the shared folder.
     """
     from strandweave.session import materialize
 
@@ -150,7 +152,7 @@ def suppress_near(pixels: DataFrame, radius: int, value: str = "high", rounds: i
         return a.join(other, key).filter((F.floor(F.sqrt((dx * dx + dy * dy).cast("double"))) <= radius) & ((dx != 0) | (dy != 0)))
 
     ids = ["chr1", "chr2", "bin_x", "bin_y"]
-    for _ in range(rounds):
+    while True:
         open_ = materialize(open_, "suppress-open")
         if open_.isEmpty():
             break
@@ -158,8 +160,6 @@ def suppress_near(pixels: DataFrame, radius: int, value: str = "high", rounds: i
         won = materialize(open_.join(beaten, ids, "left_anti"), "suppress-won")
         keep = won if keep is None else keep.unionByName(won)
         open_ = open_.join(won, ids, "left_anti").join(pairs(open_, won).select(*ids).distinct(), ids, "left_anti")
-    else:
-        raise RuntimeError("suppression did not settle; give more rounds")
     return (open_ if keep is None else keep).select(*ids, F.col("v").alias(value))
 
 

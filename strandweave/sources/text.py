@@ -137,7 +137,10 @@ def write_routed(df: DataFrame, path: str, routes: Sequence[str]) -> None:
 def grid_array(grid: DataFrame, window: int, value: str = "total") -> np.ndarray:
     """A pile-up grid as a matrix; it has (2 * window + 1) squared cells whatever the input."""
     m = np.zeros((2 * window + 1,) * 2)
-    for r in grid.select("dx", "dy", value).limit(m.size).collect():
+    cells = grid.select("dx", "dy", value).limit(m.size + 1).collect()
+    if len(cells) > m.size or len({(r["dx"], r["dy"]) for r in cells}) < len(cells):
+        raise ValueError("a cell of the grid occurs more than once")
+    for r in cells:
         m[r["dx"], r["dy"]] = r[value]
     return m
 
