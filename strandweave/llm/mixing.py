@@ -22,8 +22,6 @@ from pyspark.sql import functions as F
 from strandweave.llm.tokens import source_key
 
 BUCKET_TOKENS = 2_000_000
-MOST_BUCKETS = 100_000
-LEAST_SHARE = 1e-12
 
 
 @dataclass(frozen=True)
@@ -73,23 +71,31 @@ def _inverse(cumulative: Column, total: float) -> Column:
     return F.least(2 * c / (u + root), F.lit(1.0))
 
 
-def mix(sized: DataFrame, targets: DataFrame, wanted: int | None = None, tilt: float = 1.0, seed: int = 0) -> DataFrame:
-    """``doc_id, source, repeat_no, tokens, position``, sorted by position.
+def plans_of(sized: DataFrame, targets: DataFrame, wanted: int | None = None, tilt: float = 1.0) -> tuple[list[Plan], int]:
+    """The plan of every listed source that gives anything, and the wanted total, that of all documents unless given.
 
-    ``sized`` is ``doc_id, source, tokens``; ``targets`` is ``source, target_share, max_repeats``, of which the driver
-    reads as many rows as there are listed sources. The wanted total is that of all documents unless given.
+    The driver reads as many rows as there are listed sources.
     """
     listed = {r["s"]: (float(r["w"]), int(r["r"])) for r in targets.groupBy(source_key(F.col("source")).alias("s")).agg(F.sum("target_share").alias("w"), F.max("max_repeats").alias("r")).filter("s IS NOT NULL AND w IS NOT NULL AND r IS NOT NULL").collect()}
-    clean = sized.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens")).filter("doc_id IS NOT NULL")
-    sums = clean.groupBy(F.when(F.col("source").isin(*listed), F.col("source")).alias("s")).agg(F.sum("tokens").alias("t")).collect() if listed else []
+    clean = sized.filter("doc_id IS NOT NULL")
+    sums = clean.groupBy(F.when(F.col("source").isin(*listed), F.col("source")).alias("s")).agg(F.sum(F.coalesce("tokens", F.lit(0))).alias("t")).collect() if listed else []
     supply = {r["s"]: int(r["t"]) for r in sums}
     total = wanted if wanted is not None else sum(supply.values())
-    plans = plan(listed, supply, total, tilt)
+    return plan(listed, supply, total, tilt), total
+
+
+def mix(sized: DataFrame, targets: DataFrame, wanted: int | None = None, tilt: float = 1.0, seed: int = 0) -> DataFrame:
+    """``doc_id, source, repeat_no, tokens, position``, sorted by position.
+
+    ``sized`` is ``doc_id, source, tokens``; ``targets`` is ``source, target_share, max_repeats``.
+    """
+    clean = sized.select("doc_id", "source", F.coalesce("tokens", F.lit(0)).alias("tokens")).filter("doc_id IS NOT NULL")
+    plans, total = plans_of(sized, targets, wanted, tilt)
     spark = sized.sparkSession
     shape = "source string, supply bigint, demand double, start double, end double"
     ways = spark.createDataFrame([(p.source, p.supply, p.demand, p.start, p.end) for p in plans], shape)
     given = sum(p.demand for p in plans)
-    buckets = max(1, min(MOST_BUCKETS, math.ceil(total / BUCKET_TOKENS)))
+    buckets = max(1, math.ceil(total / BUCKET_TOKENS))
 
     epochs = F.sequence(F.lit(0), F.greatest(F.ceil(F.col("demand") / F.col("supply")).cast("int") - 1, F.lit(0)))
     used = clean.join(F.broadcast(ways), "source").withColumn("epoch", F.explode(epochs)).withColumn("h", F.xxhash64("doc_id", "epoch", F.lit(seed)))
@@ -113,3 +119,24 @@ def share_report(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     return targets.select(source_key(F.col("source")).alias("source"), "target_share", "max_repeats").join(got, "source", "left").select(
         "source", "target_share", (F.coalesce("tokens", F.lit(0)) / F.sum("tokens").over(Window.partitionBy())).alias("actual_share"), zero("tokens"), zero("uses"), zero("documents"), zero("most_repeats"), "max_repeats"
     )
+
+
+def schedule_report(mixed: DataFrame, plans: list[Plan], steps: int = 10) -> DataFrame:
+    """``step, source, scheduled_share, actual_share``: tokens by stretch of the run against the integral of the source's weights over it."""
+    shape = "step int, source string, scheduled_share double"
+    rows = [(k, p.source, p.start + (p.end - p.start) * (k + 0.5) / steps) for p in plans for k in range(steps)]
+    wanted = mixed.sparkSession.createDataFrame(rows, shape)
+    got = mixed.groupBy(F.least(F.floor(F.col("position") * steps), F.lit(steps - 1)).cast("int").alias("step"), "source").agg(F.sum("tokens").alias("t"))
+    shares = got.withColumn("actual_share", F.col("t") / F.sum("t").over(Window.partitionBy("step")))
+    return wanted.join(shares, ["step", "source"], "left").select("step", "source", "scheduled_share", F.coalesce("actual_share", F.lit(0.0)).alias("actual_share"))
+
+
+def faults(mixed: DataFrame, targets: DataFrame) -> DataFrame:
+    """``source, unlisted, over_repeated, doubled`` of every listed source: uses that break a rule; ``unlisted`` counts those of no listed source."""
+    listed = targets.groupBy(source_key(F.col("source")).alias("source")).agg(F.max("max_repeats").alias("cap"))
+    uses = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("n"), F.count_distinct("repeat_no").alias("numbers"), F.max("repeat_no").alias("last"))
+    met = uses.join(F.broadcast(listed), "source", "left")
+    strange = met.filter("cap IS NULL").agg(F.count("*").alias("unlisted"))
+    by = met.groupBy("source").agg(F.count(F.when(F.col("n") > F.col("cap"), 1)).alias("over_repeated"), F.count(F.when((F.col("numbers") < F.col("n")) | (F.col("last") != F.col("n")), 1)).alias("doubled"))
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0)).alias(c)
+    return listed.join(by, "source", "left").select("source", F.lit(int(strange.first()["unlisted"])).cast("bigint").alias("unlisted"), zero("over_repeated"), zero("doubled"))

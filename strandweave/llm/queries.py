@@ -47,6 +47,14 @@ def p6_fill(spark: SparkSession, d: str) -> DataFrame:
     return packing.fill_report(_packed(spark, d))
 
 
+def p6_shares(spark: SparkSession, d: str) -> DataFrame:
+    return packing.share_report(_packed(spark, d))
+
+
+def p6_faults(spark: SparkSession, d: str) -> DataFrame:
+    return packing.faults(_packed(spark, d))
+
+
 def p7_mix(spark: SparkSession, d: str) -> DataFrame:
     return mixing.mix(_sizes(spark, d), table(spark, d, "mix_targets"))
 
@@ -55,6 +63,15 @@ def p7_shares(spark: SparkSession, d: str) -> DataFrame:
     return mixing.share_report(p7_mix(spark, d), table(spark, d, "mix_targets"))
 
 
+def p7_schedule(spark: SparkSession, d: str) -> DataFrame:
+    sizes, targets = _sizes(spark, d), table(spark, d, "mix_targets")
+    return mixing.schedule_report(mixing.mix(sizes, targets), mixing.plans_of(sizes, targets)[0])
+
+
+def p7_faults(spark: SparkSession, d: str) -> DataFrame:
+    return mixing.faults(p7_mix(spark, d), table(spark, d, "mix_targets"))
+
+
 #: The key of the registered query; a run of one's own gives its own.
 DEMONSTRATION_KEY = b"a key for tests and demonstrations"
 
@@ -68,7 +85,7 @@ def p8_redacted(spark: SparkSession, d: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_ranked, p6_pack, p6_fill, p7_mix, p7_shares, p8_found, p8_redacted)}
+    return {f.__name__: f for f in (p3_found, p3_records, p5_found, p5_ranked, p6_pack, p6_fill, p6_shares, p6_faults, p7_mix, p7_shares, p7_schedule, p7_faults, p8_found, p8_redacted)}
 
 
 # Keys are marked where a known field name and an assignment follow; the text up to the next mark is the value.
@@ -101,6 +118,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "p3_found": _RECORDS + "SELECT first_id, record_id AS copy_id FROM whole JOIN first USING (k) WHERE record_id <> first_id",
         "p3_records": _RECORDS + "SELECT first_id AS record_id, n_copies FROM first",
+        # rules that hold for any right answer: every e-mail packed whole, no container overfull, no use too many
+        "p6_faults": "SELECT spec, (SELECT count(DISTINCT doc_id) FROM documents) AS documents, CAST(0 AS BIGINT) AS overfull, CAST(0 AS BIGINT) AS incomplete, CAST(0 AS BIGINT) AS cut_without_need FROM pack_capacity",
+        "p7_faults": "SELECT DISTINCT replace(lower(trim(source)), '-', '_') AS source, CAST(0 AS BIGINT) AS unlisted, CAST(0 AS BIGINT) AS over_repeated, CAST(0 AS BIGINT) AS doubled FROM mix_targets",
         "p5_found": _TOP + "SELECT list_id, chr1, loop_id FROM ranked WHERE rank <= 5",
         "p5_ranked": _TOP + "SELECT list_id, chr1, loop_id, score, _sieve_local_zscore, rank FROM ranked WHERE rank <= 5",
     }
