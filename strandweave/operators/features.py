@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from strandweave.functions import scalars as x
 from strandweave.functions.scalars import COORDS
+from strandweave.operators.tiled import running
 
 
 # --- projections
@@ -208,9 +209,8 @@ def keep_first(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def split_round_robin(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
-    """``part`` from 0 to n - 1, dealt out in order within each pair of chromosomes."""
-    w = Window.partitionBy("chr1", "chr2").orderBy(*order)
-    return df.withColumn("part", ((F.row_number().over(w) - 1) % n).cast("int"))
+    """``part`` from 0 to n - 1, dealt out in order, whose first column is a number, within each pair of chromosomes."""
+    return running(df, ["chr1", "chr2"], order, F.lit(1), "_n").withColumn("part", (F.col("_n") % n).cast("int")).drop("_n")
 
 
 def anchors_of(df: DataFrame) -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from strandweave.functions import scalars as x
 from strandweave.functions.scalars import div
+from strandweave.operators.tiled import islands, running, with_halo
 
 #: Fixed values of the smoothing kernels.
 THREE_TAPS = (0.24, 0.52, 0.24)
@@ -30,11 +31,8 @@ def coverage(intervals: DataFrame, bin_size: int = 10, widest: int | None = 400,
 
 
 def runs(bins: DataFrame, bin_size: int, keys: Sequence[str] = ("chrom",)) -> DataFrame:
-    """Gaps and islands: maximal runs of adjacent bins as ``start, end, n_bins``."""
-    w = Window.partitionBy(*keys).orderBy("bin")
-    return bins.select(*keys, "bin").distinct().withColumn("island", F.col("bin") - F.row_number().over(w)).groupBy(*keys, "island").agg(
-        (F.min("bin") * bin_size).alias("start"), (F.max("bin") * bin_size + bin_size).alias("end"), F.count("*").alias("n_bins")
-    ).drop("island")
+    """Gaps and islands: maximal runs of adjacent bins as ``start, end, n_bins``, found by tiles."""
+    return islands(bins, keys).select(*keys, (F.col("first") * bin_size).alias("start"), (F.col("last") * bin_size + bin_size).alias("end"), F.col("n").alias("n_bins"))
 
 
 def merged_coverage(intervals: DataFrame, bin_size: int = 10, widest: int | None = 400, least: int = 3, keys: Sequence[str] = ("chrom",)) -> DataFrame:
@@ -50,59 +48,67 @@ def dense(signal: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
 
 def smooth(signal: DataFrame, taps: Sequence[float] = FIVE_TAPS, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Weighted sum over neighbours of a dense signal; the outermost bins are copied."""
-    w = Window.partitionBy(*keys).orderBy("bin")
     h = len(taps) // 2
-    terms = [F.lag("value", h - i).over(w) if i < h else F.lead("value", i - h).over(w) if i > h else F.col("value") for i in range(len(taps))]
-    total = terms[0] * taps[0]
-    for t, k in zip(terms[1:], taps[1:]):
-        total = total + t * k
-    return signal.withColumn("smooth", F.coalesce(total, F.col("value")))
+
+    def total(w: WindowSpec) -> dict[str, Column]:
+        terms = [F.lag("value", h - i).over(w) if i < h else F.lead("value", i - h).over(w) if i > h else F.col("value") for i in range(len(taps))]
+        out = terms[0] * taps[0]
+        for t, k in zip(terms[1:], taps[1:]):
+            out = out + t * k
+        return {"smooth": F.coalesce(out, F.col("value"))}
+
+    return with_halo(signal, keys, h, total)
 
 
 def local_maxima(signal: DataFrame, above: float | None = None, keys: Sequence[str] = ("chrom",), value: str = "value") -> DataFrame:
     """Bins of a dense signal strictly greater than both neighbours; the outermost ones never are."""
-    w = Window.partitionBy(*keys).orderBy("bin")
-    d = signal.withColumns({"_p": F.lag(value).over(w), "_n": F.lead(value).over(w)}).filter((F.col(value) > F.col("_p")) & (F.col(value) > F.col("_n")))
+    d = with_halo(signal, keys, 1, lambda w: {"_p": F.lag(value).over(w), "_n": F.lead(value).over(w)}).filter((F.col(value) > F.col("_p")) & (F.col(value) > F.col("_n")))
     return (d if above is None else d.filter(F.col(value) > above)).drop("_p", "_n")
 
 
 def five_point_peaks(signal: DataFrame, keys: Sequence[str] = ("chrom",)) -> DataFrame:
-    """Bins with a rise over the two before and a fall over the two after."""
-    w = Window.partitionBy(*keys).orderBy("bin")
-    v = [F.lag("value", 2).over(w), F.lag("value").over(w), F.col("value"), F.lead("value").over(w), F.lead("value", 2).over(w)]
-    return signal.withColumn("_ok", (v[0] < v[1]) & (v[1] < v[2]) & (v[2] > v[3]) & (v[3] > v[4])).filter("_ok").drop("_ok")
+    """Bins of a dense signal with a rise over the two before and a fall over the two after."""
+
+    def ok(w: WindowSpec) -> dict[str, Column]:
+        v = [F.lag("value", 2).over(w), F.lag("value").over(w), F.col("value"), F.lead("value").over(w), F.lead("value", 2).over(w)]
+        return {"_ok": (v[0] < v[1]) & (v[1] < v[2]) & (v[2] > v[3]) & (v[3] > v[4])}
+
+    return with_halo(signal, keys, 2, ok).filter("_ok").drop("_ok")
 
 
 def best_near(signal: DataFrame, reach: int, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """``best``: of all bins within ``reach`` the one with the greatest value; the bin itself wins ties, then the first."""
-    w = Window.partitionBy(*keys).orderBy("bin").rangeBetween(-reach, reach)
-    top = F.max_by("bin", F.struct("value", -F.col("bin"))).over(w)
-    return signal.withColumn("best", F.when(F.max("value").over(w) > F.col("value"), top).otherwise(F.col("bin")))
+
+    def best(w: WindowSpec) -> dict[str, Column]:
+        near = w.rangeBetween(-reach, reach)
+        top = F.max_by("bin", F.struct("value", -F.col("bin"))).over(near)
+        return {"best": F.when(F.max("value").over(near) > F.col("value"), top).otherwise(F.col("bin"))}
+
+    return with_halo(signal, keys, reach, best)
 
 
 def runs_with_gap_fill(marks: DataFrame, longer_than: int, keys: Sequence[str] = ("chrom",)) -> DataFrame:
     """Half-open runs ``first, stop`` of marked bins, single gaps filled, only those longer than ``longer_than``."""
-    w = Window.partitionBy(*keys).orderBy("bin")
-    d = marks.select(*keys, "bin").distinct().withColumn("next", F.lead("bin").over(w))
+    d = with_halo(marks.select(*keys, "bin").distinct(), keys, 2, lambda w: {"next": F.lead("bin").over(w)})
     filled = d.unionByName(d.filter(F.col("next") == F.col("bin") + 2).withColumn("bin", F.col("bin") + 1))
     return runs(filled, 1, keys).filter(F.col("n_bins") > longer_than).select(*keys, F.col("start").alias("first"), F.col("end").alias("stop"))
 
 
 def cumulative(weights: DataFrame, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """``cdf``: running share of ``weight`` in order."""
-    w = Window.partitionBy(*keys)
-    return weights.withColumn("cdf", F.sum("weight").over(w.orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)) / F.sum("weight").over(w))
+    """``cdf``: running share of ``weight`` in order, whose first column is a number."""
+    d = running(weights, keys, order, F.col("weight"), "_before", "_all")
+    return d.withColumn("cdf", (F.col("_before") + F.col("weight")) / F.col("_all")).drop("_before", "_all")
 
 
 def rolling_median(curve: DataFrame, reach: int, keys: Sequence[str] = ()) -> DataFrame:
+    """Over neighbouring rows of a curve with one row for each distance, so a key is as short as a chromosome in bins."""
     w = Window.partitionBy(*keys).orderBy("d").rowsBetween(-reach, reach)
     return curve.withColumn("median", F.percentile("value", 0.5).over(w))
 
 
 def stride(df: DataFrame, n: int, order: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """Every n-th row in order, the first included."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("_n", F.row_number().over(w)).filter((F.col("_n") - 1) % n == 0).drop("_n")
+    """Every n-th row in order, the first included; the first column of the order is a number."""
+    return running(df, keys, order, F.lit(1), "_n").filter(F.col("_n") % n == 0).drop("_n")
 
 
 def centred(value: Column, log: bool) -> Column:
@@ -135,12 +141,14 @@ def annotated(anchors: DataFrame, signal: DataFrame, bin_size: int) -> DataFrame
 
 def signal_sieve(loops: DataFrame, signal: DataFrame, bin_size: int = 1000, above: float = 2.0) -> DataFrame:
     """``route`` is good where both midpoints lie on a strict local maximum over ``above``, else bad."""
-    w = Window.partitionBy("chrom").orderBy("bin")
-    d = signal.withColumns({"_pb": F.lag("bin").over(w), "_nb": F.lead("bin").over(w), "_p": F.lag("value").over(w), "_n": F.lead("value").over(w)})
+    ends = signal.groupBy(F.col("chrom").alias("_c")).agg(F.min("bin").alias("_a"), F.max("bin").alias("_z"))
+    beside = lambda w: {"_pb": F.lag("bin").over(w), "_nb": F.lead("bin").over(w), "_p": F.lag("value").over(w), "_n": F.lead("value").over(w)}
+    d = with_halo(signal, ["chrom"], 1, beside)
     # bins that the signal lacks are 0; the track's first and last bin are never a maximum
-    before = F.when(F.col("_pb") == F.col("bin") - 1, F.col("_p")).when(F.col("_pb").isNotNull(), 0.0)
-    after = F.when(F.col("_nb") == F.col("bin") + 1, F.col("_n")).when(F.col("_nb").isNotNull(), 0.0)
-    peaks = d.filter((F.col("value") > above) & (F.col("value") > before) & (F.col("value") > after)).select("chrom", "bin")
+    before = F.when(F.col("_pb") == F.col("bin") - 1, F.col("_p")).otherwise(0.0)
+    after = F.when(F.col("_nb") == F.col("bin") + 1, F.col("_n")).otherwise(0.0)
+    high = d.filter((F.col("value") > above) & (F.col("value") > before) & (F.col("value") > after))
+    peaks = high.join(ends, F.col("chrom") == F.col("_c")).filter("bin > _a AND bin < _z").select("chrom", "bin")
     out = loops
     for s in (1, 2):
         p = peaks.select(F.col("chrom").alias(f"chr{s}"), F.col("bin").alias(f"bin{s}"), F.lit(True).alias(f"ok{s}"))

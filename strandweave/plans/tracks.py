@@ -20,7 +20,8 @@ book = Book()
 C = ", ".join(COORDS)
 
 TRACKS = """tr AS (SELECT track, chrom, bin, arg_max(value, line_no) AS value FROM (SELECT track, chrom, value, line_no, unnest(range("start" // 1000, "end" // 1000)) AS bin FROM fx_signal) GROUP BY ALL)"""
-DENSE = f"""{RASTER}, e AS (SELECT chrom, min(bin) AS a, max(bin) AS b FROM r GROUP BY chrom), gr AS (SELECT chrom, unnest(range(a, b + 1)) AS bin FROM e), dn AS (SELECT chrom, bin, coalesce(value, 0) AS value FROM gr LEFT JOIN r USING (chrom, bin))"""
+DENSE = f"""{TRACKS}, e AS (SELECT track, chrom, min(bin) AS a, max(bin) AS b FROM tr GROUP BY track, chrom), gr AS (SELECT track, chrom, unnest(range(a, b + 1)) AS bin FROM e), dn AS (SELECT track, chrom, bin, coalesce(value, 0) AS value FROM gr LEFT JOIN tr USING (track, chrom, bin))"""
+KEYS = ["track", "chrom"]
 
 
 def raster(spark: SparkSession, d: str) -> DataFrame:
@@ -28,11 +29,11 @@ def raster(spark: SparkSession, d: str) -> DataFrame:
 
 
 def dense(spark: SparkSession, d: str) -> DataFrame:
-    return op.dense(raster(spark, d))
+    return op.dense(tracks(spark, d), KEYS)
 
 
 def tracks(spark: SparkSession, d: str) -> DataFrame:
-    return op.raster(view(spark, d, "fx_signal"), 1000, ["track", "chrom"])
+    return op.raster(view(spark, d, "fx_signal"), 1000, KEYS)
 
 
 # --- rasters, coverage, runs
@@ -41,11 +42,11 @@ def s4_bedgraph_raster(spark, d):
     return r6(tracks(spark, d), "value")
 
 
-@book.add(f"WITH {RASTER} SELECT chrom, bin * 1000 AS \"start\", bin * 1000 + 1000 AS \"end\", round(value, 6) AS value FROM r WHERE value > 0")
+@book.add(f"WITH {TRACKS} SELECT track, chrom, bin * 1000 AS \"start\", bin * 1000 + 1000 AS \"end\", round(value, 6) AS value FROM tr WHERE value > 0")
 def k3_bedgraph_export(spark, d):
     from strandweave.sources.text import bedgraph_rows
 
-    return r6(bedgraph_rows(raster(spark, d), 1000), "value")
+    return r6(bedgraph_rows(tracks(spark, d), 1000, keys=["track"]), "value")
 
 
 _COV = """cv AS (SELECT chrom, bin, count(*) AS n FROM (SELECT chrom, unnest(range("start" // 10, "end" // 10 + 1)) AS bin FROM fx_bed WHERE "end" - "start" < 400) GROUP BY ALL)"""
@@ -67,40 +68,40 @@ def a4_merge_bed_files(spark, d):
     return op.merged_coverage(bed, least=2)
 
 
-@book.add(f"WITH {DENSE} SELECT chrom, bin, round(coalesce(0.055 * lag(value, 2) OVER w + 0.245 * lag(value) OVER w + 0.4 * value + 0.245 * lead(value) OVER w + 0.055 * lead(value, 2) OVER w, value), 6) AS smooth FROM dn WINDOW w AS (PARTITION BY chrom ORDER BY bin)")
+@book.add(f"WITH {DENSE} SELECT track, chrom, bin, round(coalesce(0.055 * lag(value, 2) OVER w + 0.245 * lag(value) OVER w + 0.4 * value + 0.245 * lead(value) OVER w + 0.055 * lead(value, 2) OVER w, value), 6) AS smooth FROM dn WINDOW w AS (PARTITION BY track, chrom ORDER BY bin)")
 def w3_smooth5(spark, d):
-    return r6(op.smooth(dense(spark, d)).select("chrom", "bin", "smooth"), "smooth")
+    return r6(op.smooth(dense(spark, d), keys=KEYS).select("track", "chrom", "bin", "smooth"), "smooth")
 
 
-@book.add(f"WITH {DENSE} SELECT chrom, bin, round(coalesce(0.24 * lag(value) OVER w + 0.52 * value + 0.24 * lead(value) OVER w, value), 6) AS smooth FROM dn WINDOW w AS (PARTITION BY chrom ORDER BY bin)")
+@book.add(f"WITH {DENSE} SELECT track, chrom, bin, round(coalesce(0.24 * lag(value) OVER w + 0.52 * value + 0.24 * lead(value) OVER w, value), 6) AS smooth FROM dn WINDOW w AS (PARTITION BY track, chrom ORDER BY bin)")
 def w2_smooth3(spark, d):
-    return r6(op.smooth(dense(spark, d), op.THREE_TAPS).select("chrom", "bin", "smooth"), "smooth")
+    return r6(op.smooth(dense(spark, d), op.THREE_TAPS, keys=KEYS).select("track", "chrom", "bin", "smooth"), "smooth")
 
 
-@book.add(f"WITH {DENSE}, q AS (SELECT *, lag(value) OVER w AS p, lead(value) OVER w AS n FROM dn WINDOW w AS (PARTITION BY chrom ORDER BY bin)) SELECT chrom, bin FROM q WHERE value > p AND value > n")
+@book.add(f"WITH {DENSE}, q AS (SELECT *, lag(value) OVER w AS p, lead(value) OVER w AS n FROM dn WINDOW w AS (PARTITION BY track, chrom ORDER BY bin)) SELECT track, chrom, bin FROM q WHERE value > p AND value > n")
 def w4_local_max(spark, d):
-    return op.local_maxima(dense(spark, d)).select("chrom", "bin")
+    return op.local_maxima(dense(spark, d), keys=KEYS).select("track", "chrom", "bin")
 
 
-@book.add(f"WITH {DENSE}, q AS (SELECT *, lag(value, 2) OVER w AS a, lag(value) OVER w AS b, lead(value) OVER w AS c, lead(value, 2) OVER w AS e2 FROM dn WINDOW w AS (PARTITION BY chrom ORDER BY bin)) SELECT chrom, bin FROM q WHERE a < b AND b < value AND value > c AND c > e2")
+@book.add(f"WITH {DENSE}, q AS (SELECT *, lag(value, 2) OVER w AS a, lag(value) OVER w AS b, lead(value) OVER w AS c, lead(value, 2) OVER w AS e2 FROM dn WINDOW w AS (PARTITION BY track, chrom ORDER BY bin)) SELECT track, chrom, bin FROM q WHERE a < b AND b < value AND value > c AND c > e2")
 def w5_peak_shape(spark, d):
-    return op.five_point_peaks(dense(spark, d)).select("chrom", "bin")
+    return op.five_point_peaks(dense(spark, d), keys=KEYS).select("track", "chrom", "bin")
 
 
-@book.add(f"WITH {RASTER}, q AS (SELECT a.chrom, a.bin, a.value, max(b.value) AS top, arg_max(b.bin, (b.value, -b.bin)) AS top_bin FROM r a JOIN r b ON a.chrom = b.chrom AND b.bin BETWEEN a.bin - 10 AND a.bin + 10 GROUP BY ALL) SELECT chrom, bin, CASE WHEN top > value THEN top_bin ELSE bin END AS best FROM q")
+@book.add(f"WITH {TRACKS}, q AS (SELECT a.track, a.chrom, a.bin, a.value, max(b.value) AS top, arg_max(b.bin, (b.value, -b.bin)) AS top_bin FROM tr a JOIN tr b ON a.track = b.track AND a.chrom = b.chrom AND b.bin BETWEEN a.bin - 10 AND a.bin + 10 GROUP BY ALL) SELECT track, chrom, bin, CASE WHEN top > value THEN top_bin ELSE bin END AS best FROM q")
 def w6_best_near(spark, d):
-    return op.best_near(raster(spark, d), 10).select("chrom", "bin", "best")
+    return op.best_near(tracks(spark, d), 10, KEYS).select("track", "chrom", "bin", "best")
 
 
-@book.add(f"""WITH {RASTER}, m AS (SELECT chrom, bin, lead(bin) OVER (PARTITION BY chrom ORDER BY bin) AS nx FROM r WHERE value > 50), f AS (SELECT chrom, bin FROM m UNION SELECT chrom, bin + 1 FROM m WHERE nx = bin + 2),
-k AS (SELECT chrom, bin, bin - row_number() OVER (PARTITION BY chrom ORDER BY bin) AS i FROM f) SELECT chrom, min(bin) AS first, max(bin) + 1 AS stop FROM k GROUP BY chrom, i HAVING count(*) > 1""")
+@book.add(f"""WITH {TRACKS}, m AS (SELECT track, chrom, bin, lead(bin) OVER (PARTITION BY track, chrom ORDER BY bin) AS nx FROM tr WHERE value > 50), f AS (SELECT track, chrom, bin FROM m UNION SELECT track, chrom, bin + 1 FROM m WHERE nx = bin + 2),
+k AS (SELECT track, chrom, bin, bin - row_number() OVER (PARTITION BY track, chrom ORDER BY bin) AS i FROM f) SELECT track, chrom, min(bin) AS first, max(bin) + 1 AS stop FROM k GROUP BY track, chrom, i HAVING count(*) > 1""")
 def w7_runs_gap_fill(spark, d):
-    return op.runs_with_gap_fill(raster(spark, d).filter("value > 50"), 1)
+    return op.runs_with_gap_fill(tracks(spark, d).filter("value > 50"), 1, keys=KEYS)
 
 
-@book.add(f"WITH {RASTER} SELECT chrom, bin, round(sum(value) OVER (PARTITION BY chrom ORDER BY bin) / sum(value) OVER (PARTITION BY chrom), 6) AS cdf FROM r")
+@book.add(f"WITH {TRACKS} SELECT track, chrom, bin, round(sum(value) OVER (PARTITION BY track, chrom ORDER BY bin) / sum(value) OVER (PARTITION BY track, chrom), 6) AS cdf FROM tr")
 def w8_cdf(spark, d):
-    return r6(op.cumulative(raster(spark, d).withColumnRenamed("value", "weight"), ["bin"], ["chrom"]).select("chrom", "bin", "cdf"), "cdf")
+    return r6(op.cumulative(tracks(spark, d).withColumnRenamed("value", "weight"), ["bin"], KEYS).select("track", "chrom", "bin", "cdf"), "cdf")
 
 
 @book.add("""WITH dc AS (SELECT chr1 AS chrom, abs(bin_x - bin_y) AS d, CAST(sum(counts) AS DOUBLE) AS value FROM fx_contacts WHERE resolution = 50000 GROUP BY ALL) SELECT chrom, d, round(quantile_cont(value, 0.5) OVER (PARTITION BY chrom ORDER BY d ROWS BETWEEN 3 PRECEDING AND 3 FOLLOWING), 6) AS median FROM dc""")

@@ -120,9 +120,9 @@ def write_bed(df: DataFrame, path: str) -> None:
     bed_rows(df).write.csv(path, sep="\t", mode="overwrite")
 
 
-def bedgraph_rows(bins: DataFrame, bin_size: int, zeros: bool = False) -> DataFrame:
+def bedgraph_rows(bins: DataFrame, bin_size: int, zeros: bool = False, keys: Sequence[str] = ()) -> DataFrame:
     d = bins if zeros else bins.filter("value > 0")
-    return d.select("chrom", (F.col("bin") * bin_size).alias("start"), (F.col("bin") * bin_size + bin_size).alias("end"), "value")
+    return d.select(*keys, "chrom", (F.col("bin") * bin_size).alias("start"), (F.col("bin") * bin_size + bin_size).alias("end"), "value")
 
 
 def write_bedgraph(bins: DataFrame, path: str, bin_size: int, zeros: bool = False) -> None:
