@@ -25,11 +25,33 @@ def normalized(contacts: DataFrame, norms: DataFrame, optional: bool = False) ->
     return d.withColumn("value", F.col("counts") / (F.col("nx") * F.col("ny")))
 
 
+def _log_z(d: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """``z`` of the logarithm of ``value`` within its keys: mean and deviation by an aggregate that combines early, then a join."""
+    own = d.withColumn("_l", F.ln(value))
+    stats = own.groupBy(*[F.col(k).alias(f"_{k}") for k in keys]).agg(F.avg("_l").alias("_m"), F.stddev_samp("_l").alias("_s"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    return own.join(stats, same).withColumn("z", (F.col("_l") - F.col("_m")) / F.col("_s")).drop("_l", "_m", "_s", *[f"_{k}" for k in keys])
+
+
 def norm_z(norms: DataFrame) -> DataFrame:
     """``z`` of the logarithm of positive finite norms within chromosome and resolution."""
-    w = Window.partitionBy("norm", "chrom", "resolution")
-    good = norms.filter((F.col("value") >= 1e-20) & (F.col("value") < float("inf")))
-    return good.withColumn("l", F.ln("value")).withColumn("z", (F.col("l") - F.avg("l").over(w)) / F.stddev_samp("l").over(w)).drop("l")
+    return _log_z(norms.filter((F.col("value") >= 1e-20) & (F.col("value") < float("inf"))), "value", ["norm", "chrom", "resolution"])
+
+
+def quality_mask(contacts: DataFrame, norms: DataFrame, least: float = -1.0, neighbours: bool = False) -> DataFrame:
+    """Pixels both of whose bins have a norm ``z`` above ``least``; with ``neighbours`` those beside them must, too."""
+    good = norm_z(norms).filter(F.col("z") > least).select("chrom", "resolution", "bin")
+    out = contacts
+    for s, b in ((1, "bin_x"), (2, "bin_y")):
+        for o in (-1, 0, 1) if neighbours else (0,):
+            out = out.join(good.select(F.col("chrom").alias(f"chr{s}"), "resolution", (F.col("bin") - o).alias(b)), [f"chr{s}", "resolution", b], "left_semi")
+    return out
+
+
+def in_band(pixels: DataFrame, resolution: int, near: int, far: int) -> DataFrame:
+    """Pixels of a distance between ``near`` and ``far``, both exclusive."""
+    d = F.abs(F.col("bin_x") - F.col("bin_y"))
+    return pixels.filter((d > near // resolution) & (d < far // resolution))
 
 
 def expected(contacts: DataFrame, chroms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
@@ -44,11 +66,11 @@ def expected(contacts: DataFrame, chroms: DataFrame, keys: Sequence[str] = ()) -
     return d.select(*keys, "chrom", "resolution", "d", "n", (F.col("s") / F.col("n")).alias("mean"), mean.alias("mean_log"), sd.alias("sd_log"))
 
 
-def against_expected(contacts: DataFrame, model: DataFrame) -> DataFrame:
+def against_expected(contacts: DataFrame, model: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``oe, z, percent`` of each pixel; percent is its share of the way from its distance's mean to that of the least distance with data, within [0, 1]."""
-    near = model.groupBy("chrom", "resolution").agg(F.min_by("mean", "d").alias("mean1"))
-    m = model.select(F.col("chrom").alias("chr1"), "resolution", "d", "mean", "mean_log", "sd_log").join(near.withColumnRenamed("chrom", "chr1"), ["chr1", "resolution"], "left")
-    d = contacts.filter("chr1 = chr2").withColumn("d", F.abs(F.col("bin_x") - F.col("bin_y"))).join(m, ["chr1", "resolution", "d"])
+    near = model.groupBy(*keys, "chrom", "resolution").agg(F.min_by("mean", "d").alias("mean1"))
+    m = model.select(*keys, F.col("chrom").alias("chr1"), "resolution", "d", "mean", "mean_log", "sd_log").join(near.withColumnRenamed("chrom", "chr1"), [*keys, "chr1", "resolution"], "left")
+    d = contacts.filter("chr1 = chr2").withColumn("d", F.abs(F.col("bin_x") - F.col("bin_y"))).join(m, [*keys, "chr1", "resolution", "d"])
     return d.withColumns({
         "oe": x.pseudo_ratio(F.col("counts"), F.col("mean")),
         "z": F.when(F.col("sd_log") > 0, (F.log1p("counts") - F.col("mean_log")) / F.col("sd_log")),
@@ -297,8 +319,7 @@ def recap(loops: DataFrame, contacts: DataFrame, chroms: DataFrame, resolution:
 
 def log_z(contacts: DataFrame, above: float | None = None) -> DataFrame:
     """``z`` of the logarithm of positive counts within a pair of chromosomes."""
-    w = Window.partitionBy("chr1", "chr2", "resolution")
-    d = contacts.filter("counts > 0").withColumn("l", F.ln("counts")).withColumn("z", (F.col("l") - F.avg("l").over(w)) / F.stddev_samp("l").over(w)).drop("l")
+    d = _log_z(contacts.filter("counts > 0"), "counts", ["chr1", "chr2", "resolution"])
     return d if above is None else d.filter(F.col("z") > above)
 
 
@@ -339,11 +360,16 @@ def coarse_to_fine(loops: DataFrame, contacts: DataFrame, resolutions: Sequence[
     return loops
 
 
-def hotspots(contacts: DataFrame, files: int, widest: float = 0.35) -> DataFrame:
-    """Per pixel over experiments (column ``percent``): n, min, max, range, sd, and a route; pixels that fail the bounds are dropped."""
+def hotspots(contacts: DataFrame, files: int, widest: float = 0.35, lone: bool = True) -> DataFrame:
+    """Per pixel over experiments (column ``percent``): n, min, max, range, sd, and a route; pixels that fail the bounds are dropped.
+
+    Without ``lone``, a chromosome with one pixel left gives nothing.
+    """
     least = 3 if files > 3 else 2
     d = contacts.groupBy("chr1", "chr2", "bin_x", "bin_y").agg(F.count("*").alias("n"), F.min("percent").alias("low"), F.max("percent").alias("high"), F.stddev_samp("percent").alias("sd"))
     d = d.withColumn("range", F.col("high") - F.col("low")).filter((F.col("range") <= widest) & (F.col("n") >= least) & (F.col("high") <= widest))
+    if not lone:
+        d = d.join(d.groupBy("chr1").agg(F.count("*").alias("_left")).filter("_left > 1").select("chr1"), "chr1", "left_semi")
     return d.withColumn("route", F.when((F.col("range") > 0.05) & (F.col("low") < 0.05), "candidate").when((F.col("range") < 0.05) & (F.col("low") > 0.05), "ubiquitous").otherwise("other"))
 
 
@@ -371,9 +397,8 @@ def strongest_in_cells(pixels: DataFrame, compression: int = 5, share: float = 0
 def vector_functions(bins: DataFrame) -> DataFrame:
     """Exports of anchor strength: z over n, n times the n-th root of oe, and log oe relative to the median of the positive ones."""
     d = bins.withColumns({"zscore": F.when(F.col("n") > 0, F.col("z") / F.col("n")), "scaled_oe": F.when(F.col("n") > 0, F.pow("oe", 1 / F.col("n")) * F.col("n")), "log_oe": F.ln("oe")})
-    w = Window.partitionBy("direction", "chrom")
-    median = F.percentile(F.when(F.col("log_oe") > 0, F.col("log_oe")), 0.5).over(w)
-    return d.withColumn("oe_log_median", F.when(median > 0, F.col("log_oe") / median).otherwise(0.0)).drop("log_oe")
+    medians = d.filter("log_oe > 0").groupBy("direction", "chrom").agg(F.percentile("log_oe", 0.5).alias("_median"))
+    return d.join(medians, ["direction", "chrom"], "left").withColumn("oe_log_median", F.when(F.col("_median") > 0, F.col("log_oe") / F.col("_median")).otherwise(0.0)).drop("log_oe", "_median")
 
 
 def proportional(contacts: DataFrame, reads: int) -> DataFrame:

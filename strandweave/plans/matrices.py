@@ -99,11 +99,7 @@ def f14_extreme_pixels(spark, d):
 @book.add(f"""WITH {CM}, nz AS (SELECT chrom, bin, (ln(value) - avg(ln(value)) OVER w) / stddev_samp(ln(value)) OVER w AS z FROM fx_norms WINDOW w AS (PARTITION BY norm, chrom, resolution))
 SELECT chr1, bin_x, bin_y, counts FROM (SELECT c.* FROM cm c JOIN nz a ON a.chrom = c.chr1 AND a.bin = c.bin_x AND a.z > -1 WHERE c.resolution = 5000 OFFSET 0) c JOIN nz b ON b.chrom = c.chr2 AND b.bin = c.bin_y AND b.z > -1""")
 def f19_quality_mask(spark, d):
-    z = op.norm_z(view(spark, d, "fx_norms")).filter("z > -1")
-    out = contacts(spark, d).filter(f"resolution = {RES}")
-    for s, b in ((1, "bin_x"), (2, "bin_y")):
-        out = out.join(z.select(F.col("chrom").alias(f"chr{s}"), F.col("bin").alias(b)), [f"chr{s}", b], "left_semi")
-    return out.select("chr1", "bin_x", "bin_y", "counts")
+    return op.quality_mask(contacts(spark, d).filter(f"resolution = {RES}"), view(spark, d, "fx_norms")).select("chr1", "bin_x", "bin_y", "counts")
 
 
 @book.add(f"""WITH {CM}, n AS (SELECT chrom, bin, CAST(sum(counts) AS BIGINT) AS value FROM (SELECT chr1 AS chrom, bin_x AS bin, counts FROM cm WHERE resolution = 5000 UNION ALL SELECT chr2, bin_y, counts FROM cm WHERE resolution = 5000 AND NOT (chr1 = chr2 AND bin_x = bin_y)) GROUP BY ALL) SELECT chrom, bin, value FROM n""")
@@ -191,6 +187,28 @@ def x1_vector_functions(spark, d):
     return r6(op.vector_functions(_strength(spark, d)).select("direction", "chrom", "bin", "zscore", "scaled_oe", "oe_log_median"), "zscore", "scaled_oe", "oe_log_median")
 
 
+#: The whole of both: pixels pass the quality mask, and lie between 20 kb and 5 Mb.
+_NZ = "nz AS MATERIALIZED (SELECT chrom, bin, (ln(value) - avg(ln(value)) OVER w) / stddev_samp(ln(value)) OVER w AS z FROM fx_norms WINDOW w AS (PARTITION BY norm, chrom, resolution))"
+STW = f"""{PX}, {_NZ}, good AS MATERIALIZED (SELECT chrom, bin FROM nz WHERE z > -1),
+k1 AS MATERIALIZED (SELECT * FROM px WHERE percent > 0 AND (oe > 2 OR z > 1.28) AND d > 4 AND d < 1000), k2 AS MATERIALIZED (SELECT k1.* FROM k1 SEMI JOIN good ON good.chrom = chr1 AND good.bin = bin_x), k AS MATERIALIZED (SELECT k2.* FROM k2 SEMI JOIN good ON good.chrom = chr2 AND good.bin = bin_y),
+sa AS (SELECT direction, chrom, bin, CAST(sum(counts) AS BIGINT) AS counts, exp(sum(ln(oe))) AS oe, sum(percent) AS percent, sum(z) AS z, count(*) AS n FROM (SELECT 'forward' AS direction, chr1 AS chrom, bin_x AS bin, * FROM k UNION ALL SELECT 'reverse', chr2, bin_y, * FROM k) GROUP BY ALL)"""
+
+
+def _strength_whole(spark: SparkSession, d: str) -> DataFrame:
+    return op.anchor_strength(op.in_band(op.quality_mask(pixels(spark, d), view(spark, d, "fx_norms")), RES, 20_000, 5_000_000))
+
+
+@book.add(f"WITH {STW} SELECT direction, chrom, bin, counts, round(ln(oe), 6) AS log_oe, round(percent, 6) AS percent, round(z, 6) AS z, n FROM sa")
+def a8_anchor_strength_whole(spark, d):
+    return r6(_strength_whole(spark, d).select("direction", "chrom", "bin", "counts", F.ln("oe").alias("log_oe"), "percent", "z", "n"), "log_oe", "percent", "z")
+
+
+@book.add(f"""WITH {STW}, md AS (SELECT direction, chrom, median(CASE WHEN ln(oe) > 0 THEN ln(oe) END) AS m FROM sa GROUP BY ALL)
+SELECT direction, chrom, bin, round(z / n, 6) AS zscore, round(pow(oe, 1.0 / n) * n, 6) AS scaled_oe, round(CASE WHEN m > 0 THEN ln(oe) / m ELSE 0 END, 6) AS oe_log_median FROM sa JOIN md USING (direction, chrom)""")
+def x1_vector_functions_whole(spark, d):
+    return r6(op.vector_functions(_strength_whole(spark, d)).select("direction", "chrom", "bin", "zscore", "scaled_oe", "oe_log_median"), "zscore", "scaled_oe", "oe_log_median")
+
+
 @book.add(f"""WITH {PX}, q AS (SELECT *, bin_x // 5 AS cx, bin_y // 5 AS cy FROM px), c AS (SELECT chr1, cx, cy, count(*) AS n, max(counts) AS mc, max(oe) AS mo, max(percent) AS mp, max(z) AS mz FROM q GROUP BY ALL),
 t AS (SELECT chr1, cx + i AS cx, cy + j AS cy, sum(n) AS n, max(mc) AS mc, max(mo) AS mo, max(mp) AS mp, max(mz) AS mz FROM c CROSS JOIN (SELECT a.i, b.i AS j FROM range(-1, 2) a(i) CROSS JOIN range(-1, 2) b(i)) GROUP BY ALL)
 SELECT chr1, bin_x, bin_y, counts FROM q JOIN t USING (chr1, cx, cy) WHERE n > 5 AND (counts >= 0.95 * mc OR oe >= 0.95 * mo OR percent >= 0.95 * mp OR z >= 0.95 * mz)""")
@@ -319,6 +337,24 @@ def a14_hotspot_stats(spark, d):
     return r6(hot(spark, d).select("chr1", "bin_x", "bin_y", "n", "low", "high", "sd", "route"), "low", "high", "sd")
 
 
+#: The whole of it: percent contact against each experiment's own expectation, norms above 1 on both bins, 100 kb to 10 Mb.
+@book.add(f"""WITH ed AS (SELECT experiment, chr1 AS chrom, resolution, abs(bin_x - bin_y) AS d, sum(counts) AS s FROM fx_contacts WHERE resolution = {RES} GROUP BY ALL),
+em AS (SELECT experiment, chrom, d, s / greatest((c.length + resolution - 1) // resolution - d, 1) AS mean FROM ed JOIN fx_chroms c USING (chrom)), e1 AS MATERIALIZED (SELECT *, first_value(mean) OVER (PARTITION BY experiment, chrom ORDER BY d) AS mean1 FROM em),
+n1 AS MATERIALIZED (SELECT chrom, bin FROM fx_norms WHERE value > 1), c1 AS MATERIALIZED (SELECT *, abs(bin_x - bin_y) AS d FROM fx_contacts c SEMI JOIN n1 ON n1.chrom = c.chr1 AND n1.bin = c.bin_x WHERE resolution = {RES} AND abs(bin_x - bin_y) > 20 AND abs(bin_x - bin_y) < 2000),
+c2 AS MATERIALIZED (SELECT c1.* FROM c1 SEMI JOIN n1 ON n1.chrom = c1.chr2 AND n1.bin = c1.bin_y),
+pc AS (SELECT c2.chr1, c2.chr2, bin_x, bin_y, CASE WHEN mean1 <> mean THEN least(1, greatest(0, (counts - mean) / (mean1 - mean))) ELSE 0 END AS p FROM c2 JOIN e1 ON e1.experiment = c2.experiment AND e1.chrom = c2.chr1 AND e1.d = c2.d),
+t AS (SELECT chr1, chr2, bin_x, bin_y, count(*) AS n, min(p) AS low, max(p) AS high, stddev_samp(p) AS sd FROM pc GROUP BY ALL), k AS (SELECT *, count(*) OVER (PARTITION BY chr1) AS rest FROM t WHERE high - low <= 0.35 AND n >= 2 AND high <= 0.35)
+SELECT chr1, bin_x, bin_y, n, round(low, 6) AS low, round(high, 6) AS high, round(sd, 6) AS sd, CASE WHEN high - low > 0.05 AND low < 0.05 THEN 'candidate' WHEN high - low < 0.05 AND low > 0.05 THEN 'ubiquitous' ELSE 'other' END AS route FROM k WHERE rest > 1""")
+def a14_hotspot_whole(spark, d):
+    c = contacts(spark, d, merged=False).filter(f"resolution = {RES}")
+    norms = view(spark, d, "fx_norms").filter("value > 1")
+    kept = op.in_band(c, RES, 100_000, 10_000_000)
+    for s, b in ((1, "bin_x"), (2, "bin_y")):
+        kept = kept.join(norms.select(F.col("chrom").alias(f"chr{s}"), F.col("bin").alias(b)), [f"chr{s}", b], "left_semi")
+    p = op.against_expected(kept, op.expected(c, view(spark, d, "fx_chroms"), ["experiment"]), ["experiment"])
+    return r6(op.hotspots(p, 2, lone=False).select("chr1", "bin_x", "bin_y", "n", "low", "high", "sd", "route"), "low", "high", "sd")
+
+
 # --- arg-max pixels
 def _max(name: str, source: str, res: int, normed: bool) -> str:
     value = "c.counts / (nx * b.value)" if normed else "CAST(c.counts AS DOUBLE)"
