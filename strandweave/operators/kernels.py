@@ -396,10 +396,14 @@ def pinpoint(windows: DataFrame, identity: list[str], resolution: int, window: i
 
 
 # --- stripes
-def stripe_candidates(pixels: DataFrame, resolution: int, near: int = 20_000, far: int = 8_000_000) -> DataFrame:
-    """``orientation, chrom, bin``: rows and columns whose summed log enrichment is a five-point peak."""
+def stripe_pixels(pixels: DataFrame, resolution: int, near: int = 20_000, far: int = 8_000_000) -> DataFrame:
+    """Pixels of a chromosome within the band that stand out; those of bins of low quality are left out before, by ``quality_mask`` with neighbours."""
     d = F.abs(F.col("bin_x") - F.col("bin_y"))
-    kept = pixels.filter((F.col("chr1") == F.col("chr2")) & (d > near // resolution) & (d < far // resolution) & ((F.col("oe") > 1.5) | (F.col("z") > 1)) & (F.col("oe") > 0))
+    return pixels.filter((F.col("chr1") == F.col("chr2")) & (F.col("counts") > 0) & (d > near // resolution) & (d < far // resolution) & ((F.col("oe") > 1.5) | (F.col("z") > 1)) & (F.col("oe") > 0))
+
+
+def stripe_candidates(kept: DataFrame) -> DataFrame:
+    """``orientation, chrom, bin``: rows and columns of ``stripe_pixels`` whose summed log enrichment is a five-point peak."""
     ends = F.array(F.struct(F.lit("horizontal").alias("orientation"), F.col("bin_x").alias("bin")), F.struct(F.lit("vertical").alias("orientation"), F.col("bin_y").alias("bin")))
     sums = kept.select(F.col("chr1").alias("chrom"), F.ln("oe").alias("l"), F.explode(ends).alias("e")).groupBy("e.orientation", "chrom", "e.bin").agg(F.sum("l").alias("value"))
     keys = ["orientation", "chrom"]
@@ -426,48 +430,53 @@ def _geo(v: np.ndarray, above: float = 1.0) -> float:
 
 
 def stripe_accepted(part: np.ndarray, strict: bool = False) -> bool:
-    """Geometric mean of the middle row over 1.5 and over its neighbours, and greater than the flanks by a one-sided test."""
+    """Geometric mean of the middle row over 1.5 and over its neighbours, and greater than the flanks by a one-sided test, of all its values and of those over 1."""
     g, k = _geo(part[2]), 1.1 if strict else 1.0
     if not (g > 1.5 and g > k * _geo(part[1]) and g > k * _geo(part[3])):
         return False
-    middle = part[2][part[2] > 0]
-    for rows in ((0, 1, 3, 4), (0, 1), (3, 4)):
-        other = part[list(rows)].ravel()
-        other = other[other > 0]
-        if len(rows) == 2 and len(other) <= 5:
-            continue
-        p = two_sample_p(middle, other)
-        if not (len(middle) > 5 and len(other) > 5 and p / 2 < 0.01 and middle.mean() > other.mean()):
-            return False
+    for above in (0.0, 1.0):
+        middle = part[2][part[2] > above]
+        for rows in ((0, 1, 3, 4), (0, 1), (3, 4)):
+            other = part[list(rows)].ravel()
+            other = other[other > above]
+            if len(rows) == 2 and len(other) <= 5:
+                continue
+            p = two_sample_p(middle, other)
+            if not (len(middle) > 5 and len(other) > 5 and p / 2 < 0.01 and middle.mean() > other.mean()):
+                return False
     return True
 
 
 def stripes(pixels: DataFrame, resolution: int, near: int = 20_000, far: int = 8_000_000, longer_than: int = 10, strict: bool = False) -> DataFrame:
-    """Stripes as features: candidate rows and columns, five slices each, runs and their tests in one group per candidate."""
+    """Stripes as features: candidate rows and columns, five slices each, runs and their tests in one group per candidate, whose size is that of five slices.
+
+    Slices hold the pixels that stand out, as the candidates do; a position is counted from the near end of a
+    horizontal stripe, from the far end of a vertical one.
+    """
     lo, hi = near // resolution, far // resolution
-    cand = stripe_candidates(pixels, resolution, near, far).select("orientation", "chrom", F.col("bin").alias("peak"))
+    kept = stripe_pixels(pixels, resolution, near, far)
+    cand = stripe_candidates(kept).select("orientation", "chrom", F.col("bin").alias("peak"))
     ends = F.array(
-        F.struct(F.lit("horizontal").alias("orientation"), F.col("bin_x").alias("row"), (F.col("bin_y") - F.col("bin_x")).alias("off")),
-        F.struct(F.lit("vertical").alias("orientation"), F.col("bin_y").alias("row"), (F.col("bin_y") - F.col("bin_x")).alias("off")),
+        F.struct(F.lit("horizontal").alias("orientation"), F.col("bin_x").alias("row"), F.col("bin_y").alias("at")),
+        F.struct(F.lit("vertical").alias("orientation"), F.col("bin_y").alias("row"), F.col("bin_x").alias("at")),
     )
-    cells = pixels.filter((F.col("chr1") == F.col("chr2")) & (F.col("counts") > 0) & (F.col("bin_y") - F.col("bin_x")).between(lo - 4, hi + 4)).select(F.col("chr1").alias("chrom"), F.col("counts").cast("double").alias("v"), F.explode(ends).alias("e")).select("chrom", "v", "e.*")
+    cells = kept.select(F.col("chr1").alias("chrom"), F.col("counts").cast("double").alias("v"), F.explode(ends).alias("e")).select("chrom", "v", "e.*")
     spread = cand.withColumn("row", F.explode(F.sequence(F.col("peak") - 2, F.col("peak") + 2)))
     joined = cells.join(spread, ["orientation", "chrom", "row"])
     shape = "orientation string, chrom string, peak bigint, first bigint, stop bigint"
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        sign = 1 if key[0] == "horizontal" else -1
-        # the position along the stripe, as a distance from the peak
-        along = pdf["off"].to_numpy() + sign * (pdf["row"].to_numpy() - key[2])
-        m = np.zeros((5, hi - lo + 1))
-        ok = (along >= lo) & (along <= hi)
-        np.add.at(m, ((pdf["row"].to_numpy() - key[2] + 2)[ok], (along - lo)[ok]), pdf["v"].to_numpy()[ok])
-        rows = [(*key, lo + a, lo + b) for a, b in stripe_runs(m, longer_than) if stripe_accepted(m[:, a:b], strict)]
+        start = lo if key[0] == "horizontal" else -hi
+        along = pdf["at"].to_numpy() - key[2] - start
+        m = np.zeros((5, hi - lo))
+        ok = (along >= 0) & (along < hi - lo)
+        np.add.at(m, ((pdf["row"].to_numpy() - key[2] + 2)[ok], along[ok]), pdf["v"].to_numpy()[ok])
+        rows = [(*key, start + a, start + b) for a, b in stripe_runs(m, longer_than) if stripe_accepted(m[:, a:b], strict)]
         return pd.DataFrame(rows, columns=[c.split()[0] for c in shape.split(", ")])
 
     found = joined.groupBy("orientation", "chrom", "peak").applyInPandas(run, shape)
     horizontal = F.col("orientation") == "horizontal"
-    near_end, far_end = F.when(horizontal, F.col("peak") + F.col("first")).otherwise(F.col("peak") - F.col("stop")), F.when(horizontal, F.col("peak") + F.col("stop")).otherwise(F.col("peak") - F.col("first"))
+    near_end, far_end = F.col("peak") + F.col("first"), F.col("peak") + F.col("stop")
     own = (F.col("peak") * resolution, F.col("peak") * resolution + resolution)
     other = (near_end * resolution, far_end * resolution)
     pick = lambda a, b: F.when(horizontal, a).otherwise(b)

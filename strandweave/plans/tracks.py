@@ -246,7 +246,8 @@ def j_p7_pinpoint(spark, d):
 
 @book.add()
 def j_p10_stripes(spark, d):
-    return kernels.stripes(pixels(spark, d).select("chr1", "chr2", "bin_x", "bin_y", "counts", "oe", "z"), RES)
+    good = mx.quality_mask(pixels(spark, d), view(spark, d, "fx_norms"), neighbours=True)
+    return kernels.stripes(good.select("chr1", "chr2", "bin_x", "bin_y", "counts", "oe", "z"), RES)
 
 
 @book.add()
