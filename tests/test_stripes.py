@@ -53,14 +53,16 @@ def test_acceptance():
 def test_localized_line(spark):
     rng = np.random.default_rng(2)
     image = rng.poisson(2, (31, 31)).astype(float)
+    image[11:14] += 8  # the best line is the middle of the best three
     image[12] += 15
     best, p = kernels.localize(image, 2)
     assert best == 12 and p < 0.01
+    image[11:14] -= 8
     image[12] -= 15
     image[0] += 40
     assert kernels.localize(image, 2) is None
     loop = spark.createDataFrame([("c", 1000, 1010, "c", 2000, 2010)], "chr1 string, start1 bigint, end1 bigint, chr2 string, start2 bigint, end2 bigint")
-    cells = [("c", "c", 10, 100 + i - 15, 200 + j - 15, int(2 + (9 + i) % 3 + 15 * (i == 18))) for i in range(31) for j in range(31)]
+    cells = [("c", "c", 10, 100 + i - 15, 200 + j - 15, int(2 + (9 + i * j) % 3 + 12 * (17 <= i <= 19) + 15 * (i == 18))) for i in range(31) for j in range(31)]
     contacts = spark.createDataFrame(cells, "chr1 string, chr2 string, resolution bigint, bin_x bigint, bin_y bigint, counts bigint")
     names = ["chr1", "start1", "end1", "chr2", "start2", "end2"]
     got = kernels.localize_stripes(matrix.window_cells(loop, contacts, 10, 15, names), names, 15, 2).collect()
