@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from strandweave.plans import features, joins, matrices, preparation, tracks
+from strandweave.plans import features, files, joins, matrices, preparation, tracks
 
 FLAGSHIP = "a5_apa_pileup"
-BOOKS = (features.book, joins.book, matrices.book, tracks.book)
+BOOKS = (features.book, joins.book, matrices.book, tracks.book, files.book)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

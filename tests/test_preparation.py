@@ -1,4 +1,8 @@
+import os
 import random
+import re
+
+import pytest
 
 from strandweave.operators import drift, periods, rejects
 
@@ -130,3 +134,70 @@ def test_merging_beside_the_input():
     got = periods.merged(pa.table(dict(zip(("k", "tile", "s", "e"), zip(*rows)))), ["k"]).to_pylist()
     want = [(k, t, *r) for k in "ab" for t in (None, 0, 1) for r in brute([x[2:] for x in rows if x[:2] == (k, t)])]
     assert sorted((tuple(r.values()) for r in got), key=repr) == sorted(want, key=repr)
+
+
+# --- the typed table against a plain version, over the whole smallest tables
+def plain_table(files, lines):
+    """(file, line_no) -> {field: (type, text)}, with the changes found as in test_changes' definition."""
+    missing = {"", "NA", "NaN", "."}
+    heads, body = {}, {}
+    for i, n, line in lines:
+        cells = line.removesuffix("\r").split("\t")
+        if n == 1:
+            heads[i] = list(dict.fromkeys(cells[6:])), [(c, k) for k, c in enumerate(cells) if k >= 6 and c not in cells[6:k]]
+        else:
+            body.setdefault(i, []).append((n, cells))
+    values = {i: [(n, "\t".join(c[:6]), {p: c[k] for p, k in heads[i][1] if k < len(c) and c[k] not in missing}) for n, c in rows] for i, rows in body.items() if i in heads}
+
+    def kind(t):
+        return "integer" if re.fullmatch(r"[+-]?[0-9]+", t) else "decimal" if re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", t) else "text"
+
+    out = {}
+    for stem in {s for _, s, _ in files}:
+        order = [i for i, s, _ in sorted(files, key=lambda f: (f[2], f[0])) if s == stem]
+        held, used, names, counts, before = {}, {}, {}, {}, None
+        for i in order:
+            fields = heads.get(i, ([], []))[0]
+            old = heads.get(before, ([], []))[0] if before is not None else []
+            by_loop = [{}, {}]
+            for side, f in ((0, before), (1, i)):
+                for _, loop, v in values.get(f, []):
+                    for p, t in v.items():
+                        by_loop[side].setdefault((loop, p), set()).add(t)
+            renamed = {}
+            for g in sorted(set(old) - set(fields)):
+                for q in sorted(set(fields) - set(old)):
+                    both = [(t, by_loop[1][loop, q]) for (loop, p), t in by_loop[0].items() if p == g and (loop, q) in by_loop[1]]
+                    if both and all(len(a | b) == 1 for a, b in both):
+                        renamed.setdefault(q, g)
+            for p in sorted(set(fields) - set(old) if before is not None else fields, key=lambda p: (p not in renamed, p)):
+                field = held.pop(renamed[p], None) if p in renamed else held.get(p)
+                if field is None:
+                    used[p] = used.get(p, 0) + 1
+                    field = p if used[p] == 1 else f"{p}#{used[p]}"
+                held[p] = field
+            names[i] = {p: held[p] for p in fields}
+            for _, _, v in values.get(i, []):
+                for p, t in v.items():
+                    counts.setdefault(names[i][p], []).append(kind(t))
+            before = i
+        types = {f: "text" if ks.count("text") > 0.5 * len(ks) else "decimal" if "decimal" in ks else "integer" for f, ks in counts.items()}
+        for i in order:
+            for n, _, v in values.get(i, []):
+                out[i, n] = {names[i][p]: (types[names[i][p]], t) for p, t in v.items()}
+    return out
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="needs the test tables")
+def test_typed_table_against_a_plain_version(spark):
+    files, ls = (spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet") for t in ("sieve_files", "sieve_lines"))
+    want = plain_table([tuple(r) for r in files.select("file_id", "stem", "seq").distinct().collect()], [tuple(r) for r in ls.select("file_id", "line_no", "line").collect()])
+    rows = drift.typed_table(files, ls).collect()
+    assert {(r["file_id"], r["line_no"]) for r in rows} == set(want)
+    for r in rows:
+        cells = want[r["file_id"], r["line_no"]]
+        fails = {f"{f}={t}" for f, (k, t) in cells.items() if k != "text" and not (re.fullmatch(r"[+-]?[0-9]+", t) if k == "integer" else re.fullmatch(r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?", t))}
+        assert set(r["failed_casts"]) == fails
+        ok = {f: (k, t) for f, (k, t) in cells.items() if f"{f}={t}" not in fails}
+        assert r["integers"] == {f: int(t) for f, (k, t) in ok.items() if k == "integer"} and r["texts"] == {f: t for f, (k, t) in ok.items() if k == "text"}
+        assert r["decimals"] == {f: float(t) for f, (k, t) in ok.items() if k == "decimal"}
