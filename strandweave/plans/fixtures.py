@@ -36,6 +36,8 @@ VIEWS = {
     "fx_bed": """SELECT event_type AS file_id, 'chr' || CAST(user_id % 5 + 1 AS STRING) AS chrom, event_id % 300 * 200 AS "start", event_id % 300 * 200 + 50 + event_id % 5 * 100 AS "end" FROM events""",
     "fx_fimo": """SELECT p_brand || CASE WHEN p_size % 3 = 0 THEN '_OTHER' ELSE '_HUMAN.H11MO.A' END AS motif_id, 'chr' || CAST(p_partkey % 5 + 1 AS STRING) AS chrom, p_partkey * 2500 AS "start", p_partkey * 2500 + p_size AS "end", CASE WHEN p_partkey % 2 = 0 THEN '+' ELSE '-' END AS strand FROM part""",
 }
+#: Contacts of all experiments together, in one aggregate.
+MERGED = VIEWS["fx_contacts"].replace("l_linestatus AS experiment, ", "").replace("GROUP BY 1, 2, 3, 4, 5, 6", "GROUP BY 1, 2, 3, 4, 5")
 TABLES = {"fx_chroms": "nation", "fx_norms": "nation", "fx_anchors": "part", "fx_fimo": "part", "fx_signal": "events", "fx_bed": "events"}
 #: The last 5 kb bin of norms: that of the farthest contact and two more, so that its window and the ends of its loop fit.
 _LAST = f"(SELECT greatest(12000L, max({_Y}) // 5000 + 2) AS last FROM lineitem)"
@@ -55,7 +57,7 @@ def _to_the_end(spark: SparkSession, name: str, text: str) -> str:
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A fixture view in Spark."""
     base = TABLES.get(name, "lineitem")
-    text = VIEWS[name]
+    text = MERGED if name == "fx_contacts_merged" else VIEWS[name]
     used = {base}
     if name in ("fx_chroms", "fx_norms"):
         text, used = _to_the_end(spark, name, text), {base, "lineitem"}

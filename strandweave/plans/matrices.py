@@ -24,8 +24,7 @@ def r6(df: DataFrame, *columns: str) -> DataFrame:
 
 
 def contacts(spark: SparkSession, d: str, merged: bool = True) -> DataFrame:
-    c = view(spark, d, "fx_contacts")
-    return c.groupBy("chr1", "chr2", "resolution", "bin_x", "bin_y").agg(F.sum("counts").alias("counts")) if merged else c
+    return view(spark, d, "fx_contacts_merged" if merged else "fx_contacts")
 
 
 def pixels(spark: SparkSession, d: str) -> DataFrame:
