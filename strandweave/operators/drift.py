@@ -211,7 +211,7 @@ def _unified(cells: DataFrame, history: DataFrame, share: float = 0.5) -> DataFr
     renames = _renames(cells).groupBy("file_id", F.col("field_after").alias("path")).agg(F.min("field_before").alias("renamed_from"))
     starts = history.filter(F.col("ord") == F.col("run_start")).join(renames, ["file_id", "path"], "left").select("stem", "ord", "path", "run_start", "renamed_from")
     lineage = starts.repartition("stem").sortWithinPartitions("stem", "ord", F.col("renamed_from").isNull(), "path").mapInPandas(_follow, "stem string, path string, run_start int, field string")
-    named = history.join(lineage, ["stem", "path", "run_start"])
+    named = materialize(history.join(lineage, ["stem", "path", "run_start"]), "lineage")
     kind = F.when((F.col("all_n") == 0) | (F.col("all_text") > share * F.col("all_n")), "text").when(F.col("all_decimal") > 0, "decimal").otherwise("integer")
     types = named.groupBy("stem", "field").agg(F.sum("n").alias("all_n"), F.sum("n_text").alias("all_text"), F.sum("n_decimal").alias("all_decimal")).select("stem", "field", kind.alias("unified"))
     return named.join(types, ["stem", "field"]).select("file_id", "stem", "path", "field", F.col("unified").alias("type"))
@@ -237,6 +237,8 @@ def typed_table(files: DataFrame, lines: DataFrame, columns: dict[str, str] | No
     )
     wanted = _chunked(wanted.join(placed.select("file_id", "chunks"), "file_id"))
     rows = read.withColumn("chunk", F.floor(F.col("line_no") / CHUNK).cast("int")).join(wanted, ["file_id", "chunk"]).select("file_id", "stem", "line_no", "loop", cells.alias("cells"))
+    texts = F.map_from_entries(F.array_distinct(F.transform("cells", lambda x: F.struct(x["field"], x["text"]))))
+    rows = rows.withColumn("by_field", texts) if columns else rows
 
     def typed(kind: str, to: str) -> Column:
         of = F.filter("cells", lambda x: (x["type"] == kind) & x["text"].try_cast(to).isNotNull())
@@ -246,7 +248,7 @@ def typed_table(files: DataFrame, lines: DataFrame, columns: dict[str, str] | No
         return ((x["type"] == "integer") & x["text"].try_cast("bigint").isNull()) | ((x["type"] == "decimal") & x["text"].try_cast("double").isNull())
 
     def own(field: str) -> Column:
-        return F.get(F.filter("cells", lambda x: x["field"] == field), F.lit(0)).getField("text").try_cast("double")
+        return F.try_element_at("by_field", F.lit(field)).try_cast("double")
 
     parts = F.split("loop", "\t")
     names = ("chr1", "start1", "end1", "chr2", "start2", "end2")
