@@ -66,6 +66,13 @@ def expected(contacts: DataFrame, chroms: DataFrame, keys: Sequence[str] = ()) -
     return d.select(*keys, "chrom", "resolution", "d", "n", (F.col("s") / F.col("n")).alias("mean"), mean.alias("mean_log"), sd.alias("sd_log"))
 
 
+def share_of_cells(contacts: DataFrame, chroms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``*keys, chrom, resolution, d, n, share``: cells with contacts at each distance, and their share of all cells there."""
+    d = contacts.filter("chr1 = chr2 AND counts > 0").groupBy(*keys, F.col("chr1").alias("chrom"), "resolution", F.abs(F.col("bin_x") - F.col("bin_y")).alias("d")).agg(F.count("*").alias("n"))
+    bins = div(F.col("length") + F.col("resolution") - 1, F.col("resolution"))
+    return d.join(F.broadcast(chroms.select("chrom", "length")), "chrom").select(*keys, "chrom", "resolution", "d", "n", (F.col("n") / (bins - F.col("d"))).alias("share"))
+
+
 def against_expected(contacts: DataFrame, model: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """``oe, z, percent`` of each pixel; percent is its share of the way from its distance's mean to that of the least distance with data, within [0, 1]."""
     near = model.groupBy(*keys, "chrom", "resolution").agg(F.min_by("mean", "d").alias("mean1"))
@@ -373,9 +380,14 @@ def hotspots(contacts: DataFrame, files: int, widest: float = 0.35, lone: bool =
     return d.withColumn("route", F.when((F.col("range") > 0.05) & (F.col("low") < 0.05), "candidate").when((F.col("range") < 0.05) & (F.col("low") > 0.05), "ubiquitous").otherwise("other"))
 
 
+def standing_out(pixels: DataFrame) -> DataFrame:
+    """Pixels with some percent contact whose enrichment or z is high."""
+    return pixels.filter((F.col("percent") > 0) & ((F.col("oe") > 2) | (F.col("z") > 1.28)))
+
+
 def anchor_strength(pixels: DataFrame) -> DataFrame:
     """``direction, chrom, bin, counts, oe, percent, z, n``: sums, and the product of oe, over pixels that stand out, for both of their bins."""
-    kept = pixels.filter((F.col("percent") > 0) & ((F.col("oe") > 2) | (F.col("z") > 1.28)))
+    kept = standing_out(pixels)
     ends = F.array(F.struct(F.lit("forward").alias("direction"), F.col("chr1").alias("chrom"), F.col("bin_x").alias("bin")), F.struct(F.lit("reverse").alias("direction"), F.col("chr2").alias("chrom"), F.col("bin_y").alias("bin")))
     return kept.withColumn("e", F.explode(ends)).groupBy("e.direction", "e.chrom", "e.bin").agg(
         F.sum("counts").alias("counts"), F.exp(F.sum(F.ln("oe"))).alias("oe"), F.sum("percent").alias("percent"), F.sum("z").alias("z"), F.count("*").alias("n")

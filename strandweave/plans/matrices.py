@@ -193,8 +193,12 @@ k1 AS MATERIALIZED (SELECT * FROM px WHERE percent > 0 AND (oe > 2 OR z > 1.28)
 sa AS (SELECT direction, chrom, bin, CAST(sum(counts) AS BIGINT) AS counts, exp(sum(ln(oe))) AS oe, sum(percent) AS percent, sum(z) AS z, count(*) AS n FROM (SELECT 'forward' AS direction, chr1 AS chrom, bin_x AS bin, * FROM k UNION ALL SELECT 'reverse', chr2, bin_y, * FROM k) GROUP BY ALL)"""
 
 
+def _strong_pixels(spark: SparkSession, d: str) -> DataFrame:
+    return op.in_band(op.quality_mask(pixels(spark, d), view(spark, d, "fx_norms")), RES, 20_000, 5_000_000)
+
+
 def _strength_whole(spark: SparkSession, d: str) -> DataFrame:
-    return op.anchor_strength(op.in_band(op.quality_mask(pixels(spark, d), view(spark, d, "fx_norms")), RES, 20_000, 5_000_000))
+    return op.anchor_strength(_strong_pixels(spark, d))
 
 
 @book.add(f"WITH {STW} SELECT direction, chrom, bin, counts, round(ln(oe), 6) AS log_oe, round(percent, 6) AS percent, round(z, 6) AS z, n FROM sa")
@@ -336,6 +340,13 @@ def a14_hotspot_stats(spark, d):
     return r6(hot(spark, d).select("chr1", "bin_x", "bin_y", "n", "low", "high", "sd", "route"), "low", "high", "sd")
 
 
+@book.add(f"""WITH {STW}, q AS (SELECT *, bin_x // 5 AS cx, bin_y // 5 AS cy FROM k), c AS (SELECT chr1, cx, cy, count(*) AS n, max(counts) AS mc, max(oe) AS mo, max(percent) AS mp, max(z) AS mz FROM q GROUP BY ALL),
+t AS (SELECT chr1, cx + i AS cx, cy + j AS cy, sum(n) AS n, max(mc) AS mc, max(mo) AS mo, max(mp) AS mp, max(mz) AS mz FROM c CROSS JOIN (SELECT a.i, b.i AS j FROM range(-1, 2) a(i) CROSS JOIN range(-1, 2) b(i)) GROUP BY ALL)
+SELECT chr1, bin_x, bin_y, counts FROM q JOIN t USING (chr1, cx, cy) WHERE n > 5 AND (counts >= 0.95 * mc OR oe >= 0.95 * mo OR percent >= 0.95 * mp OR z >= 0.95 * mz)""")
+def j_p9_anchor_strength_nms_whole(spark, d):
+    return op.strongest_in_cells(op.standing_out(_strong_pixels(spark, d))).select("chr1", "bin_x", "bin_y", "counts")
+
+
 #: The whole of it: percent contact against each experiment's own expectation, norms above 1 on both bins, 100 kb to 10 Mb.
 @book.add(f"""WITH ed AS (SELECT experiment, chr1 AS chrom, resolution, abs(bin_x - bin_y) AS d, sum(counts) AS s FROM fx_contacts WHERE resolution = {RES} GROUP BY ALL),
 em AS (SELECT experiment, chrom, d, s / greatest((c.length + resolution - 1) // resolution - d, 1) AS mean FROM ed JOIN fx_chroms c USING (chrom)), e1 AS MATERIALIZED (SELECT *, first_value(mean) OVER (PARTITION BY experiment, chrom ORDER BY d) AS mean1 FROM em),

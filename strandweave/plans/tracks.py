@@ -291,10 +291,10 @@ def m12_rolling_enrichment(spark, d):
     return view(spark, d, "fx_loops").select("list_id", "chr1", at.alias("d")).distinct().join(smooth, ["chr1", "d"]).select("list_id", "chr1", "d", F.round(F.col("value") / F.col("median"), 6).alias("enrichment"))
 
 
-@book.add("""WITH t AS (SELECT chr1, chr2, abs(bin_x - bin_y) AS d, count(*) AS n FROM fx_contacts WHERE resolution = 50000 AND experiment = 'F' GROUP BY ALL) SELECT chr1, d, n, round(n / (1200 - d)::DOUBLE, 6) AS share FROM t""")
+@book.add("""WITH t AS (SELECT experiment, chr1 AS chrom, resolution, abs(bin_x - bin_y) AS d, count(*) AS n FROM fx_contacts GROUP BY ALL)
+SELECT experiment, chrom, resolution, d, n, round(n / ((length + resolution - 1) // resolution - d)::DOUBLE, 6) AS share FROM t JOIN fx_chroms USING (chrom)""")
 def m19_share_of_cells(spark, d):
-    t = contacts(spark, d, merged=False).filter("resolution = 50000 AND experiment = 'F'").groupBy("chr1", F.abs(F.col("bin_x") - F.col("bin_y")).alias("d")).agg(F.count("*").alias("n"))
-    return t.select("chr1", "d", "n", F.round(F.col("n") / (1200 - F.col("d")), 6).alias("share"))
+    return r6(mx.share_of_cells(contacts(spark, d, merged=False), view(spark, d, "fx_chroms"), ["experiment"]), "share")
 
 
 @book.add("""WITH t AS (SELECT chr1, bin_x // 20 AS tx, bin_y // 20 AS ty, bin_x, bin_y, counts, row_number() OVER (PARTITION BY chr1, chr2, bin_x // 20, bin_y // 20 ORDER BY counts DESC, bin_x, bin_y) AS n FROM fx_inter) SELECT chr1, tx, ty, bin_x, bin_y, counts FROM t WHERE n = 1""")

@@ -74,3 +74,45 @@ def test_streamed_periods_reach_over_tiles(spark, tmp_path):
     got = rows(streamed_periods(stream, ["f"], tile=1000))
     assert got == rows(merge_intervals(spark.createDataFrame(data, shape), ["f"], tile=1000))
     assert [r[1:] for r in got if r[0] == "a"] == [("gap", 1100, 3500), ("period", 3500, 3600), ("period", 900, 1100)]
+
+
+def written_lines(folder):
+    return [line.split("\t") for part in sorted(folder.glob("part-*")) for line in part.read_text().splitlines()]
+
+
+def test_order_of_written_rows(spark, tmp_path):
+    import random
+
+    rng = random.Random(9)
+    index = {"chr1": 0, "chr2": 1, "chr3": 2, "chr11": 10, "chr12": 11}
+    data = [(c, i, s, s + rng.randint(1, 50)) for c, i in index.items() for s in (rng.randint(0, 9999) for _ in range(300))]
+    rng.shuffle(data)
+    d = spark.createDataFrame(data, "chrom string, chr_index int, start bigint, end bigint").repartition(7)
+    text.write_bed(d, str(tmp_path / "bed"))
+    # the index compares as text: 10 and 11 come between 1 and 2
+    assert [(c, int(s), int(e)) for c, s, e in written_lines(tmp_path / "bed")] == [(c, s, e) for c, _, s, e in sorted(data, key=lambda r: (str(r[1]), r[2], r[3]))]
+    scores = spark.createDataFrame([(rng.choice(["upstream", "downstream"]), c, b, 1.0) for c in index for b in rng.sample(range(9999), 200)], "side string, chrom string, bin bigint, score double").repartition(5)
+    chroms = spark.createDataFrame(list(index.items()), "chrom string, chr_index int")
+    text.anchor_score_rows(scores, chroms, 100).write.csv(str(tmp_path / "scores"), sep="\t")
+    got = [(index[r[0]], int(r[1])) for r in written_lines(tmp_path / "scores")]
+    assert got == sorted(got) and len(got) == 1000
+
+
+def test_a_grid_with_a_repeated_cell_is_an_error(spark):
+    import pytest
+
+    with pytest.raises(ValueError):
+        text.grid_array(spark.createDataFrame([(0, 0, 1), (0, 0, 2)], "dx bigint, dy bigint, total bigint"), 1)
+
+
+def test_scratch_removes_what_was_written_inside(spark):
+    import os
+
+    from strandweave.session import materialize, scratch, shared_dir
+
+    with scratch(spark):
+        kept = materialize(spark.range(5), "gone")
+        assert kept.count() == 5
+        path = kept.inputFiles()[0].removeprefix("file://")
+        assert os.path.exists(path)
+    assert not os.path.exists(path) and os.path.isdir(shared_dir(spark).removeprefix("file://").removeprefix("file:"))
