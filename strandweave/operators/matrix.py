@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from strandweave.functions import scalars as x
 from strandweave.functions.scalars import COORDS, div
+from strandweave.operators import windows
 from strandweave.operators.joins import near_pixels, window_pixels
 
 
@@ -184,13 +187,28 @@ def pile_up_1d(loops: DataFrame, contacts: DataFrame, resolution: int, window: i
     return near.select("counts", F.explode(ends).alias("e")).groupBy("e.chrom", "e.bin").agg(F.sum("counts").alias("total"))
 
 
-def window_dump(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, identity: Sequence[str]) -> DataFrame:
-    """One dense row-major window a loop, as ``array<array<double>>``."""
-    cells = window_pixels(loops, contacts, resolution, window).groupBy(*identity, "dx", "dy").agg(F.sum("counts").alias("c"))
-    held = cells.groupBy(*identity).agg(F.map_from_entries(F.collect_list(F.struct((F.col("dx") * (2 * window + 1) + F.col("dy")).alias("k"), F.col("c").cast("double").alias("v")))).alias("m"))
-    span = F.sequence(F.lit(0), F.lit(2 * window))
-    at = lambda i, j: F.coalesce(F.try_element_at("m", (i * (2 * window + 1) + j).cast("bigint")), F.lit(0.0))
-    return held.select(*identity, F.transform(span, lambda i: F.transform(span, lambda j: at(i, j))).alias("matrix"))
+def window_dump(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, identity: Sequence[str], tile: int = 128) -> DataFrame:
+    """One dense row-major window a distinct loop that has contacts there, as ``array<array<double>>``."""
+    span = 2 * window + 1
+    types = dict(loops.dtypes)
+
+    def kernel(own: pa.Table, at_x: dict, at_y: dict, images: dict) -> pa.Table:
+        hit = windows.box_sums(images[0], span)[at_x[0], at_y[0]] > 0
+        parts = [v.reshape(-1) for _, v in windows.stacks(images[0], at_x[0][hit], at_y[0][hit], window)]
+        n, values = int(hit.sum()), np.concatenate([np.empty(0), *parts])
+        rows = pa.ListArray.from_arrays(np.arange(0, n * span * span + 1, span, dtype="int32"), values)
+        return own.select(identity).filter(pa.array(hit)).append_column("matrix", pa.ListArray.from_arrays(np.arange(0, n * span + 1, span, dtype="int32"), rows))
+
+    schema = ", ".join(f"{c} {types[c]}" for c in identity) + ", matrix array<array<double>>"
+    return windows.in_tiles(loops, [(contacts, resolution)], window, identity, kernel, schema, tile * resolution)
+
+
+def window_sums(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, identity: Sequence[str], tile: int = 128) -> DataFrame:
+    """``*identity, dx, dy, counts`` of the positive cells in the window of each distinct loop, a row a cell."""
+    span = 2 * window + 1
+    held = window_dump(loops, contacts, resolution, window, identity, tile)
+    cells = held.select(*identity, F.posexplode(F.flatten("matrix")).alias("_at", "counts")).filter("counts > 0")
+    return cells.select(*identity, div("_at", span).alias("dx"), (F.col("_at") % span).cast("bigint").alias("dy"), F.col("counts").cast("bigint").alias("counts"))
 
 
 def window_cells(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, identity: Sequence[str]) -> DataFrame:
@@ -207,6 +225,41 @@ def anchor_pile_up(loops: DataFrame, contacts: DataFrame, resolution: int, windo
     return hits.select("dx", "dy", "counts", F.explode(F.array(side(1), side(2))).alias("a")).groupBy("a.side", "a.chrom", "a.bin", "dx", "dy").agg(F.sum("counts").alias("total"))
 
 
+def anchor_scores(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, tile: int = 512) -> DataFrame:
+    """``side, chrom, bin, score``: ``apa_scores`` of ``anchor_pile_up``. Of a pile-up only the cells that its score reads are summed, in the tiles of ``windows``."""
+    reach, span = 50 // resolution, 2 * window + 1
+    near = [(i, j) for i in range(span) for j in range(span) if abs(i - window) <= reach and abs(j - window) <= reach]
+    far = [(i, j) for i in range(span) for j in range(span) if i > window + window // 2 and j < window - window // 2]
+    # one cell can't be both, as the quarter is away from the centre by more than a fifth of the window
+    cells, size = near + far, tile
+    names = [f"v{k}" for k in range(len(cells))]
+
+    def kernel(own: pa.Table, at_x: dict, at_y: dict, images: dict) -> pa.Table:
+        px, py, image = at_x[0], at_y[0], images[0]
+        hit = windows.box_sums((image > 0).astype("float64"), span)[px, py] > 0
+        px, py = px[hit], py[hit]
+        values = [image[px + i, py + j] for i, j in cells]
+        out = {c: [] for c in ("side", "chrom", "bin", *names)}
+        for side, c, t, at in (("upstream", "chr1", "_tx", px), ("downstream", "chr2", "_ty", py)):
+            bins = np.unique(at)
+            out["side"].append(pa.array([side] * len(bins), pa.string()))
+            out["chrom"].append(pa.array([own[c][0].as_py()] * len(bins), pa.string()))
+            out["bin"].append(pa.array(bins.astype("int64") + own[t][0].as_py() * size))
+            for name, v in zip(names, values):
+                out[name].append(pa.array(np.bincount(at, v, size)[bins].astype("int64")))
+        return pa.table({c: pa.chunked_array(v) for c, v in out.items()})
+
+    schema = "side string, chrom string, bin bigint, " + ", ".join(f"{v} bigint" for v in names)
+    parts = windows.in_tiles(loops, [(contacts, resolution)], window, COORDS, kernel, schema, tile * resolution)
+    sums = parts.groupBy("side", "chrom", "bin").agg(*[F.sum(v).alias(v) for v in names])
+
+    def mean(some: list[str]) -> Column:
+        n = sum((F.when(F.col(v) > 0, 1).otherwise(0) for v in some), F.lit(0))
+        return F.when(n > 0, sum((F.col(v) for v in some), F.lit(0)) / n).otherwise(0.0)
+
+    return sums.select("side", "chrom", "bin", ((mean(names[: len(near)]) + 1) / (mean(names[len(near) :]) + 1)).alias("score"))
+
+
 # --- statistics of windows (long grids with columns dx, dy, value)
 def _corner(w: int, size: int, low_x: bool, low_y: bool) -> Column:
     a = F.col("dx") < size if low_x else F.col("dx") > 2 * w - size

@@ -38,6 +38,8 @@ VIEWS = {
 }
 #: Contacts of all experiments together, in one aggregate.
 MERGED = VIEWS["fx_contacts"].replace("l_linestatus AS experiment, ", "").replace("GROUP BY 1, 2, 3, 4, 5, 6", "GROUP BY 1, 2, 3, 4, 5")
+#: Contacts before they are added up, for operators that add what one pixel has themselves: rows of one resolution.
+READS = f"SELECT l_linestatus AS experiment, CAST({{resolution}} AS BIGINT) AS resolution, {_SITE} AS chr1, {_SITE} AS chr2, ({_X}) // {{resolution}} AS bin_x, ({_Y}) // {{resolution}} AS bin_y, CAST(l_quantity AS BIGINT) AS counts FROM lineitem"
 TABLES = {"fx_chroms": "nation", "fx_norms": "nation", "fx_anchors": "part", "fx_fimo": "part", "fx_signal": "events", "fx_bed": "events"}
 #: The last 5 kb bin of norms: that of the farthest contact and two more, so that its window and the ends of its loop fit.
 _LAST = f"(SELECT greatest(12000L, max({_Y}) // 5000 + 2) AS last FROM lineitem)"
@@ -67,6 +69,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text, **{t: table(spark, sf_dir, t) for t in used})
 
 
+def reads(spark: SparkSession, sf_dir: str, resolution: int) -> DataFrame:
+    """The rows that ``fx_contacts`` adds up at one resolution."""
+    text = READS.format(resolution=resolution).replace("//", " div ").replace("FROM lineitem", "FROM {lineitem}")
+    return spark.sql(text, lineitem=table(spark, sf_dir, "lineitem"))
+
+
 def with_views(sql: str) -> str:
     """DuckDB text with the fixture views it uses in front."""
     used = [n for n in VIEWS if re.search(rf"\b{n}\b", sql)]

@@ -10,7 +10,7 @@ from strandweave.functions.scalars import COORDS
 from strandweave.operators import features, joins
 from strandweave.operators import matrix as op
 from strandweave.plans.book import Book
-from strandweave.plans.fixtures import view
+from strandweave.plans.fixtures import reads, view
 from strandweave.plans.joins import _list
 
 book = Book()
@@ -235,7 +235,7 @@ AP = f"{CM}, {hits('true')}, ap AS (SELECT 'upstream' AS side, chr1 AS chrom, x0
 
 @book.add(f"""WITH {AP} SELECT side, chrom, bin, round((coalesce(avg(v) FILTER (WHERE dx = {W} AND dy = {W}), 0) + 1) / (coalesce(avg(v) FILTER (WHERE dx > 15 AND dy < 5), 0) + 1), 6) AS score FROM as_ GROUP BY ALL""")
 def a10_m6_anchor_apa_score(spark, d):
-    return r6(op.apa_scores(op.anchor_pile_up(view(spark, d, "fx_loops"), contacts(spark, d), RES, W), W, RES, ["side", "chrom", "bin"]), "score")
+    return r6(op.anchor_scores(view(spark, d, "fx_loops"), reads(spark, d, RES), RES, W), "score")
 
 
 @book.add(f"""WITH {CM}, {hits("list_id = 'A'", res=50000, w=2)} SELECT {C}, sum(counts * (dx * 5 + dy + 1)) AS checksum, sum(counts) AS total FROM h GROUP BY ALL""".replace("sum(counts * (dx * 5 + dy + 1))", "CAST(sum(counts * (dx * 5 + dy + 1)) AS DOUBLE)").replace("sum(counts) AS total FROM h", "CAST(sum(counts) AS DOUBLE) AS total FROM h"))
