@@ -240,7 +240,7 @@ def a10_m6_anchor_apa_score(spark, d):
 
 @book.add(f"""WITH {CM}, {hits("list_id = 'A'", res=50000, w=2)} SELECT {C}, sum(counts * (dx * 5 + dy + 1)) AS checksum, sum(counts) AS total FROM h GROUP BY ALL""".replace("sum(counts * (dx * 5 + dy + 1))", "CAST(sum(counts * (dx * 5 + dy + 1)) AS DOUBLE)").replace("sum(counts) AS total FROM h", "CAST(sum(counts) AS DOUBLE) AS total FROM h"))
 def a11_window_dump(spark, d):
-    dump = op.window_dump(features.distinct_features(_list(spark, d, "A")), contacts(spark, d), 50_000, 2, COORDS)
+    dump = op.window_dump(_list(spark, d, "A"), reads(spark, d, 50_000), 50_000, 2, COORDS)
     flat = F.flatten("matrix")
     add = lambda a, b: a + b
     return dump.select(*COORDS, F.aggregate(F.transform(flat, lambda v, i: v * (i + 1)), F.lit(0.0), add).alias("checksum"), F.aggregate(flat, F.lit(0.0), add).alias("total"))
@@ -248,7 +248,7 @@ def a11_window_dump(spark, d):
 
 @book.add()
 def a11_window_dump_all(spark, d):
-    return op.window_dump(features.distinct_features(view(spark, d, "fx_loops")), contacts(spark, d), 50_000, 2, COORDS)
+    return op.window_dump(view(spark, d, "fx_loops"), reads(spark, d, 50_000), 50_000, 2, COORDS)
 
 
 STATS = """SELECT round(c / rest, 6) AS peak_to_mean, round(ur, 6) AS ur_mean, round(c / ul, 6) AS peak_to_ul, round(c / ur, 6) AS peak_to_ur, round(c / ll, 6) AS peak_to_ll, round(c / lr, 6) AS peak_to_lr, round((c - ll) / sd, 6) AS z_ll FROM (

@@ -58,3 +58,14 @@ def test_anchor_scores_are_those_of_whole_pile_ups(made):
     got = {(r["side"], r["chrom"], r["bin"]): r["score"] for r in found.collect()}
     assert got.keys() == want.keys()
     assert all(math.isclose(got[k], want[k]) for k in want)
+
+
+def test_dumped_windows_are_shuffled_once(made):
+    loops, reads, plain, cells = made
+    w = 3
+    want = {r[1:]: got for r, c in plain.items() if (got := window(cells[None], r, c, w))}
+    found = matrix.window_dump(loops, reads, R, w, COORDS, tile=8)
+    assert shuffles(found) == 2
+    got = {tuple(r[c] for c in COORDS): {(i, j): v for i, row in enumerate(r["matrix"]) for j, v in enumerate(row) if v} for r in found.collect()}
+    assert got == want
+    assert len(want) < len({r[1:] for r in plain})
