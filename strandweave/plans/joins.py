@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from strandweave.functions.scalars import COORDS
 from strandweave.operators import features, signals
 from strandweave.operators import joins as op
+from strandweave.operators.matrix import window_sums
 from strandweave.plans.book import Book
-from strandweave.plans.fixtures import view
+from strandweave.plans.fixtures import reads, view
 from strandweave.session import table
 
 book = Book()
@@ -188,8 +189,7 @@ def j13_skip_translocations(spark, d):
 @book.add(f"""WITH l AS (SELECT DISTINCT {C}, ((start1 + end1) // 2) // 50000 - 3 AS x0, ((start2 + end2) // 2) // 50000 - 3 AS y0 FROM fx_loops WHERE list_id = 'A')
 SELECT {C}, bin_x - x0 AS dx, bin_y - y0 AS dy, CAST(sum(counts) AS BIGINT) AS counts FROM l JOIN fx_contacts c ON c.resolution = 50000 AND c.chr1 = l.chr1 AND c.chr2 = l.chr2 AND bin_x BETWEEN x0 AND x0 + 6 AND bin_y BETWEEN y0 AND y0 + 6 GROUP BY ALL""".replace(f"SELECT {C}, bin_x", "SELECT " + ", ".join(f"l.{c}" for c in COORDS) + ", bin_x"))
 def j12_window_pixels(spark, d):
-    hits = op.window_pixels(features.distinct_features(_list(spark, d, "A")), view(spark, d, "fx_contacts"), 50_000, 3)
-    return hits.groupBy(*COORDS, "dx", "dy").agg(F.sum("counts").alias("counts"))
+    return window_sums(_list(spark, d, "A"), reads(spark, d, 50_000), 50_000, 3, COORDS)
 
 
 @book.add("""WITH l AS (SELECT DISTINCT chr1, chr2, ((start1 + end1) // 2) // 5000 AS cx, ((start2 + end2) // 2) // 5000 AS cy FROM fx_loops WHERE list_id = 'A'),
@@ -208,8 +208,7 @@ def j14_near_pixels(spark, d):
 
 @book.add()
 def j12_window_pixels_all(spark, d):
-    hits = op.window_pixels(features.distinct_features(view(spark, d, "fx_loops")), view(spark, d, "fx_contacts"), 50_000, 3)
-    return hits.groupBy(*COORDS, "dx", "dy").agg(F.sum("counts").alias("counts"))
+    return window_sums(view(spark, d, "fx_loops"), reads(spark, d, 50_000), 50_000, 3, COORDS)
 
 
 @book.add()
