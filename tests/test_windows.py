@@ -5,9 +5,10 @@ import random
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from strandweave.functions.scalars import COORDS
-from strandweave.operators import matrix
+from strandweave.operators import joins, matrix
 
 LOOPS = "list_id string, " + ", ".join(f"{c} {'string' if c.startswith('chr') else 'bigint'}" for c in COORDS)
 READS = "experiment string, chr1 string, chr2 string, bin_x bigint, bin_y bigint, counts bigint, resolution bigint"
@@ -69,3 +70,23 @@ def test_dumped_windows_are_shuffled_once(made):
     got = {tuple(r[c] for c in COORDS): {(i, j): v for i, row in enumerate(r["matrix"]) for j, v in enumerate(row) if v} for r in found.collect()}
     assert got == want
     assert len(want) < len({r[1:] for r in plain})
+
+
+def test_sums_of_windows_are_shuffled_once(made):
+    loops, reads, plain, cells = made
+    w = 3
+    want = sorted((*r, *c, v) for r, at in {r[1:]: (r, c) for r, c in plain.items()}.items() for c, v in window(cells[None], *at, w).items())
+    found = matrix.window_sums(loops, reads, R, w, COORDS, tile=8)
+    assert shuffles(found) == 2
+    assert sorted(map(tuple, found.collect())) == want
+
+
+def test_pairs_between_chromosomes_are_spread_over_tasks(spark):
+    chroms = spark.createDataFrame([("c1", 1), ("c2", 2), ("c3", 3)], "chrom string, chr_index int")
+    rows = [(c, s, s + 5) for c in ("c1", "c2", "c3") for s in range(200)] + [("c3", 7, 12)] * 2
+    anchors = spark.createDataFrame(rows, "chrom string, start bigint, end bigint")
+    found = joins.pair_anchors_between(anchors, anchors, chroms)
+    want = Counter((*a, *b) for a in rows for b in rows if a[0] < b[0])
+    assert Counter(map(tuple, found.collect())) == want
+    sizes = found.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == 4 and max(r["count"] for r in sizes) < sum(want.values()) / 3
