@@ -13,6 +13,7 @@ from strandweave.functions import scalars as x
 from strandweave.functions.scalars import COORDS, div
 from strandweave.operators import windows
 from strandweave.operators.joins import near_pixels, window_pixels
+from strandweave.session import materialize
 
 
 # --- normalization and expectation
@@ -328,15 +329,29 @@ def sieve_scores(loops: DataFrame, contacts: DataFrame, resolution: int, window:
     return d.select(*identity, F.col("o").alias("observed"), F.when(sd > 0, (F.col("o") - mean) / sd).alias("local_z"), F.when(mean > 0, F.col("o") / mean).alias("local_oe"))
 
 
-def _with_model(loops: DataFrame, contacts: DataFrame, chroms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Loops, which have a ``resolution``, with the ``mean, mean_log, sd_log, mean1`` of their distance; null between chromosomes and where it has no contacts."""
-    model = expected(contacts, chroms, keys)
+#: Distances of a model that are broadcast; more are joined by a shuffle.
+FEW = 100_000
+
+
+def _with_model(loops: DataFrame, model: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """Loops, which have a ``resolution``, with the model of their distance and its ``mean1``; null between chromosomes and where it has no contacts.
+
+    The model is written, as it is counted and read; it has a row a distance at most.
+    """
+    model = materialize(model, "model")
     near = model.groupBy(*keys, "chrom", "resolution").agg(F.min_by("mean", "d").alias("mean1"))
-    m = model.join(near, [*keys, "chrom", "resolution"]).select(*keys, F.col("chrom").alias("chr1"), F.col("chrom").alias("chr2"), "resolution", "d", "mean", "mean_log", "sd_log", "mean1")
+    of = [c for c in model.columns if c in ("mean", "mean_log", "sd_log")]
+    m = model.join(near, [*keys, "chrom", "resolution"]).select(*keys, F.col("chrom").alias("chr1"), F.col("chrom").alias("chr2"), "resolution", "d", *of, "mean1")
+    m = F.broadcast(m) if model.count() <= FEW else m
     d = F.abs(div(x.mid1(), F.col("resolution")) - div(x.mid2(), F.col("resolution")))
     return loops.withColumn("d", d).join(m, [*keys, "chr1", "chr2", "resolution", "d"], "left")
 
 
+def _expected_means(contacts: DataFrame, chroms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``mean`` of ``expected``, for which rows of one pixel needn't be summed before."""
+    return expected(contacts, chroms, keys).select(*keys, "chrom", "resolution", "d", "mean")
+
+
 def _percent(observed: Column) -> Column:
     return F.when(F.col("mean").isNotNull(), x.clamp(F.when(F.col("mean1") != F.col("mean"), (observed - F.col("mean")) / (F.col("mean1") - F.col("mean")))))
 
@@ -353,28 +368,59 @@ def sieve(loops: DataFrame, contacts: DataFrame, chroms: DataFrame, resolutions:
         return d
     o = F.col("observed")
     z = F.when(F.col("sd_log") > 0, (F.log1p(o) - F.col("mean_log")) / F.col("sd_log"))
-    d = _with_model(d, contacts.filter(F.col("resolution").isin(*resolutions)), chroms)
+    d = _with_model(d, expected(contacts.filter(F.col("resolution").isin(*resolutions)), chroms))
     return d.select(*COORDS, "resolution", "observed", "local_z", "local_oe", z.alias("global_z"), F.when(F.col("mean") > 0, o / F.col("mean")).alias("global_oe"), _percent(o).alias("percent"))
 
 
-def recap(loops: DataFrame, contacts: DataFrame, chroms: DataFrame, resolution: int, window: int, keys: Sequence[str] = ()) -> DataFrame:
+def _decay(means: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``decay_fit`` of rows of means by distance; NaN where fewer than two are positive."""
+    ok = means > 0
+    n, d = ok.sum(1), np.arange(means.shape[1])
+    y = np.log(means, out=np.zeros_like(means), where=ok)
+    with np.errstate(all="ignore"):
+        md, my = (ok * d).sum(1) / n, y.sum(1) / n
+        away = np.where(ok, d - md[:, None], 0.0)
+        slope = np.where(n > 1, (away * np.where(ok, y - my[:, None], 0.0)).sum(1) / (away * away).sum(1), np.nan)
+        return np.exp(my - slope * md), slope
+
+
+def recap(loops: DataFrame, contacts: DataFrame, chroms: DataFrame, resolution: int, window: int, keys: Sequence[str] = (), tile: int = 512) -> DataFrame:
     """Per distinct loop of a key and ``experiment``: ``presence`` against the experiment's expectation, ``total``, the decay's ``amplitude, slope``
-    and the rows' ``row_amplitude, row_spread`` over its observed window; a loop without contacts there has a total of 0 and nulls."""
-    once = loops.select(*keys, *COORDS).distinct()
-    each = [*keys, "experiment", *COORDS]
-    size, c, v = 2 * window + 1, F.col("counts"), lambda k: F.coalesce(F.sum(F.when(k, F.col("counts"))), F.lit(0))
-    away = F.abs(F.col("dx") - window) + F.abs(F.col("dy") - window)
+    and the rows' ``row_amplitude, row_spread`` over its observed window; a loop without contacts there has a total of 0 and nulls.
+
+    Windows are read in the tiles of ``windows``, a layer an experiment; rows of one pixel count together."""
+    each, types, size = [*keys, "experiment", *COORDS], dict(loops.dtypes), 2 * window + 1
+    experiments = sorted(r[0] for r in contacts.select("experiment").distinct().collect())
+    layers = [(contacts.filter(F.col("experiment") == e), resolution) for e in experiments]
+    i, j = np.indices((size, size))
+    away = (np.abs(i - window) + np.abs(j - window)).reshape(-1)
     # a distance k has 4k cells, all within the window
-    hits = window_pixels(once, contacts, resolution, window).groupBy(*each).agg(
-        F.sum(c).alias("total"), v(away == 0).cast("double").alias("observed"),
-        F.array(*[v(away == k) / float(max(1, 4 * k)) for k in range(window)]).alias("means"), F.array(*[v(F.col("dx") == k) for k in range(size)]).alias("rows"))
-    fit = decay_fit(hits.select(*each, F.posexplode("means").alias("d", "mean")), each)
-    rows = row_profile(hits.select(*each, F.posexplode("rows").alias("dx", "total")), each)
-    shape = amplitude_and_spread(rows, window, each).withColumnsRenamed({"amplitude": "row_amplitude", "spread": "row_spread"})
-    all_ = once.join(F.broadcast(contacts.select("experiment").distinct()), F.lit(True)).withColumn("resolution", F.lit(resolution).cast("bigint"))
-    d = all_.join(hits.drop("means", "rows"), each, "left").fillna(0, ["total", "observed"]).join(fit, each, "left").join(shape, each, "left")
-    d = _with_model(d, contacts.filter(F.col("resolution") == resolution), chroms, ["experiment"])
-    return d.select(*each, _percent(F.col("observed")).alias("presence"), "total", "amplitude", "slope", "row_amplitude", "row_spread")
+    weights = np.stack([(away == k) / max(1, 4 * k) for k in range(window)], 1)
+    values = ["observed", "total", "amplitude", "slope", "row_amplitude", "row_spread"]
+
+    def kernel(own: pa.Table, at_x: dict, at_y: dict, images: dict) -> pa.Table:
+        held, out = own.select([*keys, *COORDS]), []
+        for k, e in enumerate(experiments):
+            for part, v in windows.stacks(images[k], at_x[k], at_y[k], window):
+                means, rows, total = v.reshape(len(v), -1) @ weights, v.sum(2), v.sum((1, 2))
+                amplitude, slope = _decay(means)
+                with np.errstate(all="ignore"):
+                    pdf = rows / total[:, None]
+                    shape = pdf.std(1, ddof=1), np.sqrt(((np.arange(size) - window) ** 2 * pdf).sum(1))
+                t = held.slice(part.start, len(v)).append_column("experiment", pa.array([e] * len(v), pa.string()))
+                t = t.append_column("observed", pa.array(v[:, window, window])).append_column("total", pa.array(total.astype("int64")))
+                for name, a in zip(values[2:], (amplitude, slope, *shape)):
+                    t = t.append_column(name, pa.array(a, mask=~np.isfinite(a)))
+                out.append(t)
+        return pa.concat_tables(out)
+
+    shape = ", ".join(f"{c} {'string' if c == 'experiment' else types[c]}" for c in each) + ", observed double, total bigint, " + ", ".join(f"{v} double" for v in values[2:])
+    if not layers:
+        layers = [(contacts, resolution)]
+    d = windows.in_tiles(loops, layers, window, [*keys, *COORDS], kernel if experiments else lambda own, *_: pa.table({c: pa.array([], pa.null()) for c in [*each, *values]}), shape, tile * resolution)
+    model = _expected_means(contacts.filter(F.col("resolution") == resolution), chroms, ["experiment"])
+    d = _with_model(d.withColumn("resolution", F.lit(resolution).cast("bigint")), model, ["experiment"])
+    return d.select(*each, _percent(F.col("observed")).alias("presence"), *values[1:])
 
 
 def log_z(contacts: DataFrame, above: float | None = None) -> DataFrame:

@@ -312,7 +312,7 @@ def m5_sieve_whole(spark, d):
 
 @book.add()
 def a13_recap_observed(spark, d):
-    return op.recap(view(spark, d, "fx_loops"), contacts(spark, d, merged=False), view(spark, d, "fx_chroms"), RES, W, ["list_id"])
+    return op.recap(view(spark, d, "fx_loops"), reads(spark, d, RES), view(spark, d, "fx_chroms"), RES, W, ["list_id"])
 
 
 @book.add("SELECT chr1, chr2, bin_x, bin_y, z FROM (SELECT *, round((ln(counts) - avg(ln(counts)) OVER w) / stddev_samp(ln(counts)) OVER w, 6) AS z FROM fx_inter WHERE counts > 0 WINDOW w AS (PARTITION BY chr1, chr2)) WHERE z > 2")
