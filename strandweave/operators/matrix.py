@@ -212,10 +212,23 @@ def window_sums(loops: DataFrame, contacts: DataFrame, resolution: int, window:
     return cells.select(*identity, div("_at", span).alias("dx"), (F.col("_at") % span).cast("bigint").alias("dy"), F.col("counts").cast("bigint").alias("counts"))
 
 
-def window_cells(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, identity: Sequence[str]) -> DataFrame:
-    """``cells, x0, y0``: each loop's window as its positive cells ``(dx, dy, v)``, for kernels; no more than the window holds."""
-    cells = window_pixels(loops, contacts, resolution, window).groupBy(*identity, "dx", "dy").agg(F.sum("counts").cast("double").alias("v"))
-    held = cells.groupBy(*identity).agg(F.collect_list(F.struct(F.col("dx").cast("int").alias("dx"), F.col("dy").cast("int").alias("dy"), "v")).alias("cells"))
+def window_cells(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, identity: Sequence[str], tile: int = 512) -> DataFrame:
+    """``cells, x0, y0``: each distinct loop's window as its positive cells ``(dx, dy, v)``, for kernels; no more than the window holds. They are made in the tiles of ``windows``."""
+    types, span = dict(loops.dtypes), 2 * window + 1
+
+    def kernel(own: pa.Table, at_x: dict, at_y: dict, images: dict) -> pa.Table:
+        hit = windows.box_sums(images[0], span)[at_x[0], at_y[0]] > 0
+        lists = []
+        for _, v in windows.stacks(images[0], at_x[0][hit], at_y[0][hit], window):
+            k, i, j = np.nonzero(v)
+            ends = np.concatenate([[0], np.bincount(k, minlength=len(v)).cumsum()]).astype("int32")
+            fields = [pa.array(i.astype("int32")), pa.array(j.astype("int32")), pa.array(v[k, i, j])]
+            lists.append(pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(fields, ["dx", "dy", "v"])))
+        kind = pa.list_(pa.struct([("dx", pa.int32()), ("dy", pa.int32()), ("v", pa.float64())]))
+        return own.select(identity).filter(pa.array(hit)).append_column("cells", pa.chunked_array([c.cast(kind) for c in lists], kind))
+
+    schema = ", ".join(f"{c} {types[c]}" for c in identity) + ", cells array<struct<dx: int,dy: int,v: double>>"
+    held = windows.in_tiles(loops, [(contacts, resolution)], window, identity, kernel, schema, tile * resolution)
     return held.withColumns({"x0": div(x.mid1(), resolution) - window, "y0": div(x.mid2(), resolution) - window})
 
 

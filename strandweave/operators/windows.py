@@ -65,7 +65,6 @@ def in_tiles(loops: DataFrame, layers: Sequence[tuple[DataFrame, int]], window:
         raise ValueError("a tile has whole bins of every resolution")
     sizes = [tile // r for _, r in layers]
     steps = [r for _, r in layers]
-    names = [c.strip().split()[0] for c in schema.split(", ")]
 
     def run(own: pa.Table, near: pa.Table) -> pa.Table:
         if not own.num_rows:
@@ -79,7 +78,8 @@ def in_tiles(loops: DataFrame, layers: Sequence[tuple[DataFrame, int]], window:
             at_x[i], at_y[i] = px // steps[i], py // steps[i]
         return kernel(own, at_x, at_y, images).select(names).cast(arrow)
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    kind = StructType.fromDDL(schema)
+    arrow, names = to_arrow_schema(kind), kind.names
     empty = arrow.empty_table()
     near = pixels_in_tiles(layers, window, tile) if pixels is None else pixels
     return loops_in_tiles(loops, identity, tile).groupBy(*KEY).cogroup(near.groupBy(*KEY)).applyInArrow(run, schema)

@@ -11,7 +11,7 @@ from strandweave.operators import features, graph, joins, kernels, sampling
 from strandweave.operators import matrix as mx
 from strandweave.operators import signals as op
 from strandweave.plans.book import Book
-from strandweave.plans.fixtures import view
+from strandweave.plans.fixtures import reads, view
 from strandweave.plans.joins import RASTER
 from strandweave.plans.matrices import RES, contacts, hot, pixels, r6
 from strandweave.session import table
@@ -252,8 +252,8 @@ def j_p10_stripes(spark, d):
 
 @book.add()
 def j_p11_stripe_localize(spark, d):
-    loops = features.size_filter(features.distinct_features(view(spark, d, "fx_loops")), 100, 5)
-    return kernels.localize_stripes(mx.window_cells(loops, contacts(spark, d), RES, 15, COORDS), COORDS, 15, 2)
+    loops = features.size_filter(view(spark, d, "fx_loops"), 100, 5)
+    return kernels.localize_stripes(mx.window_cells(loops, reads(spark, d, RES), RES, 15, COORDS), COORDS, 15, 2)
 
 
 @book.add()

@@ -90,3 +90,13 @@ def test_pairs_between_chromosomes_are_spread_over_tasks(spark):
     assert Counter(map(tuple, found.collect())) == want
     sizes = found.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < sum(want.values()) / 3
+
+
+def test_cells_of_windows_are_shuffled_once(made):
+    loops, reads, plain, cells = made
+    w = 3
+    want = {r[1:]: (got, c[0] - w, c[1] - w) for r, c in plain.items() if (got := window(cells[None], r, c, w))}
+    found = matrix.window_cells(loops, reads, R, w, COORDS, tile=8)
+    assert shuffles(found) == 2
+    got = {tuple(r[c] for c in COORDS): ({(p["dx"], p["dy"]): p["v"] for p in r["cells"]}, r["x0"], r["y0"]) for r in found.collect()}
+    assert got == want
