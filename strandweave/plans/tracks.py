@@ -240,7 +240,7 @@ def j_p6_multires_collapse(spark, d):
 @book.add()
 def j_p7_pinpoint(spark, d):
     w = 16
-    cells = mx.window_cells(features.distinct_features(view(spark, d, "fx_loops")), contacts(spark, d), RES, w, COORDS)
+    cells = mx.window_cells(view(spark, d, "fx_loops"), reads(spark, d, RES), RES, w, COORDS)
     return kernels.pinpoint(cells, COORDS, RES, w, coarse=4)
 
 
