@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from strandweave.functions import scalars as x
 from strandweave.functions.scalars import COORDS, div
@@ -142,33 +144,89 @@ def size_classes(df: DataFrame, chroms: DataFrame) -> DataFrame:
     return d.withColumn("size_class", F.explode(F.array_compact(F.array(F.lit("all"), own)))).drop("i1", "i2")
 
 
-def flags_pile_up(anchors: DataFrame, intra: DataFrame, inter: DataFrame, chroms: DataFrame, resolution: int, inter_resolution: int, window: int, least: int = 500_000) -> DataFrame:
+def _stacks_in_tiles(points: DataFrame, near: DataFrame, resolution: int, window: int, least: int, tile: int) -> DataFrame:
+    """``chr1, stratum, dx, dy, total`` of the pairs of ``flags_pile_up`` within chromosomes, in tiles of ``tile`` bins.
+
+    A pixel has one tile, whose anchors are those whose windows reach it on either axis. Pairs are counted there by bins and stratum,
+    and each pixel adds what it has times the numbers of pairs around it. Bounds of strata are compared as integers.
+    """
+    span, side = 2 * window + 1, tile + 2 * window
+    key = ["_tx", "_ty", "chr1"]
+    bounds = 1_000_000 * 2 ** np.arange(43, dtype="int64")
+    at = {a: F.floor(F.col(b) / tile) for a, b in (("_tx", "bin_x"), ("_ty", "bin_y"))}
+    pixels = near.withColumns(at).select(*key, ((F.col("bin_x") - F.col("_tx") * tile) * tile + F.col("bin_y") - F.col("_ty") * tile).cast("int").alias("_cell"), "counts")
+    tiles, ends = near.select(*[v.alias(a) for a, v in at.items()], "chr1").distinct(), None
+    for s, (t, edge) in enumerate((("_tx", "end"), ("_ty", "start"))):
+        b = div("m", resolution)
+        own = points.select(F.col("chrom").alias("chr1"), "m", F.col(edge).alias("_edge"), b.alias("_b"), F.explode(F.sequence(F.floor((b - window) / tile), F.floor((b + window) / tile))).alias(t))
+        # sizes say little of lists this narrow, so neither side is broadcast
+        one = own.join(tiles.hint("merge"), ["chr1", t]).select(*key, F.lit(s).alias("_side"), (F.col("_b") - F.col(t) * tile + window).cast("int").alias("_at"), "m", "_edge")
+        ends = one if ends is None else ends.unionByName(one)
+
+    def run(own: pa.Table, held: pa.Table) -> pa.Table:
+        which, bins, m, edge = (own[c].to_numpy() for c in ("_side", "_at", "m", "_edge"))
+        (ax, am, ae), (bx, bm, bs) = ((bins[which == s], m[which == s], edge[which == s]) for s in (0, 1))
+        if not (len(ax) and len(bx) and held.num_rows):
+            return empty
+        pairs: dict[int, np.ndarray] = {}
+        rows = max(1, 1_000_000 // len(bx))
+        for i in range(0, len(ax), rows):
+            d = bm - am[i : i + rows, None]
+            ok = (ae[i : i + rows, None] < bs) & (d > least)
+            stratum, cell = np.searchsorted(bounds, d[ok]), (ax[i : i + rows, None].astype("int64") * side + bx)[ok]
+            for k in np.unique(stratum):
+                n = np.bincount(cell[stratum == k], minlength=side * side).astype("float64").reshape(side, side)
+                pairs[k] = pairs[k] + n if k in pairs else n
+        image = np.bincount(held["_cell"].to_numpy(), held["counts"].to_numpy(), tile * tile)
+        cells = np.flatnonzero(image)
+        px, py, v = cells // tile, cells % tile, image[cells]
+        # two anchors of bins that a pixel's window holds are this near and this far
+        apart = (own["_ty"][0].as_py() - own["_tx"][0].as_py()) * tile + py - px
+        low, high = (apart - span) * resolution, (apart + span) * resolution
+        out = {}
+        for k, n in pairs.items():
+            mine = (low < bounds[k]) & (high > (bounds[k - 1] if k else least))
+            x_, y_, c, total = px[mine], py[mine], v[mine], np.zeros(span * span)
+            for part, w in windows.stacks(n, x_, y_, window):
+                total += c[part] @ w.reshape(len(w), -1)
+            out[k] = total[::-1].astype("int64")  # the last row of a pixel's window is that of the first anchors
+        n = len(out)
+        lists = pa.ListArray.from_arrays(np.arange(0, n * span * span + 1, span * span, dtype="int32"), np.concatenate([np.empty(0, "int64"), *out.values()]))
+        return pa.table({"chr1": pa.array([own["chr1"][0].as_py()] * n, pa.string()), "stratum": pa.array(list(out), pa.int32()), "totals": lists}).cast(arrow)
+
+    schema = "chr1 string, stratum int, totals array<bigint>"
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    empty = arrow.empty_table()
+    parts = ends.repartition(*key).groupBy(*key).cogroup(pixels.repartition(*key).groupBy(*key)).applyInArrow(run, schema)
+    sums = parts.select("chr1", "stratum", F.posexplode("totals").alias("_at", "total")).filter("total > 0").groupBy("chr1", "stratum", "_at").agg(F.sum("total").alias("total"))
+    return sums.select("chr1", "stratum", div("_at", span).alias("dx"), (F.col("_at") % span).cast("bigint").alias("dy"), "total")
+
+
+def flags_pile_up(anchors: DataFrame, intra: DataFrame, inter: DataFrame, chroms: DataFrame, resolution: int, inter_resolution: int, window: int, least: int = 500_000, tile: int = 512) -> DataFrame:
     """``kind, stratum, size_class, dx, dy, total``: pile-ups of all pairs of distinct anchors, by distance and once between chromosomes.
 
     Intra pairs are those of ``pair_anchors(anchors, anchors, least, any)``, in the strata of ``distance_strata``; there are as many
-    strata as the longest distance needs, and every stack is whole. Pairs are never listed: a pixel meets the anchors around its row
-    and those around its column. Inter pairs have no bounds, so numbers of anchors per bin are enough and the axes are summed in turn.
+    strata as the longest distance needs, and every stack is whole. Pairs are never listed: they are counted by bins in tiles, beside
+    the pixels. Inter pairs have no bounds, so numbers of anchors per bin are enough and the axes are summed in turn. Rows of one pixel
+    count together.
     """
     p = anchors.select("chrom", "start", "end", x.mid("start", "end").alias("m")).distinct()
     span = F.sequence(F.lit(0).cast("bigint"), F.lit(2 * window).cast("bigint"))
+    stratum = lambda v: F.greatest(F.ceil(F.log2(v / 1e6)).cast("int"), F.lit(0))
 
-    def around(points: DataFrame, s: int, res: int, *rest: str) -> DataFrame:
-        """Points at all bins that their windows hold, ``o`` bins from the first."""
-        b, o = (("bin_x", "dx"), ("bin_y", "dy"))[s - 1]
-        own = points.select(F.col("chrom").alias(f"chr{s}"), *[F.col(c).alias(f"{c}{s}") for c in rest], (div("m", res) - window).alias("first"))
-        return own.withColumn(o, F.explode(span)).withColumn(b, F.col("first") + F.col(o)).drop("first")
+    near = intra.filter((F.col("chr1") == F.col("chr2")) & (F.col("resolution") == resolution) & (F.col("counts") > 0) & (F.col("bin_y") - F.col("bin_x") + 2 * window + 1 > least // resolution)).select("chr1", "bin_x", "bin_y", "counts")
+    within = _stacks_in_tiles(p, near, resolution, window, least, tile).withColumns({"kind": F.lit("intra"), "chr2": F.col("chr1")})
 
-    near = intra.filter((F.col("chr1") == F.col("chr2")) & (F.col("resolution") == resolution) & (F.col("counts") > 0) & (F.col("bin_y") - F.col("bin_x") + 2 * window + 1 > least // resolution)).select("chr1", "chr2", "bin_x", "bin_y", "counts")
-    d = F.col("m2") - F.col("m1")
-    hits = near.join(around(p, 1, resolution, "end", "m"), ["chr1", "bin_x"]).join(around(p, 2, resolution, "start", "m"), ["chr2", "bin_y"]).filter((F.col("end1") < F.col("start2")) & (d > least))
-    keys = ["kind", "stratum", "chr1", "chr2", "dx", "dy"]
-    stratum = lambda v: F.greatest(F.ceil(F.log2(v / 1e6)).cast("int"), F.lit(0))
-    within = hits.withColumns({"kind": F.lit("intra"), "stratum": stratum(d)}).groupBy(*keys).agg(F.sum("counts").alias("total"))
+    def times(pixels: DataFrame, s: int, value: str) -> DataFrame:
+        """``value`` of pixels times the anchors at each bin whose window holds them, ``o`` bins from its first; bins of anchors aren't spread, nor sent to the driver."""
+        b, o = (("bin_x", "dx"), ("bin_y", "dy"))[s - 1]
+        own = n.select(F.col("chrom").alias(f"chr{s}"), F.col("b").alias("_b"), "n").hint("merge")
+        return pixels.withColumn(o, F.explode(span)).withColumn("_b", F.col(b) + window - F.col(o)).join(own, [f"chr{s}", "_b"]).withColumn("v", F.col(value) * F.col("n"))
 
-    n = p.groupBy("chrom", (div("m", inter_resolution) * inter_resolution).alias("m")).agg(F.count("*").alias("n"))
+    n = p.groupBy("chrom", div("m", inter_resolution).alias("b")).agg(F.count("*").alias("n"))
     far = inter.filter((F.col("chr1") != F.col("chr2")) & (F.col("resolution") == inter_resolution) & (F.col("counts") > 0))
-    one = far.join(around(n, 1, inter_resolution, "n"), ["chr1", "bin_x"]).groupBy("chr1", "chr2", "dx", "bin_y").agg(F.sum(F.col("counts") * F.col("n1")).alias("v"))
-    both = one.join(around(n, 2, inter_resolution, "n"), ["chr2", "bin_y"]).groupBy("chr1", "chr2", "dx", "dy").agg(F.sum(F.col("v") * F.col("n2")).alias("total"))
+    one = times(far, 1, "counts").groupBy("chr1", "chr2", "dx", "bin_y").agg(F.sum("v").alias("one"))
+    both = times(one, 2, "one").groupBy("chr1", "chr2", "dx", "dy").agg(F.sum("v").alias("total"))
     between = both.withColumns({"kind": F.lit("inter"), "stratum": F.lit(None).cast("int")})
 
     sums = size_classes(within.unionByName(between), chroms).groupBy("kind", "stratum", "size_class", "dx", "dy").agg(F.sum("total").alias("total"))

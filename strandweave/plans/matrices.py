@@ -152,7 +152,7 @@ def a6_flags_strata(spark, d):
 
 @book.add()
 def a6_flags_pileup(spark, d):
-    return op.flags_pile_up(view(spark, d, "fx_anchors"), contacts(spark, d), view(spark, d, "fx_inter"), view(spark, d, "fx_chroms"), RES, 100_000, W)
+    return op.flags_pile_up(view(spark, d, "fx_anchors"), reads(spark, d, RES), view(spark, d, "fx_inter"), view(spark, d, "fx_chroms"), RES, 100_000, W)
 
 
 @book.add(f"""WITH {CM}, l AS (SELECT DISTINCT chr1, chr2, ((start1 + end1) // 2) // 50000 AS cx, ((start2 + end2) // 2) // 50000 AS cy FROM fx_loops WHERE list_id = 'A'), o AS (SELECT * FROM l UNION SELECT chr1, chr2, cy, cx FROM l),

@@ -62,6 +62,37 @@ def test_flags_pile_up_against_listed_pairs(spark):
     assert any(v for k, v in want.items() if k[1] == 3) and any(v for k, v in want.items() if k[0] == "inter" and k[2] == "small")
 
 
+def test_flags_pile_up_in_small_tiles_lists_no_pairs(spark):
+    """Rows of a pixel count together over borders of tiles; only what chromosomes tell is broadcast, and a pixel is shuffled once, without its anchors."""
+    rng, w, tile = random.Random(4), 3, 8
+    chroms = spark.createDataFrame([("c1", 1), ("c2", 12)], "chrom string, chr_index int")
+    points = [(c, s, s + rng.randint(10, 400_000)) for c in ("c1", "c2") for s in (rng.randint(0, 5_000_000) for _ in range(50))]
+    points += [("c1", 0, 10), ("c1", 500_000, 500_010), ("c1", 500_001, 500_011), ("c1", 1_000_000, 1_000_010), ("c1", None, 5)]
+    rows = [(c, c, a, min(59, a + rng.randint(0, 40)), rng.randint(0, 9), 100_000) for c in ("c1", "c2") for a in (rng.randint(0, 59) for _ in range(900))]
+    shape = "chr1 string, chr2 string, bin_x bigint, bin_y bigint, counts bigint, resolution bigint"
+    between = [("c1", "c2", a, b, a + b, 100_000) for a in range(20) for b in range(20)]
+    anchors = spark.createDataFrame(points, "chrom string, start bigint, end bigint").repartition(3)
+    found = matrix.flags_pile_up(anchors, spark.createDataFrame(rows, shape), spark.createDataFrame(between, shape), chroms, 100_000, 100_000, w, tile=tile)
+    cells, want = Counter(), Counter()
+    for c, _, a, b, n, _ in rows:
+        cells[c, a, b] += n
+    once = [p for p in points if p[1] is not None]
+    for a in once:
+        for b in once:
+            m, n = (a[1] + a[2]) // 2, (b[1] + b[2]) // 2
+            if a[0] == b[0] and a[2] < b[1] and n - m > 500_000:
+                k = next(k for k in range(9) if n - m <= 2**k * 1_000_000)
+                for i in range(2 * w + 1):
+                    for j in range(2 * w + 1):
+                        want[k, i, j] += cells[a[0], m // 100_000 - w + i, n // 100_000 - w + j]
+    got = {(r["stratum"], r["dx"], r["dy"]): r["total"] for r in found.filter("kind = 'intra' AND size_class = 'all'").collect()}
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in want.items() if v}
+    assert len({k for k, *_ in want}) == 4
+    plan = str(found._jdf.queryExecution().executedPlan().toString())
+    kept = [line for line in plan.splitlines() if "BroadcastHashJoin" in line and ("bin_" in line or "_b#" in line or "_tx" in line)]
+    assert not kept and "FlatMapCoGroupsInArrow" in plan
+
+
 def plain_integrate(rows, res, reach):
     """getIdealPosition of the reference over dense arrays; a repeated loop counts as often."""
     size = 60
