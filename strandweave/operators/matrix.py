@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -65,6 +67,11 @@ def expected(contacts: DataFrame, chroms: DataFrame, keys: Sequence[str] = ()) -
     d = contacts.filter("chr1 = chr2").groupBy(*keys, F.col("chr1").alias("chrom"), "resolution", F.abs(F.col("bin_x") - F.col("bin_y")).alias("d")).agg(
         F.sum("counts").alias("s"), F.sum(F.log1p("counts")).alias("sl"), F.sum(F.pow(F.log1p("counts"), 2)).alias("ql")
     )
+    return _expectation(d, chroms, keys)
+
+
+def _expectation(d: DataFrame, chroms: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """``expected`` of sums ``s, sl, ql`` by distance."""
     n = F.greatest(div(F.col("length") + F.col("resolution") - 1, F.col("resolution")) - F.col("d"), F.lit(1).cast("bigint"))
     d = d.join(F.broadcast(chroms.select("chrom", "length")), "chrom").withColumn("n", n)
     mean = F.col("sl") / F.col("n")
@@ -427,19 +434,68 @@ def _percent(observed: Column) -> Column:
     return F.when(F.col("mean").isNotNull(), x.clamp(F.when(F.col("mean1") != F.col("mean"), (observed - F.col("mean")) / (F.col("mean1") - F.col("mean")))))
 
 
-def sieve(loops: DataFrame, contacts: DataFrame, chroms: DataFrame, resolutions: Sequence[int], window: int = 10, skip_global: bool = False) -> DataFrame:
-    """Per distinct loop and resolution ``observed, local_z, local_oe`` and, unless skipped, ``global_z, global_oe, percent``; null where there is no expectation."""
+def _expected_in_tiles(layers: Sequence[tuple[DataFrame, int]], chroms: DataFrame, tile: int) -> DataFrame:
+    """``expected`` of contacts at several resolutions, rows of one pixel being summed in its tile."""
+
+    def kernel(chr1: str, chr2: str, i: int, bx: np.ndarray, by: np.ndarray, v: np.ndarray) -> pa.Table:
+        far, at = np.unique(np.abs(bx - by), return_inverse=True)
+        log = np.log1p(v)
+        sums = {name: np.bincount(at, w, len(far)) for name, w in (("s", v), ("sl", log), ("ql", log * log))}
+        return pa.table({"chrom": pa.array([chr1] * len(far), pa.string()), "resolution": pa.array([layers_at[i]] * len(far), pa.int64()), "d": far.astype("int64"), **sums})
+
+    layers_at = [r for _, r in layers]
+    parts = windows.over_pixels([(c.filter("chr1 = chr2"), r) for c, r in layers], kernel, "chrom string, resolution bigint, d bigint, s double, sl double, ql double", tile)
+    return _expectation(parts.groupBy("chrom", "resolution", "d").agg(*[F.sum(c).alias(c) for c in ("s", "sl", "ql")]), chroms)
+
+
+def sieve(loops: DataFrame, contacts: DataFrame | dict[int, DataFrame], chroms: DataFrame, resolutions: Sequence[int], window: int = 10, skip_global: bool = False, bins: int = 1000) -> DataFrame:
+    """Per distinct loop and resolution ``observed, local_z, local_oe`` as ``sieve_scores`` has them and, unless skipped, ``global_z, global_oe, percent``; null where there is no expectation.
+
+    Windows of all resolutions are read in the tiles of ``windows``, of ``bins`` of the finest; rows of one pixel count together. ``contacts`` may be given by resolution.
+    """
     if window < 5:
         raise ValueError("local statistics need a window of 5 bins")
-    once, d = loops.select(*COORDS).distinct(), None
-    for r in resolutions:
-        one = sieve_scores(once, contacts, r, window, COORDS).withColumn("resolution", F.lit(r).cast("bigint"))
-        d = one if d is None else d.unionByName(one)
+    layers = [(contacts[r] if isinstance(contacts, dict) else contacts, r) for r in resolutions]
+    least, span = math.lcm(*resolutions), 2 * window + 1
+    tile = least * max(1, bins * min(resolutions) // least)
+    kind = "int64" if all(dict(c.dtypes)["counts"] in ("bigint", "int", "smallint", "tinyint") for c, _ in layers) else "float64"
+
+    def away(image: np.ndarray, px: np.ndarray, py: np.ndarray) -> np.ndarray:
+        """Sums of windows without the row and the column of the centre."""
+        s = np.zeros((image.shape[0] + 1, image.shape[1] + 1), image.dtype)
+        np.cumsum(image, 0, out=s[1:, 1:])
+        np.cumsum(s[1:, 1:], 1, out=s[1:, 1:])
+        box = lambda a, b, c, e: s[b, e] - s[a, e] - s[b, c] + s[a, c]
+        x1, x2, y1, y2 = px + window, px + span, py + window, py + span
+        return box(px, x2, py, y2) - box(x1, x1 + 1, py, y2) - box(px, x2, y1, y1 + 1) + image[x1, y1]
+
+    def kernel(own: pa.Table, at_x: dict, at_y: dict, images: dict) -> pa.Table:
+        out = []
+        for i, r in enumerate(resolutions):
+            px, py, image = at_x[i], at_y[i], images[i].astype(kind)
+            o, s, q = (v.astype("float64") for v in (image[px + window, py + window], away(image, px, py), away(image * image, px, py)))
+            # rows and columns below 0 don't exist
+            rows = [window + np.minimum(at + own[t][0].as_py() * (tile // r), window) for at, t in ((px, "_tx"), (py, "_ty"))]
+            n = (rows[0] * rows[1]).astype("float64")
+            with np.errstate(all="ignore"):
+                mean = s / n
+                sd = np.sqrt(np.maximum(q - n * mean * mean, 0) / (n - 1))
+                z, oe = (o - mean) / sd, o / mean
+            t = own.select(COORDS).append_column("resolution", pa.array(np.full(len(o), r, "int64"))).append_column("observed", pa.array(o))
+            out.append(t.append_column("local_z", pa.array(z, mask=~(sd > 0))).append_column("local_oe", pa.array(oe, mask=~(mean > 0))))
+        return pa.concat_tables(out)
+
+    types = dict(loops.dtypes)
+    d = windows.in_packed_tiles(loops, layers, window, kernel, ", ".join(f"{c} {types[c]}" for c in COORDS) + ", resolution bigint, observed double, local_z double, local_oe double", tile)
+    # loops without a place have no window
+    lost = loops.select(*COORDS).filter(reduce(Column.__or__, [F.col(c).isNull() for c in COORDS])).distinct()
+    none = F.lit(None).cast("double")
+    d = d.unionByName(lost.select(*COORDS, F.explode(F.array(*[F.lit(r).cast("bigint") for r in resolutions])).alias("resolution"), F.lit(0.0).alias("observed"), none.alias("local_z"), none.alias("local_oe")))
     if skip_global:
         return d
     o = F.col("observed")
     z = F.when(F.col("sd_log") > 0, (F.log1p(o) - F.col("mean_log")) / F.col("sd_log"))
-    d = _with_model(d, expected(contacts.filter(F.col("resolution").isin(*resolutions)), chroms))
+    d = _with_model(d, _expected_in_tiles(layers, chroms, tile))
     return d.select(*COORDS, "resolution", "observed", "local_z", "local_oe", z.alias("global_z"), F.when(F.col("mean") > 0, o / F.col("mean")).alias("global_oe"), _percent(o).alias("percent"))
 
 

@@ -307,7 +307,7 @@ def m5_sieve_scores(spark, d):
 
 @book.add()
 def m5_sieve_whole(spark, d):
-    return op.sieve(view(spark, d, "fx_loops"), contacts(spark, d), view(spark, d, "fx_chroms"), [5000, 50_000], W)
+    return op.sieve(view(spark, d, "fx_loops"), {r: reads(spark, d, r) for r in (RES, 50_000)}, view(spark, d, "fx_chroms"), [RES, 50_000], W)
 
 
 @book.add()

@@ -100,3 +100,31 @@ def test_cells_of_windows_are_shuffled_once(made):
     assert shuffles(found) == 2
     got = {tuple(r[c] for c in COORDS): ({(p["dx"], p["dy"]): p["v"] for p in r["cells"]}, r["x0"], r["y0"]) for r in found.collect()}
     assert got == want
+
+
+def test_sieve_shuffles_packed_rows_once(made):
+    """Two shuffles for all resolutions, and one of loops without a place; the values are those of ``sieve_scores`` over summed pixels."""
+    loops, reads, plain, cells = made
+    w, many = 5, {R: reads, 2 * R: reads.withColumn("resolution", F.lit(2 * R).cast("bigint"))}
+    found = matrix.sieve(loops, many, loops, list(many), w, skip_global=True, bins=8)
+    assert shuffles(found) == 3
+    want, got = {}, {(r["resolution"], *(r[c] for c in COORDS)): (r["observed"], r["local_z"], r["local_oe"]) for r in found.collect()}
+    for r, c in many.items():
+        summed = c.groupBy("chr1", "chr2", "resolution", "bin_x", "bin_y").agg(F.sum("counts").alias("counts"))
+        for row in matrix.sieve_scores(loops.select(*COORDS).distinct(), summed, r, w, COORDS).collect():
+            want[(r, *(row[k] for k in COORDS))] = row["observed"], row["local_z"], row["local_oe"]
+    assert got.keys() == want.keys() and len(got) == found.count() == 2 * (len({r[1:] for r in plain}) + 1)
+    same = lambda p, q: p is None and q is None or math.isclose(p, q, abs_tol=1e-9)
+    assert all(same(p, q) for k in want for p, q in zip(got[k], want[k]))
+    assert any(v[1] for v in want.values())
+
+
+def test_pixels_are_in_one_tile_each(made):
+    """The expectation from tiles is that of summed pixels."""
+    loops, reads, plain, cells = made
+    chroms = loops.sparkSession.createDataFrame([("c1", 300_000), ("c2", 400_000)], "chrom string, length bigint")
+    summed = reads.groupBy("chr1", "chr2", "resolution", "bin_x", "bin_y").agg(F.sum("counts").alias("counts")).filter("counts > 0")
+    rows = lambda d: {(r["chrom"], r["resolution"], r["d"], r["n"]): (r["mean"], r["mean_log"], r["sd_log"]) for r in d.collect()}
+    want, got = rows(matrix.expected(summed, chroms)), rows(matrix._expected_in_tiles([(reads, R)], chroms, 8 * R))
+    assert got.keys() == want.keys() and want
+    assert all(math.isclose(p, q, rel_tol=1e-9, abs_tol=1e-9) for k in want for p, q in zip(got[k], want[k]))
