@@ -92,6 +92,20 @@ def test_pairs_between_chromosomes_are_spread_over_tasks(spark):
     assert len(sizes) == 4 and max(r["count"] for r in sizes) < sum(want.values()) / 3
 
 
+def test_anchors_of_pairs_are_not_copied_before_the_shuffle(spark):
+    """Pairs and copies are made above all shuffles, so what is shuffled is one row an anchor, in as many tasks as the setting says."""
+    chroms = spark.createDataFrame([("c1", 1), ("c2", 2), ("c2", 2), ("c3", 0)], "chrom string, chr_index int")
+    rows = [(c, s, s + 5) for c in ("c1", "c2", "c3", "c4", None) for s in range(-20, 20)] + [("c1", None, 12)] * 2
+    anchors = spark.createDataFrame(rows, "chrom string, start bigint, end bigint")
+    found = joins.pair_anchors_between(anchors.filter("end > 0 or end < -5"), anchors, chroms, blocks=3)
+    index = {"c1": [1], "c2": [2, 2], "c3": [0]}
+    want = Counter((*a, *b) for a in rows if a[2] > 0 or a[2] < -5 for b in rows for i in index.get(a[0], []) for j in index.get(b[0], []) if i < j)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Generate") < plan.index(" Exchange ")
+    assert found.columns == COORDS and Counter(map(tuple, found.collect())) == want
+    assert found.rdd.getNumPartitions() == 4
+
+
 def test_cells_of_windows_are_shuffled_once(made):
     loops, reads, plain, cells = made
     w = 3
