@@ -6,18 +6,22 @@ steps are plain DataFrame operations.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator, Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from strandweave.functions import scalars as x
 from strandweave.functions.scalars import COORDS, div
-from strandweave.operators import signals
+from strandweave.operators import signals, windows
 
 FUSE_TILE = 5_000_000
+#: A summit has more positive pixels than these.
+FEW = 4
 BOX = "chr1 string, start1 bigint, end1 bigint, chr2 string, start2 bigint, end2 bigint, n_merged bigint"
 
 
@@ -344,7 +348,7 @@ def enriched_boxes(image: np.ndarray) -> list[tuple[int, int, int, int]]:
 
 def summit(raw: np.ndarray, density: np.ndarray) -> tuple[float, float, int] | None:
     """Weighted mean row and column of the parts of a box that stand out, and the pixels there; None where there are too few."""
-    if (raw > 0).sum() <= 4:
+    if (raw > 0).sum() <= FEW:
         return None
     out = []
     for axis in (1, 0):
@@ -364,17 +368,37 @@ def _image(cells, size: int) -> np.ndarray:
     return m
 
 
+def _kernels(resolution: int) -> tuple[np.ndarray, np.ndarray]:
+    """The rough and the fine one."""
+    return cone(max(400 // resolution + 1, 3)), cone(max(2000 // resolution + 1, 3))
+
+
+def _summits(m: np.ndarray, smeared: np.ndarray, fine: np.ndarray, coarse: int) -> list[tuple]:
+    """Peak, box and pixels in each enriched box of a window, of which ``smeared`` is the coarse image."""
+    out = []
+    for a, b, c, d in enriched_boxes(smeared):
+        a, b, c, d = a * coarse, min(b * coarse, m.shape[0]), c * coarse, min(d * coarse, m.shape[1])
+        part = m[a:b, c:d]
+        top = summit(part, smear(part, fine)) if (part > 0).sum() > FEW else None
+        if top:
+            out.append((a + top[0], c + top[1], a, b, c, d, top[2]))
+    return out
+
+
+def _shape(types: dict[str, str], identity: Sequence[str]) -> str:
+    return ", ".join(f"{c} {types[c]}" for c in identity) + ", peak_x double, peak_y double, box_start1 bigint, box_end1 bigint, box_start2 bigint, box_end2 bigint, n_pixels bigint"
+
+
 def pinpoint(windows: DataFrame, identity: list[str], resolution: int, window: int, coarse: int = 20) -> DataFrame:
     """Summits of windows (``cells`` and their first bins ``x0, y0``): coarse boxes, then density at full resolution in each.
 
     A window is one row, so memory is bounded by its width.
     """
-    types = dict(windows.dtypes)
-    shape = ", ".join(f"{c} {types[c]}" for c in identity) + ", peak_x double, peak_y double, box_start1 bigint, box_end1 bigint, box_start2 bigint, box_end2 bigint, n_pixels bigint"
+    shape = _shape(dict(windows.dtypes), identity)
     names = [c.split()[0] for c in shape.split(", ")]
 
     def run(batches):
-        fine, rough = cone(max(2000 // resolution + 1, 3)), cone(max(400 // resolution + 1, 3))
+        rough, fine = _kernels(resolution)
         for pdf in batches:
             rows = []
             for r in pdf.to_dict("records"):
@@ -383,18 +407,104 @@ def pinpoint(windows: DataFrame, identity: list[str], resolution: int, window: i
                 padded = np.zeros((n, n))
                 padded[: m.shape[0], : m.shape[1]] = m
                 small = padded.reshape(n // coarse, coarse, n // coarse, coarse).sum((1, 3))
-                for a, b, c, d in enriched_boxes(smear(small, rough)):
-                    a, b, c, d = a * coarse, min(b * coarse, m.shape[0]), c * coarse, min(d * coarse, m.shape[1])
-                    part = m[a:b, c:d]
-                    top = summit(part, smear(part, fine)) if part.size else None
-                    if top:
-                        at = lambda o, v: (r[o] + v) * resolution
-                        rows.append((*[r[k] for k in identity], at("x0", a + top[0]), at("y0", c + top[1]), at("x0", a), at("x0", b), at("y0", c), at("y0", d), top[2]))
+                at = lambda o, v: (r[o] + v) * resolution  # noqa: B023, E731
+                for px, py, a, b, c, d, k in _summits(m, smear(small, rough), fine, coarse):
+                    rows.append((*[r[k] for k in identity], at("x0", px), at("y0", py), at("x0", a), at("x0", b), at("y0", c), at("y0", d), k))
             yield pd.DataFrame(rows, columns=names)
 
     return windows.select(*identity, "x0", "y0", "cells").mapInPandas(run, shape)
 
 
+def smear_all(images: np.ndarray, kernel: np.ndarray) -> np.ndarray:
+    """``smear`` of many images without negative cells, which the last axis counts, in the same order of sums."""
+    h, n = kernel.shape[0] // 2, images.shape[:2]
+    out, scaled = np.zeros_like(images), {w: images * w for w in np.unique(kernel[kernel > 0])}
+    for i in range(-h, h + 1):
+        for j in range(-h, h + 1):
+            if kernel[h - i, h - j] and abs(i) < n[0] and abs(j) < n[1]:
+                to, source = (tuple(slice(max(0, s * k), m + min(0, s * k)) for k, m in zip((i, j), n)) for s in (-1, 1))
+                out[to] += scaled[kernel[h - i, h - j]][source]
+    return out
+
+
+def least_cuts(images: np.ndarray) -> np.ndarray:
+    """The cut of ``enriched_boxes`` in many images, which the last axis counts, or less than it by rounding at most; infinite where nothing is over 1."""
+    flat = images.reshape(-1, images.shape[2])
+    inside = flat > 1
+    n = inside.sum(0)
+    mean = np.where(inside, flat, 0).sum(0) / np.maximum(n, 1)
+    sd = np.sqrt((np.where(inside, flat - mean, 0) ** 2).sum(0) / np.maximum(n - 1, 1))
+    return np.where(n > 0, np.maximum(0.7 * flat.max(0), np.where(n > 1, mean + 3 * sd, 0)) * (1 - 1e-9), np.inf)
+
+
+def _sums_of(n: int, parts: Callable[[slice], np.ndarray], size: int) -> np.ndarray:
+    """Sums over ``n`` of ``size`` rows or columns, by their first."""
+    if n == 1:
+        return parts(slice(0, size))
+    out = parts(slice(0, size - n + 1)) + parts(slice(1, size - n + 2))
+    for k in range(2, n):
+        out += parts(slice(k, size - n + 1 + k))
+    return out
+
+
+def coarse_windows(image: np.ndarray, at_x: np.ndarray, at_y: np.ndarray, span: int, coarse: int) -> Iterator[tuple[slice, np.ndarray]]:
+    """Windows in coarse cells, for some loops after the other, which the last axis counts; the last row and column have what is left."""
+    full, rest = divmod(span, coarse)
+    steps = [(slice(0, full), coarse, np.arange(full) * coarse)] * (full > 0) + [(slice(full, full + 1), rest, np.array([full * coarse]))] * (rest > 0)
+    blocks = []
+    for i, m, p in steps:
+        rows = _sums_of(m, lambda at: image[at], image.shape[0])
+        for j, n, q in steps:
+            sums = _sums_of(n, lambda at: rows[:, at], image.shape[1])  # noqa: B023
+            blocks.append((i, j, (p[:, None] * sums.shape[1] + q)[:, :, None], sums))
+    side, many = full + (rest > 0), windows.CHUNK // 4
+    for k in range(0, len(at_x), many):
+        part = slice(k, k + many)
+        small = np.empty((side, side, len(at_x[part])))
+        for i, j, off, sums in blocks:
+            small[i, j] = sums.reshape(-1).take(off + (at_x[part] * sums.shape[1] + at_y[part]))
+        yield part, small
+
+
+def pinpoint_in_tiles(loops: DataFrame, contacts: DataFrame, resolution: int, window: int, coarse: int = 20, tile: int = 512) -> DataFrame:
+    """``pinpoint`` of the windows of distinct loops, in the tiles of ``windows``, which no window leaves.
+
+    Windows of one place are looked at once. Coarse images of all are made, smeared and judged together; only those in
+    which something may stand out are taken one by one.
+    """
+    rough, fine = _kernels(resolution)
+    span, names = 2 * window + 1, ["peak_x", "peak_y", "box_start1", "box_end1", "box_start2", "box_end2", "n_pixels"]
+
+    def kernel(own: pa.Table, at_x: dict, at_y: dict, images: dict) -> pa.Table:
+        image, side = images[0], images[0].shape[1]
+        places, of = np.unique(at_x[0].astype("int64") * side + at_y[0], return_inverse=True)
+        px, py, found, rows = places // side, places % side, [], []
+        for part, small in coarse_windows(image, px, py, span, coarse):
+            smeared = smear_all(small, rough)
+            over = smeared > least_cuts(smeared)
+            for k in np.flatnonzero(over.any((0, 1))):
+                i, j = px[part.start + k], py[part.start + k]
+                m, (u, v) = image[i : i + span, j : j + span], np.nonzero(over[:, :, k])
+                # every box lies in the one around all cells over the cut
+                if np.count_nonzero(m[u.min() * coarse : (u.max() + 1) * coarse, v.min() * coarse : (v.max() + 1) * coarse]) > FEW:
+                    for r in _summits(m, np.ascontiguousarray(smeared[:, :, k]), fine, coarse):
+                        found.append(part.start + k)
+                        rows.append(r)
+        first, last = (np.searchsorted(np.array(found, "int64"), of, s) for s in ("left", "right"))
+        n = last - first
+        loop = np.repeat(np.arange(len(of)), n)
+        row = np.arange(len(loop)) + np.repeat(first - (n.cumsum() - n), n)
+        v = np.array(rows, "float64").reshape(-1, 7)[row]
+        held = own.take(pa.array(loop))
+        x0, y0 = (a[0][loop] - window + held[t].to_numpy() * tile for a, t in ((at_x, "_tx"), (at_y, "_ty")))
+        for c, o, k in zip(names[:6], (x0, y0, x0, x0, y0, y0), range(6)):
+            at = (o + v[:, k]) * resolution
+            held = held.append_column(c, pa.array(at if k < 2 else at.astype("int64")))
+        return held.append_column("n_pixels", pa.array(v[:, 6].astype("int64")))
+
+    return windows.in_packed_tiles(loops, [(contacts, resolution)], window, kernel, _shape(dict(loops.dtypes), COORDS), tile * resolution)
+
+
 # --- stripes
 def stripe_pixels(pixels: DataFrame, resolution: int, near: int = 20_000, far: int = 8_000_000) -> DataFrame:
     """Pixels of a chromosome within the band that stand out; those of bins of low quality are left out before, by ``quality_mask`` with neighbours."""

@@ -239,9 +239,7 @@ def j_p6_multires_collapse(spark, d):
 
 @book.add()
 def j_p7_pinpoint(spark, d):
-    w = 16
-    cells = mx.window_cells(view(spark, d, "fx_loops"), reads(spark, d, RES), RES, w, COORDS)
-    return kernels.pinpoint(cells, COORDS, RES, w, coarse=4)
+    return kernels.pinpoint_in_tiles(view(spark, d, "fx_loops"), reads(spark, d, RES), RES, 16, coarse=4)
 
 
 @book.add()

@@ -1,6 +1,7 @@
 """Windows in tiles against plain ones, over borders of tiles, with repeats, nulls and pixels in several rows."""
 
 import math
+import os
 import random
 from collections import Counter, defaultdict
 
@@ -8,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from strandweave.functions.scalars import COORDS
-from strandweave.operators import joins, matrix
+from strandweave.operators import joins, kernels, matrix
 
 LOOPS = "list_id string, " + ", ".join(f"{c} {'string' if c.startswith('chr') else 'bigint'}" for c in COORDS)
 READS = "experiment string, chr1 string, chr2 string, bin_x bigint, bin_y bigint, counts bigint, resolution bigint"
@@ -116,6 +117,38 @@ def test_cells_of_windows_are_shuffled_once(made):
     assert got == want
 
 
+@pytest.mark.parametrize(("w", "coarse"), [(16, 4), (13, 4), (12, 3), (6, 20)])
+def test_pinpoint_in_tiles_finds_what_it_does_in_single_windows(spark, w, coarse):
+    """Planted summits, some on borders of tiles, amid noise; two shuffles, and no window is a row on the way."""
+    rng = random.Random(w)
+    loops, reads = [], [("F", "c1", d, rng.randint(0, 45), rng.randint(0, 45), rng.randint(0, 3), R) for d in ("c1", "c2") for _ in range(300)]
+    for d in ("c1", "c2"):
+        for _ in range(20):
+            a, b = rng.randint(0, 40), rng.randint(0, 40)
+            reads += [("O", "c1", d, a + i, b + j, 90 - 20 * (abs(i) + abs(j)) + rng.randint(0, 9), R) for i in range(-2, 3) for j in range(-2, 3) if a + i >= 0 and b + j >= 0]
+            for _ in range(6):
+                s1, s2 = (max(0, c + rng.randint(-3, 3)) * R + rng.randint(0, R - 1) for c in (a, b))
+                loops.append(("a", "c1", s1, s1 + 10, d, s2, s2 + 10))
+    loops += [*loops[:9], ("a", "c1", 900_000, 900_010, "c1", 900_000, 900_010), ("a", "c1", None, 10, "c1", 5, 10)]
+    loops, reads = spark.createDataFrame(loops, LOOPS), spark.createDataFrame(reads, READS)
+    want = kernels.pinpoint(matrix.window_cells(loops, reads, R, w, COORDS, tile=16), COORDS, R, w, coarse)
+    found = kernels.pinpoint_in_tiles(loops, reads, R, w, coarse, tile=16)
+    assert found.dtypes == want.dtypes and shuffles(found) == 2
+    got = sorted(map(tuple, found.collect()))
+    assert got == sorted(map(tuple, want.collect())) and len(got) > 2
+
+
+def test_pinpoint_makes_no_rows_of_windows(spark):
+    """The query sends no window through a task of its own."""
+    from strandweave.plans import tracks
+
+    data = "/root/testdata/sf0.001"
+    if not os.path.isdir(data):
+        pytest.skip("needs the test tables")
+    plan = tracks.j_p7_pinpoint(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in plan and "cells" not in plan
+
+
 def test_sieve_shuffles_packed_rows_once(made):
     """Two shuffles for all resolutions, and one of loops without a place; the values are those of ``sieve_scores`` over summed pixels."""
     loops, reads, plain, cells = made
